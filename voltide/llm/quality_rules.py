@@ -90,10 +90,9 @@ def _lines(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     cut = np.flatnonzero(buf == 10)
     starts = np.union1d(off[:-1], cut + 1)
     starts = starts[starts < len(buf)]
+    starts = starts[buf[starts] != 10]
     ends = np.union1d(cut, off[1:])
-    ends = ends[np.searchsorted(ends, starts)]
-    full = ends > starts
-    return starts[full], ends[full]
+    return starts, ends[np.searchsorted(ends, starts, side="right")]
 
 
 def statistics(docs: DataFrame) -> DataFrame:
@@ -124,9 +123,9 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, precision: float = PRECISIO
     grow = np.random.default_rng(11).permutation(n) % 3 != 0
     left = np.ones(n, bool)
     rules: list[list[Condition]] = []
-    steps = {k: np.unique(np.quantile(v[bad], np.linspace(0, 1, 33))) for k, v in x.items()} if bad.any() else {}
-    while steps and len(rules) < MOST_RULES:
+    while (left & grow & bad).any() and len(rules) < MOST_RULES:
         pool = left & grow
+        steps = {k: np.unique(np.quantile(v[pool & bad], np.linspace(0, 1, 33))) for k, v in x.items()}
         rule: list[Condition] = []
         inside = pool.copy()
         while len(rule) < MOST_CONDITIONS and (inside & bad).any() and (inside & ~bad).any():
