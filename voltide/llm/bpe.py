@@ -21,6 +21,19 @@ from .textkernel import chunks, map_batches, utf8
 END = "</w>"
 # The pieces of text that are encoded one by one, and white space that is not part of any.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
+# Code points (hexadecimal ranges) that the regex module takes for letters or digits and the tokenizers library for neither.
+NEITHER = """
+558-558 58b-58c 88f-88f c5c-c5c cdc-cdc 208f-208f 209d-209f a7ce-a7cf a7d2-a7d2 a7d4-a7d4 a7dd-a7dd a7e2-a7e2 a7f1-a7f1
+ab6c-ab6d 107bb-107bf 10940-10959 10ec5-10ec7 10ed9-10eee 11b0a-11b0a 11db0-11ddb 11df1-11df1 16ea0-16eb8 16ebb-16ed3
+16ff2-16ff3 187f8-187ff 18cd6-18cda 18d09-18d20 18d80-18df2 18e00-19191 191a0-191d2 1b123-1b128 1b168-1b168 1d6a6-1d6a6
+1df1f-1df24 1df2b-1df81 1df90-1df96 1dfcd-1dfff 1e6c0-1e6de 1e6e0-1e6e2 1e6e4-1e6e5 1e6e7-1e6ed 1e6f0-1e6f4 1e6fe-1e6ff
+2b73a-2b73f 2b81e-2b81e 2cea2-2cead 323b0-33479 3d000-3fc3f 11de0-11de9 1246f-1246f 12475-1247f 12550-12686 16ff4-16ff6
+"""
+# First, last and lower case of the first, of capitals that Unicode got after version 15.1.
+NEWER_CAPITALS = "1c89-1c89:1c8a a7cb-a7cb:264 a7cc-a7cc:a7cd a7ce-a7ce:a7cf a7d2-a7d2:a7d3 a7d4-a7d4:a7d5 a7da-a7da:a7db a7dc-a7dc:19b 10d50-10d65:10d70 16ea0-16eb8:16ebb"
+_NEITHER = regex.compile("[" + "".join(f"{chr(int(a, 16))}-{chr(int(z, 16))}" for a, z in (x.split("-") for x in NEITHER.split())) + "]")
+_LOWER = {int(a, 16) + k: int(b, 16) + k for x in NEWER_CAPITALS.split() for ends, b in [x.split(":")] for a, z in [ends.split("-")] for k in range(int(z, 16) - int(a, 16) + 1)}
+_NEWER = regex.compile("[" + "".join(map(chr, _LOWER)) + "]")
 #: Words that a worker remembers at most.
 REMEMBERED = 200_000
 _NEVER = np.iinfo(np.int32).max
@@ -164,7 +177,15 @@ class Coder:
     @staticmethod
     def _plain(text: str) -> list[str]:
         # Lower case is taken character by character, so a sigma at a word's end is no special case.
-        return PIECES.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+        if text.isascii():
+            return PIECES.findall(text.lower())
+        text = unicodedata.normalize("NFC", text)
+        if _NEWER.search(text):
+            text = text.translate(_LOWER)
+        text = text.replace("Σ", "σ").lower()
+        if _NEITHER.search(text):
+            return [text[m.start() : m.end()] for m in PIECES.finditer(_NEITHER.sub("!", text))]
+        return PIECES.findall(text)
 
     def learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self.known]
