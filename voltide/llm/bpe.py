@@ -35,7 +35,7 @@ _NEITHER = regex.compile("[" + "".join(f"{chr(int(a, 16))}-{chr(int(z, 16))}" fo
 _LOWER = {int(a, 16) + k: int(b, 16) + k for x in NEWER_CAPITALS.split() for ends, b in [x.split(":")] for a, z in [ends.split("-")] for k in range(int(z, 16) - int(a, 16) + 1)}
 _NEWER = regex.compile("[" + "".join(map(chr, _LOWER)) + "]")
 #: Words that a worker remembers at most.
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 _NEVER = np.iinfo(np.int32).max
 
 
@@ -63,9 +63,16 @@ class Tables:
         keys = ids[:, 0] * self.size + ids[:, 1]
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks = keys[order], order.astype(np.int32)
-        self.merge = {(int(a), int(b)): (r, int(c)) for r, (a, b, c) in enumerate(ids)}
+        self.merge = {a * self.size + b: r for r, (a, b, _) in enumerate(ids.tolist())}  # a pair's rank
+        self.made = ids[:, 2].tolist()  # and what it becomes
+        # All beginnings of tokens, with the token that one is (-1 if none).
+        self.begun = {}
+        for name in self.vocab:
+            stem = name.removesuffix(END)
+            for k in range(1, len(stem) + 1):
+                self.begun.setdefault(stem[:k], -1)
+        self.begun |= self.vocab
         self.names = {v: k for k, v in (self.vocab | self.special).items()}
-        self.longest = max(map(len, self.vocab), default=1)
         made: dict[int, tuple[int, int, int]] = {}
         for r, (a, b, c) in enumerate(ids.tolist()):
             made.setdefault(c, (r, a, b))
@@ -97,12 +104,16 @@ class Tables:
 
     def exact(self, ids: list[int]) -> list[int]:
         """Merge the pair of the least rank, the leftmost of equals, until none is left."""
-        while len(ids) > 1:
-            best = min((self.merge[p][0], k) for k, p in enumerate(zip(ids, ids[1:])) if p in self.merge) if any(p in self.merge for p in zip(ids, ids[1:])) else None
-            if best is None:
-                break
-            k = best[1]
-            ids = [*ids[:k], self.merge[ids[k], ids[k + 1]][1], *ids[k + 2 :]]
+        get, size = self.merge.get, self.size
+        ranks = [get(a * size + b, _NEVER) for a, b in zip(ids, ids[1:])]
+        while ranks and (least := min(ranks)) != _NEVER:
+            k = ranks.index(least)
+            ids[k : k + 2] = [self.made[least]]
+            del ranks[k]
+            if k:
+                ranks[k - 1] = get(ids[k - 1] * size + ids[k], _NEVER)
+            if k < len(ranks):
+                ranks[k] = get(ids[k] * size + ids[k + 1], _NEVER)
         return ids
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -119,19 +130,19 @@ class Tables:
 
     def propose(self, word: str) -> list[int] | None:
         """Greedy longest match of a word in stand-in letters; None if some part is in no token."""
-        out, at, n, vocab = [], 0, len(word), self.vocab
+        out, at, n, begun = [], 0, len(word), self.begun
         while at < n:
-            token = vocab.get(word[at:] + END) if n - at + len(END) <= self.longest else None
-            stop = n
+            token, end, stop = None, at, at + 1
+            while stop < n and (found := begun.get(word[at:stop])) is not None:
+                if found >= 0:
+                    token, end = found, stop
+                stop += 1
+            if stop == n and (found := begun.get(word[at:] + END)) is not None:
+                token, end = found, n
             if token is None:
-                for stop in range(min(n - 1, at + self.longest), at, -1):
-                    token = vocab.get(word[at:stop])
-                    if token is not None:
-                        break
-                else:
-                    return None
+                return None
             out.append(token)
-            at = stop
+            at = end
         return out
 
     def encode(self, words: list[str]) -> tuple[list[list[int]], int]:
@@ -153,6 +164,14 @@ class Tables:
         return proposals, int((~good).sum())
 
 
+def _in_latin_1(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class Coder:
     """Encodes texts with a memory of words, in one worker."""
 
@@ -180,6 +199,8 @@ class Coder:
         if text.isascii():
             return PIECES.findall(text.lower())
         text = unicodedata.normalize("NFC", text)
+        if _in_latin_1(text):
+            return PIECES.findall(text.lower())
         if _NEWER.search(text):
             text = text.translate(_LOWER)
         text = text.replace("Σ", "σ").lower()
