@@ -9,10 +9,16 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship_package(spark: SparkSession) -> SparkSession:
-    """Send this package to the Python workers, once for each application, so that they need no search path of their own."""
+    """Send this package to the Python workers, once for each application, so that they need no search path of their own.
+
+    Arrow batches, 64 MB unless the session says otherwise, are held to 4 MB: texts are long, and workers share an executor's memory.
+    """
+    if spark.conf.get(_BATCH) in ("67108864b", "67108864", "64m"):
+        spark.conf.set(_BATCH, "4m")
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         root = Path(__file__).resolve().parent
