@@ -16,14 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .graph import written
 from .textkernel import CHUNK_BYTES, RollingHash, batch, chunks, map_batches, utf8
 
 #: Distinct segments of one anchor up to which they are put into suffix order in one task; larger groups are dealt by window.
 GROUP_LIMIT = 2000
 #: Bytes of segments that are put into suffix order at once.
-SUFFIX_BYTES = 1 << 20
+SUFFIX_BYTES = 1 << 19
 
-_POS = 20  # bits of a position within a pass
+_POS = 18  # bits of a position within a pass
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -45,7 +46,7 @@ def segments(buf: np.ndarray, off: np.ndarray, length: int, gram: int) -> tuple[
         n = len(part) - length + 1
         if n <= 0:
             break
-        one, two = RollingHash(part, 0), RollingHash(part, 1)
+        one = RollingHash(part)
         grams = one.all(gram)
         low = np.uint64((1 << _POS) - 1)
         least = _sliding_min((grams & ~low) | np.arange(len(grams), dtype=np.uint64), length - gram + 1)
@@ -58,7 +59,7 @@ def segments(buf: np.ndarray, off: np.ndarray, length: int, gram: int) -> tuple[
         last[:-1] = first[1:] | (whole[:-1] & ~whole[1:])
         s, e = np.flatnonzero(first & whole), np.flatnonzero(last & whole)
         rows = row_of[s]
-        out.append((rows, p0 + s - off[rows], p0 + e + length - off[rows], grams[at[s]], two(s, e + length)))
+        out.append((rows, p0 + s - off[rows], p0 + e + length - off[rows], grams[at[s]], one(s, e + length)))
     if not out:
         return tuple(np.zeros(0, np.int64) for _ in range(5))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
@@ -132,13 +133,13 @@ def _find(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def _cut(texts: DataFrame) -> DataFrame:
-    """(doc_id, th, text, segs) to one row for each segment, with its bytes."""
+    """(__k, __h, text, __segs, ...) to one row for each segment, with its bytes."""
     schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("s", pa.int32()), ("h", pa.int64()), ("sub", pa.int32()), ("part", pa.binary())])
 
     def run(b):
         out: dict[str, list] = {k: [] for k in schema.names}
         size = 0
-        for doc_id, th, text, segs in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+        for doc_id, th, text, segs in zip(*(b.column(b.schema.get_field_index(k)).to_pylist() for k in ("__k", "__h", "text", "__segs")), strict=True):
             raw = text.encode()
             for x in segs:
                 for k, v in zip(schema.names, (doc_id, th, x["s"], x["h"], x["sub"], raw[x["s"] : x["e"]]), strict=True):
@@ -168,8 +169,9 @@ def _suffix_sorted(parts: DataFrame, length: int, both: bool) -> DataFrame:
                 if h != last and size > SUFFIX_BYTES:
                     yield solve(rows)
                     rows, size = [], 0
-                rows.append((doc_id, th, s, part))
-                size += len(part)
+                if not rows or h != last or rows[-1][:3] != (doc_id, th, s):  # else of a repeated row
+                    rows.append((doc_id, th, s, part))
+                    size += len(part)
                 last = h
         if rows:
             yield solve(rows)
@@ -194,40 +196,49 @@ def _window_rows(parts: DataFrame, length: int) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, length: int = 400, keep: str = "none", gram: int | None = None) -> DataFrame:
-    """Spans (doc_id, th, s, e), byte offsets, of ``docs(doc_id, th, text)`` that lie in repeated strings of ``length`` bytes.
+    """Spans (doc_id, th, s, e), byte offsets, of ``docs(__k, __h, text, ...)`` that lie in repeated strings of ``length`` bytes.
 
-    ``th`` is a hash of the text; rows equal in both are copies of each other. With ``keep="first"`` a string's first
+    ``__k`` is the id and ``__h`` a hash of the text; rows equal in both are copies of each other. With ``keep="first"`` a string's first
     place, in the order (doc_id, th, offset), is left out, for ``"none"`` all its places are given. Spans may overlap.
     """
     gram = gram or max(1, length // 4)
     both = keep == "none"
-    found = _find(docs, length, gram)
-    anchors = found.groupBy("h").agg(F.count("*").alias("n"), F.min("fp").alias("f0"), F.max("fp").alias("f1"), F.min(F.struct("doc_id", "th", "s")).alias("first")).where("n > 1")
-    hits = found.join(anchors.drop("n"), "h")
-    later = F.lit(True) if both else F.struct("doc_id", "th", "s") != F.col("first")
-    plain = hits.where(F.col("f0") == F.col("f1")).where(later).select("doc_id", "th", "s", "e")
-    mixed = hits.where("f0 != f1").select("doc_id", "th", "s", "e", "h", "fp")
-    kinds = mixed.groupBy("h", "fp").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "s", "e")).alias("first"))
-    copies = mixed.join(kinds.where("n > 1").select("h", "fp", F.struct("first.doc_id", "first.th", "first.s").alias("first")), ["h", "fp"]).where(later).select("doc_id", "th", "s", "e")
+    found = written(_find(docs.select("__k", "__h", "text"), length, gram))
+    anchors = found.groupBy("h").agg(F.count("*").alias("n"), F.min("fp").alias("f0"), F.max("fp").alias("f1")).where("n > 1")
+    hits = written(found.join(anchors.select("h", (F.col("f0") != F.col("f1")).alias("mixed")), "h"))
+    place = F.struct("doc_id", "th", "s")
+    kinds = hits.groupBy("h", "fp", "mixed").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "s", "e")).alias("first"))
+    again = hits.where("mixed" if both else "true").join(kinds.where("n > 1").select("h", "fp", F.struct("first.doc_id", "first.th", "first.s").alias("place")), ["h", "fp"])
+    plain = again if both else again.where(place != F.col("place"))
+    plain = plain.select("doc_id", "th", "s", "e")
+    if both:
+        plain = plain.unionByName(hits.where("NOT mixed").select("doc_id", "th", "s", "e"))
+    kinds = kinds.where("mixed")
     sizes = kinds.groupBy("h").agg(F.count("*").alias("m"))
     # sub 0: suffix order; 1: by window. Copies settled by counting stay, as what others are compared with.
     segs = kinds.join(sizes, "h").select(F.col("first.doc_id").alias("doc_id"), F.col("first.th").alias("th"), F.struct("first.s", "first.e", "h", (F.col("m") > GROUP_LIMIT).cast("int").alias("sub")).alias("seg"))
-    segs = segs.groupBy("doc_id", "th").agg(F.collect_list("seg").alias("segs"))
-    parts = _cut(docs.dropDuplicates(["doc_id", "th"]).join(segs, ["doc_id", "th"]).select("doc_id", "th", "text", "segs"))
+    segs = segs.groupBy("doc_id", "th").agg(F.collect_list("seg").alias("__segs"))
+    # All columns go along, so that this shuffle of the texts is the one that remove_repeats joins the spans to.
+    parts = _cut(_of(docs, segs, "inner"))
     ordered = parts.where("sub = 0").repartition(F.col("h")).sortWithinPartitions("h", "doc_id", "th", "s")
     exact = _suffix_sorted(ordered, length, both)
-    by_window = _window_rows(parts.where("sub = 1"), length)
+    by_window = _window_rows(parts.where("sub = 1").dropDuplicates(["doc_id", "th", "s"]), length)
     again = by_window.groupBy("w", "v").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "p")).alias("w0")).where("n > 1").drop("n")
     wide = by_window.join(again, ["w", "v"])
     if not both:
         wide = wide.where(F.struct("doc_id", "th", "p") != F.col("w0"))
-    return plain.unionByName(copies).unionByName(exact).unionByName(wide.select("doc_id", "th", F.col("p").alias("s"), (F.col("p") + length).cast("int").alias("e")))
+    return plain.unionByName(exact).unionByName(wide.select("doc_id", "th", F.col("p").alias("s"), (F.col("p") + length).cast("int").alias("e")))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """Rows with doc_id (null: -1 for matching) and a text hash, nulls as empty texts."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id"), F.lit(-1)).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    """docs with __k, the id (null: -1 for matching), and __h, a hash of the text (null: empty)."""
+    return docs.withColumns({"__k": F.coalesce(F.col("doc_id"), F.lit(-1)).cast("long"), "__h": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
+
+
+def _of(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
+    """Keyed docs with the third column of found(doc_id, th, ...)."""
+    found = found.withColumnsRenamed({"doc_id": "__id", "th": "__th"})
+    return docs.join(found, (F.col("__k") == F.col("__id")) & (F.col("__h") == F.col("__th")), how).drop("__id", "__th")
 
 
 def merge(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
@@ -246,12 +257,10 @@ def remove_repeats(docs: DataFrame, length: int = 400, keep: str = "first") -> D
     are copies of each other; with ``keep="first"`` such a row keeps what its first place keeps, so both rows of such a
     pair keep it. Columns named like the added ones are replaced.
     """
-    texts = keyed(docs)
-    spans = repeated_spans(texts, length, keep).groupBy("doc_id", "th").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
-    spans = spans.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "spans")
-    docs = docs.drop("kept", "n_bytes", "n_removed", "spans", "__id", "__th")
-    own = docs.withColumn("__k", F.coalesce(F.col("doc_id"), F.lit(-1)).cast("long")).withColumn("__h", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    joined = own.join(spans, (F.col("__k") == F.col("__id")) & (F.col("__h") == F.col("__th")), "left").drop("__id", "__th", "__k", "__h")
+    docs = docs.drop("kept", "n_bytes", "n_removed", "spans", "__k", "__h")
+    own = keyed(docs)
+    spans = repeated_spans(own, length, keep).groupBy("doc_id", "th").agg(F.collect_set(F.struct("s", "e")).alias("__spans"))
+    joined = _of(own, spans, "left").drop("__k", "__h")
     names = docs.columns
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
