@@ -204,19 +204,20 @@ def repeated_spans(docs: DataFrame, length: int = 400, keep: str = "none", gram:
     gram = gram or max(1, length // 4)
     both = keep == "none"
     found = written(_find(docs.select("__k", "__h", "text"), length, gram))
+    # Counts are written before they are joined: between two plain shuffles Spark splits a hot anchor over tasks.
     anchors = found.groupBy("h").agg(F.count("*").alias("n"), F.min("fp").alias("f0"), F.max("fp").alias("f1")).where("n > 1")
-    hits = written(found.join(anchors.select("h", (F.col("f0") != F.col("f1")).alias("mixed")), "h"))
+    hits = written(found.join(written(anchors.select("h", (F.col("f0") != F.col("f1")).alias("mixed"))), "h"))
     place = F.struct("doc_id", "th", "s")
-    kinds = hits.groupBy("h", "fp", "mixed").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "s", "e")).alias("first"))
+    kinds = written(hits.groupBy("h", "fp", "mixed").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "s", "e")).alias("first")))
     again = hits.where("mixed" if both else "true").join(kinds.where("n > 1").select("h", "fp", F.struct("first.doc_id", "first.th", "first.s").alias("place")), ["h", "fp"])
     plain = again if both else again.where(place != F.col("place"))
     plain = plain.select("doc_id", "th", "s", "e")
     if both:
         plain = plain.unionByName(hits.where("NOT mixed").select("doc_id", "th", "s", "e"))
     kinds = kinds.where("mixed")
-    sizes = kinds.groupBy("h").agg(F.count("*").alias("m"))
+    wide = written(kinds.groupBy("h").agg(F.count("*").alias("m")).where(F.col("m") > GROUP_LIMIT).select("h", F.lit(1).alias("sub")))
     # sub 0: suffix order; 1: by window. Copies settled by counting stay, as what others are compared with.
-    segs = kinds.join(sizes, "h").select(F.col("first.doc_id").alias("doc_id"), F.col("first.th").alias("th"), F.struct("first.s", "first.e", "h", (F.col("m") > GROUP_LIMIT).cast("int").alias("sub")).alias("seg"))
+    segs = kinds.join(wide, "h", "left").select(F.col("first.doc_id").alias("doc_id"), F.col("first.th").alias("th"), F.struct("first.s", "first.e", "h", F.coalesce("sub", F.lit(0)).alias("sub")).alias("seg"))
     segs = segs.groupBy("doc_id", "th").agg(F.collect_list("seg").alias("__segs"))
     # All columns go along, so that this shuffle of the texts is the one that remove_repeats joins the spans to.
     parts = _cut(_of(docs, segs, "inner"))
@@ -224,10 +225,10 @@ def repeated_spans(docs: DataFrame, length: int = 400, keep: str = "none", gram:
     exact = _suffix_sorted(ordered, length, both)
     by_window = _window_rows(parts.where("sub = 1").dropDuplicates(["doc_id", "th", "s"]), length)
     again = by_window.groupBy("w", "v").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "p")).alias("w0")).where("n > 1").drop("n")
-    wide = by_window.join(again, ["w", "v"])
+    repeated = by_window.join(again, ["w", "v"])
     if not both:
-        wide = wide.where(F.struct("doc_id", "th", "p") != F.col("w0"))
-    return plain.unionByName(exact).unionByName(wide.select("doc_id", "th", F.col("p").alias("s"), (F.col("p") + length).cast("int").alias("e")))
+        repeated = repeated.where(F.struct("doc_id", "th", "p") != F.col("w0"))
+    return plain.unionByName(exact).unionByName(repeated.select("doc_id", "th", F.col("p").alias("s"), (F.col("p") + length).cast("int").alias("e")))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
