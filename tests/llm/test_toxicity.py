@@ -33,9 +33,15 @@ def test_hard_rows(spark, docs, none):
     assert sorted(map(tuple, toxicity.judge(docs, labels).collect()), key=str) == sorted(map(tuple, out.collect()), key=str)
 
 
-def test_risk_separates():
+def test_risk_separates(spark):
     rng = np.random.default_rng(1)
-    bags = [np.unique(np.concatenate([rng.integers(100, 300, 20), rng.integers(0, 10, 5) if k < 100 or k % 5 == 0 else []])).astype(np.int64) for k in range(500)]
-    positive = np.arange(500) < 100
-    model = toxicity.fit(bags, positive, 0.2)
-    assert set(model["words"].tolist()) <= set(range(10)) and (model["weights"] > 0).all()
+    rows = []
+    for k in range(500):
+        toxic = k < 100 or k % 5 == 0
+        words = np.unique(np.concatenate([rng.integers(100, 300, 20), rng.integers(0, 10, 5) if toxic else np.zeros(0, np.int64)]))
+        rows.append((k < 100, words.tolist(), words[:2].tolist()))
+    words = toxicity.telling(spark.createDataFrame(rows, "positive boolean, words array<long>, twice array<long>"), 100, 400)
+    assert len(words) and set(words.tolist()) <= set(range(10))
+    bags = [np.array([list(words).index(w) for w in ws if w in words], np.int64) for _, ws, _ in rows]
+    weights, bias = toxicity.fit(bags, np.arange(500) < 100, 0.2, len(words))
+    assert (weights > 0).all() and bias < 0

@@ -13,6 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .graph import written
 from .language_id import _LETTER
 from .textkernel import RollingHash, chunks, map_batches, runs, utf8
 
@@ -32,57 +33,70 @@ def _word_hashes(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _bags(sample: DataFrame) -> DataFrame:
-    """(positive, words): the word hashes of each text of sample(positive, text), those that occur again twice."""
+    """(positive, words, twice): the different word hashes of each text of sample(positive, text), and those that occur again."""
 
     def run(b):
         buf, off = utf8(pc.utf8_lower(b.column(1)))
-        bags = []
+        words, twice = [], []
         for i, j in chunks(off):
             h, row = _word_hashes(buf[off[i] : off[j]], off[i : j + 1] - off[i])
             for x in np.split(h, np.searchsorted(row, np.arange(1, j - i))):
                 w, n = np.unique(x, return_counts=True)
-                bags.append(np.concatenate([w, w[n > 1]]).view(np.int64))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bags, pa.list_(pa.int64()))], ["positive", "words"])
+                words.append(w.view(np.int64))
+                twice.append(w[n > 1].view(np.int64))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.list_(pa.int64())), pa.array(twice, pa.list_(pa.int64()))], ["positive", "words", "twice"])
 
-    return map_batches(sample, run, "positive boolean, words array<long>")
+    return map_batches(sample, run, "positive boolean, words array<long>, twice array<long>")
 
 
-def fit(x: list[np.ndarray], positive: np.ndarray, prior: float) -> dict:
-    """Weights of the most telling words, from bags of word hashes."""
-    bag = np.repeat(np.arange(len(x)), [len(b) for b in x])
-    keys, word = np.unique(np.concatenate([*x, np.zeros(0, np.int64)]), return_inverse=True)
-    p, u = int(positive.sum()), int((~positive).sum())
-    model = {"words": np.zeros(0, np.uint64), "weights": np.zeros(0), "bias": -5.0}
-    if not p or not u or not len(keys):
-        return model
-    has = np.unique(bag * len(keys) + word)
-    a = np.bincount((has % len(keys))[positive[has // len(keys)]], minlength=len(keys))
-    c = np.bincount((has % len(keys))[~positive[has // len(keys)]], minlength=len(keys))
-    rate = (a + c) / (p + u)
-    z = np.abs(a / p - c / u) / np.sqrt(np.maximum(rate * (1 - rate), 1e-12) * (1 / p + 1 / u))
+def telling(bags: DataFrame, p: int, u: int) -> np.ndarray:
+    """The hashes, sorted, of at most FEATURES words that are in far more of the p positive than of the u unlabelled texts.
+
+    Counts, and the z score of the difference, are taken in Spark; only the words that lead come to the driver.
+    """
+    seen = bags.select("positive", F.explode("words").alias("w")).groupBy("w").agg(F.sum(F.col("positive").cast("double")).alias("a"), F.count("*").alias("n"))
+    rate = F.col("n") / (p + u)
+    gap = F.col("a") / p - (F.col("n") - F.col("a")) / u
+    z = gap / F.sqrt(F.greatest(rate * (1 - rate), F.lit(1e-12)) * (1 / p + 1 / u))
+    top = seen.select("w", "a", z.alias("z")).where("a >= 3 AND z > 4").orderBy(F.desc("z"), "w").limit(FEATURES).toPandas()
     # Words of a few copied texts stand out too, but far less than words that toxic texts share.
-    chosen = np.flatnonzero((a >= 3) & (a / p > c / u) & (z > max(4, 0.15 * z.max())))
-    chosen = np.sort(chosen[np.argsort(-z[chosen], kind="stable")][:FEATURES])
-    if not len(chosen):
-        return model
-    place = np.full(len(keys), -1)
-    place[chosen] = np.arange(len(chosen))
-    bag, word = bag[place[word] >= 0], place[word][place[word] >= 0]
-    w, b = np.zeros(len(chosen) + 1), np.array(0.0)
+    top = top[top["z"] > 0.15 * top["z"].max()]
+    return np.sort(top["w"].to_numpy(np.int64).view(np.uint64))
+
+
+def _places(bags: DataFrame, words: np.ndarray) -> DataFrame:
+    """(positive, at): for each text the places in ``words`` of those it has, twice for those that occur again."""
+
+    def run(b):
+        at = []
+        for one, more in zip(b.column(1), b.column(2), strict=True):
+            h = np.concatenate([np.asarray(x.values).view(np.uint64) for x in (one, more)])
+            found = np.minimum(np.searchsorted(words, h), len(words) - 1)
+            at.append(np.sort(found[words[found] == h]).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(at, pa.list_(pa.int32()))], ["positive", "at"])
+
+    return map_batches(bags, run, "positive boolean, at array<int>")
+
+
+def fit(bags: list[np.ndarray], positive: np.ndarray, prior: float, features: int) -> tuple[np.ndarray, float]:
+    """Weights and bias that lower the risk on texts given as the places of their words."""
+    bag = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
+    word = np.concatenate([*bags, np.zeros(0, np.int32)]).astype(np.int64)
+    p, u = int(positive.sum()), int((~positive).sum())
+    w = np.zeros(features + 1)
     m, v = np.zeros(len(w)), np.zeros(len(w))
     w[-1] = np.log(prior / (1 - prior))
     for step in range(1, ROUNDS + 1):
-        f = np.bincount(bag, weights=w[word], minlength=len(x)) + w[-1]
+        f = np.bincount(bag, weights=w[word], minlength=len(bags)) + w[-1]
         s = 1 / (1 + np.exp(-np.clip(f, -30, 30)))
         slope = s * (1 - s)  # of the sigmoid loss: sigma(-f) for a positive, sigma(f) for a negative
         rest = s[~positive].mean() - prior * s[positive].mean()
         back = np.where(positive, -prior / p, 1 / u) * slope
         g = -back if rest < 0 else np.where(positive, -prior / p, 0.0) * slope + back
-        grad = np.append(np.bincount(word, weights=g[bag], minlength=len(chosen)), g.sum()) + DECAY * np.append(w[:-1], 0) / len(x)
+        grad = np.append(np.bincount(word, weights=g[bag], minlength=features), g.sum()) + DECAY * np.append(w[:-1], 0) / len(bags)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         w -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-10)
-    order = np.argsort(keys[chosen].view(np.uint64))
-    return {"words": keys[chosen].view(np.uint64)[order], "weights": w[:-1][order], "bias": float(w[-1])}
+    return w[:-1], float(w[-1])
 
 
 def train(docs: DataFrame, labels: DataFrame) -> dict:
@@ -98,10 +112,19 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
     draw = lambda df, share, seed: df.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) < min(1.0, share) * 1_000_000)
     positive = draw(rows.join(known.where("toxic = 1").select("doc_id"), "doc_id", "left_semi"), POSITIVES / max(1, p or 0), 1)
     unlabelled = draw(rows, UNLABELLED / max(1, rows.count()), 2)
-    t = _bags(positive.select(F.lit(True).alias("positive"), "text").unionByName(unlabelled.select(F.lit(False).alias("positive"), "text"))).toPandas()
-    bags = [np.asarray(x, np.int64) for x in t["words"]]
-    order = sorted(range(len(bags)), key=lambda k: (not t["positive"][k], bags[k].tobytes()))
-    return fit([bags[k] for k in order], t["positive"].to_numpy(bool)[order], prior)
+    bags = written(_bags(positive.select(F.lit(True).alias("positive"), "text").unionByName(unlabelled.select(F.lit(False).alias("positive"), "text"))))
+    counts = dict(bags.groupBy("positive").count().collect())
+    model = {"words": np.zeros(0, np.uint64), "weights": np.zeros(0), "bias": -5.0}
+    if len(counts) < 2:
+        return model
+    words = telling(bags, counts[True], counts[False])
+    if not len(words):
+        return model
+    t = _places(bags, words).toArrow()
+    labels_, at = t.column(0).to_numpy(zero_copy_only=False), [np.asarray(x.values) for x in t.column(1)]
+    order = sorted(range(len(at)), key=lambda k: (not labels_[k], at[k].tobytes()))  # sums don't hang on the order of rows
+    weights, bias = fit([at[k] for k in order], labels_[order].astype(bool), prior, len(words))
+    return {"words": words, "weights": weights, "bias": bias}
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
