@@ -52,3 +52,10 @@ def test_longest_previous_factor_runs():
     a, b = b"abcdefgh" * 3, b"xxabcdefghyy"
     assert suffix_dedup.factor_runs([a, b], 8, True) == [(0, 0, 24), (1, 2, 10)]
     assert suffix_dedup.factor_runs([a, b], 8, False) == [(0, 8, 24), (1, 2, 10)]
+
+
+def test_cut_characters_go(spark):
+    passage = hashlib.shake_128(b"other").hexdigest(250)
+    docs = spark.createDataFrame([(1, f"é{passage}ä"), (2, f"ë{passage}ö")], "doc_id long, text string")
+    out = {r["doc_id"]: r["kept"] for r in suffix_dedup.remove_repeats(docs, 400, "first", as_text=True).collect()}
+    assert out == {1: f"é{passage}ä", 2: ""}

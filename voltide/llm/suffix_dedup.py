@@ -251,9 +251,11 @@ def merge(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(s[first].tolist(), e[last].tolist(), strict=True))
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, keep: str = "first") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, keep: str = "first", as_text: bool = False) -> DataFrame:
     """All rows and columns of ``docs(doc_id, text, ...)`` plus ``kept`` (bytes that stay), ``n_bytes``, ``n_removed`` and ``spans``.
 
+    With ``as_text`` kept is a string, without the characters that a span's ends cut through.
+
     Null texts are empty; texts under ``length`` bytes stay whole; an empty table gives none. Rows equal in doc_id and text
     are copies of each other; with ``keep="first"`` such a row keeps what its first place keeps, so both rows of such a
     pair keep it. Columns named like the added ones are replaced.
@@ -275,9 +277,10 @@ def remove_repeats(docs: DataFrame, length: int = 400, keep: str = "first") -> D
             total.append(len(raw))
             gone.append(len(raw) - len(kept[-1]))
             runs.append([{"s": a, "e": z} for a, z in merged])
-        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(kept, pa.binary()), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())])))], [*names, "kept", "n_bytes", "n_removed", "spans"])
+        stay = pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], stay, pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())])))], [*names, "kept", "n_bytes", "n_removed", "spans"])
 
-    return map_batches(joined, run, f"{kinds}, kept binary, n_bytes long, n_removed long, spans array<struct<s: long, e: long>>")
+    return map_batches(joined, run, f"{kinds}, kept {'string' if as_text else 'binary'}, n_bytes long, n_removed long, spans array<struct<s: long, e: long>>")
 
 
 def digest(docs: DataFrame, length: int = 400) -> DataFrame:
