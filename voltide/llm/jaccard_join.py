@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import checkpointed, components
-from .textkernel import RollingHash, batch, chunks, map_batches, utf8, windows, words
+from .textkernel import RollingHash, batch, chunks, map_batches, tidy, utf8, windows, words
 
 #: Members of a prefix that one task compares, and members and bytes of a cluster's block.
 BUCKET_BLOCK, CLUSTER_BLOCK, CLUSTER_BYTES = 1024, 512, 4 << 20
@@ -182,7 +182,7 @@ def _candidates(members: DataFrame, least: float) -> DataFrame:
             node, root = _forest(index[np.concatenate(left)], index[np.concatenate(right)], len(ids))
             yield batch({"a": ids[node], "b": ids[root]}, schema)
 
-    return members.mapInArrow(run, "a long, b long")
+    return members.mapInArrow(tidy(run), "a long, b long")
 
 
 def _verified(members: DataFrame, width: int, threshold: float) -> DataFrame:
@@ -229,7 +229,7 @@ def _verified(members: DataFrame, width: int, threshold: float) -> DataFrame:
             if out:
                 yield batch(dict(zip(schema.names, map(np.concatenate, zip(*out, strict=True)), strict=True)), schema)
 
-    return members.mapInArrow(run, "a long, b long, links long")
+    return members.mapInArrow(tidy(run), "a long, b long, links long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, trees: int = 20, depth: int = 5, recall: float = 0.9999) -> DataFrame:

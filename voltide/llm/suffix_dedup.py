@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import written
-from .textkernel import CHUNK_BYTES, RollingHash, batch, chunks, map_batches, utf8
+from .textkernel import CHUNK_BYTES, RollingHash, batch, chunks, map_batches, tidy, utf8
 
 #: Distinct segments of one anchor up to which they are put into suffix order in one task; larger groups are dealt by window.
 GROUP_LIMIT = 2000
@@ -176,7 +176,7 @@ def _suffix_sorted(parts: DataFrame, length: int, both: bool) -> DataFrame:
         if rows:
             yield solve(rows)
 
-    return parts.mapInArrow(run, "doc_id long, th long, s int, e int")
+    return parts.mapInArrow(tidy(run), "doc_id long, th long, s int, e int")
 
 
 def _window_rows(parts: DataFrame, length: int) -> DataFrame:

@@ -6,6 +6,7 @@ over bytes. Nothing here knows Spark except ``map_batches``, which adapts a func
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -118,6 +119,26 @@ def batch(columns: dict[str, pa.Array | np.ndarray], schema: pa.Schema) -> pa.Re
     return pa.RecordBatch.from_arrays([x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x, type=schema.field(k).type) for k, x in columns.items()], schema=schema)
 
 
+def release() -> None:
+    """Give freed memory back to the system: idle Python workers stay for a minute and share their executor's memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The function for ``mapInArrow``, releasing its memory at the end of a task."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return tidied
+
+
 def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` with a function of one batch."""
 
@@ -126,4 +147,4 @@ def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordB
             if b.num_rows:
                 yield from f(b)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
