@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -10,18 +11,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voltide.llm import bpe, jaccard_join, language_id, mixing, suffix_dedup
+from voltide.session import ship_package
 
 
+def _on_workers(stage):
+    """The stage, with this package sent to the workers and Arrow batches held small first."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        return stage(ship_package(spark), docs, sf_dir)
+
+    return run
+
+
+@_on_workers
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language cannot be told (null text or no letter) go."""
     return language_id.predict(docs, language_id.train(docs)).where(F.col("lang_pred") != language_id.UNKNOWN).select(*docs.columns)
 
 
+@_on_workers
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates stays."""
     return jaccard_join.one_of_each_class(docs, width=5, threshold=0.8)
 
 
+@_on_workers
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of 400-byte strings are cut out of the texts; documents of which no word is left go."""
     out = suffix_dedup.remove_repeats(docs, length=400, keep="first", as_text=True)
@@ -29,11 +44,13 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.where((F.col("n_removed") == 0) | F.col("text").rlike(mixing.WORD)).select(*docs.columns)
 
 
+@_on_workers
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their source's target asks, in training order."""
     return mixing.mix(docs).select(*docs.columns)
 
 
+@_on_workers
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids, as digests."""
     return bpe.digest(docs, public_tokenizers.path("word_bpe_49k.json"))
