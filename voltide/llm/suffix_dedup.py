@@ -126,7 +126,7 @@ def _find(docs: DataFrame, length: int, gram: int) -> DataFrame:
         for i, j in chunks(off):
             rows, s, e, h, fp = segments(buf[off[i] : off[j]], off[i : j + 1] - off[i], length, gram)
             if len(rows):
-                own = b.slice(i, j - i).take(pa.array(rows))
+                own = b.select([0, 1]).slice(i, j - i).take(pa.array(rows))
                 yield batch({"doc_id": own.column(0), "th": own.column(1), "s": s.astype(np.int32), "e": e.astype(np.int32), "h": h.view(np.int64), "fp": fp.view(np.int64)}, schema)
 
     return map_batches(docs, run, "doc_id long, th long, s int, e int, h long, fp long")
@@ -189,7 +189,7 @@ def _window_rows(parts: DataFrame, length: int) -> DataFrame:
             part, o = buf[off[i] : off[j]], off[i : j + 1] - off[i]
             p = np.flatnonzero(np.repeat(o[1:], np.diff(o)) - np.arange(len(part)) >= length)
             row = np.searchsorted(o, p, side="right") - 1
-            own = b.slice(i, j - i).take(pa.array(row))
+            own = b.select(["doc_id", "th", "s"]).slice(i, j - i).take(pa.array(row))
             yield batch({"doc_id": own.column(0), "th": own.column(1), "p": (p - o[row] + own.column(2).to_numpy()).astype(np.int32), "w": RollingHash(part, 0)(p, p + length).view(np.int64), "v": RollingHash(part, 1)(p, p + length).view(np.int64)}, schema)
 
     return map_batches(parts, run, "doc_id long, th long, p int, w long, v long")
