@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .graph import written
 from .textkernel import RollingHash, chunks, map_batches, utf8, windows, words
 
 #: Labelled rows that are learnt from at most, conditions of a rule, rules, and the precision that a rule must show on rows set aside.
@@ -177,7 +178,9 @@ def train(docs: DataFrame, labels: DataFrame) -> list[list[Condition]]:
     known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     share = min(1.0, SAMPLE_ROWS / max(1, known.count()))
     drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < share * 1_000_000)
-    rows = statistics(docs.select("doc_id", "text").join(drawn.select("doc_id"), "doc_id", "left_semi")).join(drawn, "doc_id")
+    drawn = written(drawn)
+    ids = F.broadcast(drawn.select("doc_id"))  # about SAMPLE_ROWS short rows, a bound of the draw
+    rows = statistics(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")).join(F.broadcast(drawn), "doc_id")
     t = rows.select("quality", *(F.expr(sql).alias(k) for k, sql in RATIOS.items())).toPandas()
     order = np.lexsort([t[k].to_numpy() for k in t])
     return learn({k: t[k].to_numpy(np.float64)[order] for k in RATIOS}, (t["quality"].to_numpy() == 0)[order])

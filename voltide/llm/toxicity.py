@@ -110,7 +110,9 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
     prior = min(0.9, max(1e-3, p / n)) if n and p else 0.1
     rows = docs.where(~held_out()).select("doc_id", "text")
     draw = lambda df, share, seed: df.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) < min(1.0, share) * 1_000_000)
-    positive = draw(rows.join(known.where("toxic = 1").select("doc_id"), "doc_id", "left_semi"), POSITIVES / max(1, p or 0), 1)
+    # Ids are drawn before the texts are read, so that about POSITIVES of them (a bound of the draw) are broadcast and no text is shuffled.
+    ids = draw(known.where("toxic = 1").select("doc_id"), POSITIVES / max(1, p or 0), 1)
+    positive = rows.join(F.broadcast(ids), "doc_id", "left_semi")
     unlabelled = draw(rows, UNLABELLED / max(1, rows.count()), 2)
     bags = written(_bags(positive.select(F.lit(True).alias("positive"), "text").unionByName(unlabelled.select(F.lit(False).alias("positive"), "text"))))
     counts = dict(bags.groupBy("positive").count().collect())
