@@ -70,3 +70,24 @@ def pit_histogram(values: DataFrame, column: str, bins: int = 10) -> DataFrame:
     """(ticker, bin, n) on [0, 1], the last bin closed; nothing for fewer than ten values."""
     fine = values.where(F.col(column).between(0, 1)).withColumn("total", F.count("*").over(Window.partitionBy("ticker"))).where("total >= 10")
     return fine.groupBy("ticker", F.least(F.floor(F.col(column) * bins), F.lit(bins - 1)).cast("long").alias("bin")).agg(F.count("*").alias("n"))
+
+
+def standardized(df: DataFrame, vol: str) -> DataFrame:
+    """(ticker, dt, z): returns over a forecast of their volatility, where both are known."""
+    return df.where(F.col(vol).isNotNull() & F.col("ret").isNotNull()).select("ticker", "dt", (F.col("ret") / F.greatest(F.col(vol), F.lit(1e-10))).alias("z"))
+
+
+def fit_normal(residuals: DataFrame, least: int = 30) -> DataFrame:
+    """(ticker, mu, sigma, n) of residuals below 20 in size; nothing for fewer than ``least``."""
+    fine = residuals.where(~F.isnan("z") & (F.abs("z") < 20))
+    return fine.groupBy("ticker").agg(F.avg("z").alias("mu"), (F.stddev_pop("z") + 1e-8).alias("sigma"), F.count("*").alias("n")).where(F.col("n") >= least)
+
+
+def kupiec(hits: DataFrame, alpha: float = 0.01) -> DataFrame:
+    """(ticker, n, x, lr): the unconditional test, also for no hits."""
+    t = hits.where("var IS NOT NULL").groupBy("ticker").agg(F.count("*").alias("n"), F.sum("hit").cast("long").alias("x"))
+    p = F.col("x") / F.col("n")
+    rest = F.col("n") - F.col("x")
+    lr = F.when(F.col("x") == 0, -2 * F.col("n") * F.ln(F.lit(1 - alpha))).when(rest == 0, -2 * F.col("n") * F.ln(F.lit(alpha)))
+    lr = lr.otherwise(-2 * (rest * F.ln((1 - F.lit(alpha)) / (1 - p)) + F.col("x") * F.ln(F.lit(alpha) / p)))
+    return t.select("ticker", "n", "x", lr.alias("lr"))

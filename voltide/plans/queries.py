@@ -286,3 +286,18 @@ _add("j10_reconcile", _orders, """WITH h AS (SELECT n_name AS ticker, (n_nationk
 j AS (SELECT coalesce(h.ticker, t.ticker) AS ticker, coalesce(qty, 0) AS a, shares AS w FROM h FULL JOIN t ON h.ticker = t.ticker)
 SELECT ticker, CASE WHEN coalesce(w, 0) > a THEN 'buy' WHEN coalesce(w, 0) < a THEN 'sell' ELSE 'none' END AS side, abs(coalesce(w, 0) - a) AS qty, CASE WHEN w IS NULL THEN 'close' WHEN w = a THEN 'no_change' WHEN a = 0 THEN 'open' ELSE 'adjust' END AS action FROM j WHERE w IS NOT NULL OR a > 0""")
 _add("j12_leaderboard", lambda s, d: _rounded(portfolio.leaderboard(_seg_metrics(s, d)), ["model", "n"], 7), f"{_SEG_METRICS} SELECT model, count(*) AS n, {_sig('avg(mae)', 'mae', 7)}, {_sig('avg(qlike)', 'qlike', 7)} FROM m GROUP BY ROLLUP (model)")
+_RES = f"{_FRAME}, z AS (SELECT ticker, dt, ret / greatest(ewma, 1e-10::DOUBLE) AS z FROM frame WHERE ewma IS NOT NULL AND ret IS NOT NULL)"
+_add("g01_standardized_residuals", lambda s, d: _rounded(risk.standardized(_evaluated(s, d), "ewma"), _KEY, 7), f"{_RES} SELECT ticker, dt, {_sig('z', 'z', 7)} FROM z")
+_add("g02_normal_fit", lambda s, d: _rounded(risk.fit_normal(risk.standardized(_evaluated(s, d), "ewma")), ["ticker", "n"], 6), f"{_RES} SELECT ticker, {_sig('avg(z)', 'mu', 6)}, {_sig('stddev_pop(z) + 1e-8::DOUBLE', 'sigma', 6)}, count(*) AS n FROM z WHERE abs(z) < 20 GROUP BY 1 HAVING count(*) >= 30")
+_add(
+    "g21_kupiec",
+    lambda s, d: _rounded(risk.kupiec(_hits(s, d), 0.05), ["ticker", "n", "x"], 6),
+    f"{_HITS}, ku AS (SELECT ticker, count(*) AS n, sum(hit)::BIGINT AS x FROM hits GROUP BY 1) SELECT ticker, n, x, {_sig('CASE WHEN x = 0 THEN -2 * n * ln(0.95::DOUBLE) WHEN x = n THEN -2 * n * ln(0.05::DOUBLE) ELSE -2 * ((n - x) * ln(0.95::DOUBLE / (1 - x / n)) + x * ln(0.05::DOUBLE / (x / n))) END', 'lr', 6)} FROM ku",
+)
+_add(
+    "i05_latest_covariance",
+    lambda s, d: _rounded(portfolio.latest(portfolio.rolling_covariance(with_returns(segment_bars(s, d)))).select(*_CV, "cov"), _CV, 6),
+    f"""{_SEGMENTS}, p AS (SELECT a.dt, a.ticker AS asset_i, b.ticker AS asset_j, a.ret AS x, b.ret AS y FROM bars a JOIN bars b ON a.dt = b.dt AND a.ticker <= b.ticker),
+g AS (SELECT dt, asset_i, asset_j, count(*) OVER w AS n, covar_samp(x, y) OVER w AS cov FROM p WINDOW w AS (PARTITION BY asset_i, asset_j ORDER BY dt ROWS BETWEEN 63 PRECEDING AND 1 PRECEDING)), full_ AS (SELECT * FROM g WHERE n = 63)
+SELECT dt, asset_i, asset_j, {_sig('cov', 'cov', 6)} FROM full_ WHERE dt = (SELECT max(dt) FROM full_)""",
+)
