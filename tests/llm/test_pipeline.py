@@ -2,6 +2,7 @@ import re
 
 import corpus_pipeline
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .conftest import SCHEMA, hard_rows
@@ -45,3 +46,13 @@ def test_run_on_hard_rows(spark, tmp_path):
 
 def test_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language ID", "n-gram Jaccard join", "suffix-array dedup", "mixing sources", "BPE encoding"]
+
+
+def test_planted_passages_of_over_50_words(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").limit(2)
+    passage = " ".join("abcdefghijklmnop"[k % 16] + "qrst"[k % 4] * (k % 3) + str(k) for k in range(55))
+    texts = [f"first {passage} end", f"another {passage} close", f"third {' '.join(passage.split()[:50])} stays"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    rows = rows.select(*(F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in docs.schema))
+    got = {r["doc_id"]: r["text"] for r in dict(corpus_pipeline.STAGES)["suffix-array dedup"](spark, rows, small).collect()}
+    assert len(passage) < 400 and got == {0: texts[0], 1: "another  close", 2: texts[2]}

@@ -1,4 +1,5 @@
 import hashlib
+import random
 from collections import Counter
 
 import numpy as np
@@ -59,3 +60,44 @@ def test_cut_characters_go(spark):
     docs = spark.createDataFrame([(1, f"é{passage}ä"), (2, f"ë{passage}ö")], "doc_id long, text string")
     out = {r["doc_id"]: r["kept"] for r in suffix_dedup.remove_repeats(docs, 400, "first", as_text=True).collect()}
     assert out == {1: f"é{passage}ä", 2: "ë"}
+
+
+def removed_by_brute_force(rows, length, n_words):
+    """What is left of each text without later places of strings of n_words whitespace words or of length bytes."""
+    seen, left = set(), []
+    for _, text in rows:
+        raw = (text or "").encode()
+        cut = np.zeros(len(raw), bool)
+        s, e = suffix_dedup.passages(np.frombuffer(raw, np.uint8), n_words)
+        for a, z in sorted({*zip(s.tolist(), e.tolist(), strict=True), *((p, p + length) for p in range(len(raw) - length + 1))}):
+            if raw[a:z] in seen:
+                cut[a:z] = True
+            seen.add(raw[a:z])
+        left.append(np.frombuffer(raw, np.uint8)[~cut].tobytes().decode("utf-8", "ignore"))
+    return left
+
+
+def test_passages_of_over_50_short_words(spark):
+    r = random.Random(3)
+    prose = lambda n, size: " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(1, size))) for _ in range(n))
+    planted = [prose(n, size) for n in (51, 55, 60, 70) for size in (1, 3, 5)]
+    short = [prose(n, 9) for n in (30, 45, 50)]
+    assert max(map(len, planted)) < 400 and len(short[-1]) > 200
+    texts = [x for p in planted for x in (f"{prose(20, 9)} {p} {prose(20, 9)}", f"{prose(5, 9)} ({p}). {prose(9, 9)}", p)]
+    texts += [f"{prose(20, 9)} {k}left {p} {k}right {prose(20, 9)}" for p in short for k in range(2)] + [f"{prose(4, 9)} {short[0]} {short[1]} {prose(4, 9)}"]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {x["doc_id"]: x["kept"] for x in suffix_dedup.remove_repeats(docs, 400, "first", as_text=True, n_words=51).collect()}
+    n = len(planted)
+    for k, p in enumerate(planted):
+        assert got[3 * k] == texts[3 * k] and got[3 * k + 1] == texts[3 * k + 1].replace(p, "") and got[3 * k + 2] == ""
+    assert [got[k] for k in range(3 * n, len(texts))] == texts[3 * n :]  # also where two short repeats touch
+    assert [got[k] for k in range(len(texts))] == removed_by_brute_force(rows, 400, 51)
+
+
+def test_passages_of_hard_rows(docs, rows):
+    known = docs.where("doc_id >= 0").dropDuplicates(["doc_id"])
+    want = sorted(((i, t) for i, t in {r[0]: r[1] for r in rows if r[0] is not None and r[0] >= 0}.items()), key=lambda r: r[0])
+    got = {x["doc_id"]: x["kept"] for x in suffix_dedup.remove_repeats(known, 400, "first", as_text=True, n_words=20).collect()}
+    left = removed_by_brute_force(want, 400, 20)
+    assert got == {i: x for (i, _), x in zip(want, left, strict=True)}

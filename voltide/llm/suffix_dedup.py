@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import written
-from .textkernel import CHUNK_BYTES, RollingHash, batch, chunks, map_batches, tidy, utf8
+from .textkernel import CHUNK_BYTES, RollingHash, batch, chunks, map_batches, tidy, utf8, words
 
 #: Distinct segments of one anchor up to which they are put into suffix order in one task; larger groups are dealt by window.
 GROUP_LIMIT = 2000
@@ -25,6 +25,8 @@ GROUP_LIMIT = 2000
 SUFFIX_BYTES = 1 << 19
 
 _POS = 18  # bits of a position within a pass
+_CORE = np.zeros(256, bool)  # what a word is without the punctuation around it
+_CORE[[*range(ord("0"), ord("9") + 1), *range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = True
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -231,6 +233,68 @@ def repeated_spans(docs: DataFrame, length: int = 400, keep: str = "none", gram:
     return plain.unionByName(exact).unionByName(repeated.select("doc_id", "th", F.col("p").alias("s"), (F.col("p") + length).cast("int").alias("e")))
 
 
+def passages(buf: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of each string of ``n_words`` words of a text: with and without the punctuation before its first and behind its last word."""
+    s, e, _ = words(buf, np.array([0, len(buf)]))
+    n = len(s) - n_words + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    core = np.flatnonzero(_CORE[buf])
+    a, z = np.searchsorted(core, s), np.searchsorted(core, e)
+    has = np.flatnonzero(z > a)
+    s0, e0 = s.copy(), e.copy()
+    s0[has], e0[has] = core[a[has]], core[z[has] - 1] + 1
+    s, s0, e, e0 = s[:n], s0[:n], e[n_words - 1 :], e0[n_words - 1 :]
+    left, right = np.flatnonzero(s0 != s), np.flatnonzero(e0 != e)
+    both = np.intersect1d(left, right)
+    return np.concatenate([s, s0[left], s[right], s0[both]]), np.concatenate([e, e[left], e0[right], e0[both]])
+
+
+def _passage_rows(texts: DataFrame, n_words: int) -> DataFrame:
+    """(__k, __h, text, __spans, ...) to a row for each of the passages that lie in a run of the spans, with its hash."""
+    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("s", pa.int32()), ("e", pa.int32()), ("w", pa.int64()), ("v", pa.int64())])
+
+    def run(b):
+        out, size = [], 0
+        for doc_id, th, text, spans in zip(*(b.column(b.schema.get_field_index(k)).to_pylist() for k in ("__k", "__h", "text", "__spans")), strict=True):
+            buf = np.frombuffer(text.encode(), np.uint8)
+            found = np.array(merge(np.array([x["s"] for x in spans]), np.array([x["e"] for x in spans])))
+            s, e = passages(buf, n_words)
+            at = np.searchsorted(found[:, 0], s, side="right") - 1
+            inside = (at >= 0) & (e <= found[at, 1])
+            s, e = s[inside], e[inside]
+            if len(s):
+                out.append((np.full(len(s), doc_id), np.full(len(s), th), s.astype(np.int32), e.astype(np.int32), *(RollingHash(buf, k)(s, e).view(np.int64) for k in (0, 1))))
+                size += len(s)
+            if size > CHUNK_BYTES:
+                yield batch(dict(zip(schema.names, map(np.concatenate, zip(*out, strict=True)), strict=True)), schema)
+                out, size = [], 0
+        if out:
+            yield batch(dict(zip(schema.names, map(np.concatenate, zip(*out, strict=True)), strict=True)), schema)
+
+    return map_batches(texts, run, "doc_id long, th long, s int, e int, w long, v long")
+
+
+def repeated_passages(docs: DataFrame, length: int, n_words: int) -> DataFrame:
+    """Spans as of repeated_spans with ``keep="first"``, of repeated strings of ``length`` bytes and of those of ``n_words`` words whatever their bytes.
+
+    ``n_words`` words have 2 * n_words - 1 bytes at least, so suffix order to that depth finds every place of either kind; within what
+    it finds, the strings of ``n_words`` words are counted, and the strings of ``length`` bytes sought, exactly. Shorter repeats stay, also
+    where several of them touch.
+    """
+    least = 2 * n_words - 1
+    assert least <= length
+    runs = written(repeated_spans(docs, least, "none").groupBy("doc_id", "th").agg(F.collect_set(F.struct("s", "e")).alias("__spans")))
+    rows = written(_passage_rows(_of(docs, runs, "inner"), n_words))
+    place = F.struct("doc_id", "th", "s")
+    # Written before the join, as in repeated_spans.
+    again = written(rows.groupBy("w", "v").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("w", "v", "first"))
+    later = rows.join(again, ["w", "v"]).where(place != F.col("first")).select("doc_id", "th", "s", "e")
+    # A repeated string of ``length`` bytes lies in spans that add up to as many.
+    long_ = runs.where(F.aggregate("__spans", F.lit(0).cast("long"), lambda n, x: n + x["e"] - x["s"]) >= length).select("doc_id", "th", F.lit(1).alias("__long"))
+    return later.unionByName(repeated_spans(_of(docs, long_, "inner").drop("__long"), length, "first"))
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """docs with __k, the id (null: -1 for matching), and __h, a hash of the text (null: empty)."""
     return docs.withColumns({"__k": F.coalesce(F.col("doc_id"), F.lit(-1)).cast("long"), "__h": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
@@ -251,10 +315,11 @@ def merge(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(s[first].tolist(), e[last].tolist(), strict=True))
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, keep: str = "first", as_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, keep: str = "first", as_text: bool = False, n_words: int | None = None) -> DataFrame:
     """All rows and columns of ``docs(doc_id, text, ...)`` plus ``kept`` (bytes that stay), ``n_bytes``, ``n_removed`` and ``spans``.
 
-    With ``as_text`` kept is a string, without the characters that a span's ends cut through.
+    With ``as_text`` kept is a string, without the characters that a span's ends cut through. With ``n_words`` later places of
+    repeated strings of that many words go too (``keep="first"`` only).
 
     Null texts are empty; texts under ``length`` bytes stay whole; an empty table gives none. Rows equal in doc_id and text
     are copies of each other; with ``keep="first"`` such a row keeps what its first place keeps, so both rows of such a
@@ -262,7 +327,10 @@ def remove_repeats(docs: DataFrame, length: int = 400, keep: str = "first", as_t
     """
     docs = docs.drop("kept", "n_bytes", "n_removed", "spans", "__k", "__h")
     own = keyed(docs)
-    spans = repeated_spans(own, length, keep).groupBy("doc_id", "th").agg(F.collect_set(F.struct("s", "e")).alias("__spans"))
+    if n_words is not None and keep != "first":
+        raise ValueError("n_words goes with keep='first'")
+    spans = repeated_spans(own, length, keep) if n_words is None else repeated_passages(own, length, n_words)
+    spans = spans.groupBy("doc_id", "th").agg(F.collect_set(F.struct("s", "e")).alias("__spans"))
     joined = _of(own, spans, "left").drop("__k", "__h")
     names = docs.columns
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
