@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import os
 
 import numpy as np
 import pytest
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 
 from voltide.functions import volatility as vol
 from voltide.operators import backtest, evaluation, features, forecasts, portfolio, risk
+from voltide.plans.queries import QUERIES
+from voltide.sources.bars import lineitem_bars, with_returns
 
 
 def series(spark, ret, ticker="x", high=None, low=None):
@@ -108,3 +111,14 @@ def test_reconcile(spark):
     want = spark.createDataFrame([("a", 7), ("d", 2)], "ticker string, shares long")
     got = {r["ticker"]: tuple(r)[1:] for r in portfolio.reconcile(held, want).collect()}
     assert got == {"a": ("buy", 2, "adjust"), "b": ("sell", 3, "close"), "d": ("buy", 2, "open")}
+
+
+def test_ridge_query_fits_the_reference_window_and_keeps_warm_up_rows(spark):
+    large = f"{os.environ.get('VOLTIDE_TESTDATA', '/root/testdata')}/sf0.1"
+    rows = {}
+    for r in QUERIES["e10_ridge"](spark, large).select("ticker", "dt", "ridge").collect():
+        rows.setdefault(r["ticker"], []).append((r["dt"], r["ridge"]))
+    assert sum(map(len, rows.values())) == with_returns(lineitem_bars(spark, large)).count()
+    for own in rows.values():
+        have = [v is not None for _, v in sorted(own, key=lambda x: x[0])]
+        assert len(own) > 1260 and have.index(True) == 1260 and all(have[1260:])

@@ -156,7 +156,7 @@ SELECT e.ticker, e.dt, {_sig('sqrt(q.f * 252)', 'gas')} FROM e LEFT JOIN q ON e.
 
 def _e10(s, d):
     df, names = features.build(_bars(s, d))
-    return forecasts.ridge(df.withColumn("target", vol.forward_realized(1)), names, "target", window=504, step=2).where("ridge IS NOT NULL")
+    return forecasts.ridge(df.withColumn("target", vol.forward_realized(1)), names, "target", window=1260, step=2)
 
 
 _add("e10_ridge", _e10)
