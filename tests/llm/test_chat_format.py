@@ -48,3 +48,10 @@ def test_rewriting_template_is_found(spark):
     assert c.locate([("user", "hello"), ("assistant", "hi")], only_last)[2]
     df = spark.createDataFrame([(1, 0, "user", "hello"), (1, 1, "assistant", "hi"), (2, 0, "user", "one")], "conv_id long, turn int, role string, text string")
     assert {r["conv_id"]: (r["rewrites"], r["loss_mask"]) for r in c.format_conversations(df, only_last).collect()} == {1: (True, None), 2: (False, None)}
+
+
+def test_rewriting_within_a_later_block_is_found():
+    plain = lambda ms: "".join(f"{r}: {t}\n" for r, t in ms)
+    once = lambda ms: plain(ms) if len(ms) != 300 else "x" + plain(ms)
+    messages = [("user", str(k)) for k in range(2 * c.BLOCK)]
+    assert not c.locate(messages, plain)[2] and c.locate(messages, once)[2]

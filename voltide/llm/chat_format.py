@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .textkernel import batch, tidy
 
 Message = tuple[str, str]
-#: Turns whose prefixes are rendered from the conversation's start; longer ones go block by block where the template allows.
+#: Turns whose prefixes are rendered from the conversation's start; with the default template longer ones go block by block.
 BLOCK = 256
 
 # The control strings of the template.
@@ -53,7 +53,8 @@ def locate(messages: list[Message], render: Callable[[list[Message]], str]) -> t
     for b in range(0, len(messages), BLOCK):
         block = messages[b : b + BLOCK]
         whole = render(messages[: b + BLOCK])
-        alone = b > 0 and len(messages) > BLOCK and whole == full + render(block)
+        # Only the default template is known to write a turn without regard to the others; of another, every prefix must be seen.
+        alone = b > 0 and render is template and whole == full + render(block)
         last = "" if alone else full
         base = len(full) if alone else 0
         for k in range(1, len(block) + 1):
