@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import checkpointed, components
-from .textkernel import RollingHash, batch, chunks, map_batches, tidy, utf8, windows, words
+from .textkernel import RollingHash, batch, chunks, grouped, map_batches, tidy, utf8, windows, words
 
 #: Members of a prefix that one task compares, and members and bytes of a cluster's block.
 BUCKET_BLOCK, CLUSTER_BLOCK, CLUSTER_BYTES = 1024, 512, 4 << 20
@@ -129,39 +129,12 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarra
     return node, label[node]
 
 
-def _batched(batches, names: list[str], limit: int, size):
-    """Whole groups of the sorted rows, gathered to at least ``limit`` by ``size`` of a row, as dicts of arrays."""
-    kept, amount, open_key = [], 0, None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        keys = np.stack([b.column(b.schema.get_field_index(x)).to_numpy() for x in names])
-        change = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
-        bounds = [0, *change.tolist(), b.num_rows]
-        weights = np.concatenate([[0], np.cumsum(size(b))])
-        begin = 0
-        for x in bounds[:-1]:
-            key = tuple(keys[:, x])
-            if key != open_key and amount + weights[x] - weights[begin] >= limit:
-                if x > begin:
-                    kept.append(b.slice(begin, x - begin))
-                if kept:
-                    yield pa.Table.from_batches(kept)
-                kept, amount, begin = [], 0, x
-            open_key = key
-        if begin < b.num_rows:
-            kept.append(b.slice(begin))
-            amount += weights[-1] - weights[begin]
-    if kept:
-        yield pa.Table.from_batches(kept)
-
-
 def _candidates(members: DataFrame, least: float) -> DataFrame:
     """Spanning edges of the pairs within each prefix whose sketches agree enough; members(key, th, sk, a, b, side) sorted."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
-        for t in _batched(batches, ["key", "a", "b"], 20_000, lambda b: np.ones(b.num_rows)):
+        for t in grouped(batches, ["key", "a", "b"], 20_000, lambda b: np.ones(b.num_rows)):
             key, th, side, a, b = (t.column(x).to_numpy() for x in ("key", "th", "side", "a", "b"))
             sk = np.frombuffer(b"".join(t.column("sk").to_pylist()), np.uint8).reshape(len(th), -1)
             group = np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
@@ -222,7 +195,7 @@ def _verified(members: DataFrame, width: int, threshold: float) -> DataFrame:
         return np.concatenate([th[at], th[node]]), np.concatenate([th[at], th[root]]), np.concatenate([links[at], np.zeros(len(node), np.int64)])
 
     def run(batches):
-        for t in _batched(batches, ["cluster", "a", "b"], CLUSTER_BYTES, lambda b: np.diff(utf8(b.column(b.schema.get_field_index("text")))[1])):
+        for t in grouped(batches, ["cluster", "a", "b"], CLUSTER_BYTES, lambda b: np.diff(utf8(b.column(b.schema.get_field_index("text")))[1])):
             cluster, th, side, a, b = (t.column(x).to_numpy() for x in ("cluster", "th", "side", "a", "b"))
             border = np.flatnonzero(np.concatenate([[True], (cluster[1:] != cluster[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1]), [True]]))
             out = [solve(th[i:j], t.column("text").slice(i, j - i), side[i:j], a[i] != b[i]) for i, j in zip(border[:-1], border[1:], strict=True) if j > i + 1]

@@ -1,10 +1,13 @@
-"""Removal of repeated byte strings by longest-previous-factor arrays over suffix order.
-
-A byte is removed if a string of ``length`` bytes that covers it also starts elsewhere in the corpus. Work is dealt out by
-content: every window of ``length`` bytes has an anchor, its least-hashed k-gram (the leftmost of equals), which depends
-on the window's bytes alone. Successive windows with one anchor form a segment; equal windows always lie in segments with
-equal anchors. So the corpus falls into independent groups of segments, most of them with one member. Groups whose
-segments are all equal are settled by counting; of the others each distinct segment is put into suffix order once.
+"""Removal of repeated strings by longest-previous-factor arrays over suffix order.
+
+Texts are sequences of units: their UTF-8 bytes, or their words. A unit is removed if a string of ``length`` units that covers
+it also starts elsewhere in the corpus (``keep="none"``) or starts earlier (``keep="first"``). Work is dealt out by content:
+every window of ``length`` units has an anchor, its least-hashed gram (the leftmost of equals), which depends on the window
+alone. Successive windows with one anchor form a segment; equal windows always lie in segments with equal anchors. So the
+corpus falls into independent groups of segments, most of them with one member. Equal segments are one string, counted;
+the different ones of a group are put into suffix order, where the previous and next smaller positions give every
+position's longest previous factor. A group with too many different segments for one task is dealt again, by longer
+stretches around the anchor (``_halves``), until its groups fit or their members are equal.
 """
 
 from __future__ import annotations
@@ -13,13 +16,14 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import written
-from .textkernel import CHUNK_BYTES, RollingHash, batch, chunks, map_batches, tidy, utf8, words
+from .textkernel import CHUNK_BYTES, RollingHash, batch, chunks, grouped, map_batches, tidy, utf8, word_hashes, words
 
-#: Distinct segments of one anchor up to which they are put into suffix order in one task; larger groups are dealt by window.
+#: Different segments of a group up to which they are put into suffix order in one task; larger groups are dealt again.
 GROUP_LIMIT = 2000
 #: Bytes of segments that are put into suffix order at once.
 SUFFIX_BYTES = 1 << 19
@@ -29,6 +33,25 @@ _CORE = np.zeros(256, bool)  # what a word is without the punctuation around it
 _CORE[[*range(ord("0"), ord("9") + 1), *range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = True
 
 
+def in_bytes(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Units and row offsets of texts as bytes."""
+    return buf, off
+
+
+def in_words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Units and row offsets of texts as words: 64-bit hashes of the words without the punctuation around them (a word of punctuation is taken whole)."""
+    start, end, row = words(buf, off)
+    core = np.flatnonzero(_CORE[buf])
+    a, z = np.searchsorted(core, start), np.searchsorted(core, end)
+    has = np.flatnonzero(z > a)
+    start, end = start.copy(), end.copy()
+    start[has], end[has] = core[a[has]], core[z[has] - 1] + 1
+    return word_hashes(buf, start, end), np.searchsorted(row, np.arange(len(off)))
+
+
+UNITS = {"bytes": (in_bytes, np.uint8), "words": (in_words, np.uint64)}
+
+
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     n = len(x) - width + 1
     padded = np.full(-(-len(x) // width) * width, np.iinfo(np.uint64).max, np.uint64)
@@ -39,12 +62,12 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[width - 1 : width - 1 + n])
 
 
-def segments(buf: np.ndarray, off: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Row, start, end (within the row), anchor hash and content hash of each segment of the rows."""
+def segments(units: np.ndarray, off: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Row, start, end, anchor (within the row), anchor hash and content hash of each segment of the rows."""
     out: list[tuple[np.ndarray, ...]] = []
     step = (1 << _POS) - length
-    for p0 in range(0, max(0, len(buf) - length + 1), step):
-        part = buf[p0 : p0 + step + length - 1]
+    for p0 in range(0, max(0, len(units) - length + 1), step):
+        part = units[p0 : p0 + step + length - 1]
         n = len(part) - length + 1
         if n <= 0:
             break
@@ -61,238 +84,251 @@ def segments(buf: np.ndarray, off: np.ndarray, length: int, gram: int) -> tuple[
         last[:-1] = first[1:] | (whole[:-1] & ~whole[1:])
         s, e = np.flatnonzero(first & whole), np.flatnonzero(last & whole)
         rows = row_of[s]
-        out.append((rows, p0 + s - off[rows], p0 + e + length - off[rows], grams[at[s]], one(s, e + length)))
+        out.append((rows, p0 + s - off[rows], p0 + e + length - off[rows], p0 + at[s] - off[rows], grams[at[s]], one(s, e + length)))
     if not out:
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
+        return tuple(np.zeros(0, np.int64) for _ in range(6))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def factor_runs(parts: list[bytes], length: int, both: bool) -> list[tuple[int, int, int]]:
-    """(part, start, end) of the runs covered by repeated windows of ``length`` bytes, parts being in order of precedence.
+def _dense(keys: np.ndarray) -> np.ndarray:
+    """Ranks of the keys from 1 on, equal keys sharing one."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    step = np.ones(len(keys), np.int32)
+    step[1:] = ordered[1:] != ordered[:-1]
+    out = np.empty(len(keys), np.int32)
+    out[order] = np.cumsum(step)
+    return out
 
-    Positions are sorted by the ``length`` bytes from them on (prefix doubling up to that depth), ties by position: the
-    suffix array cut off at that depth. Where the previous smaller position in this order shares the whole depth, the
-    longest previous factor has at least ``length`` bytes; ``both`` also takes the longest next factor, from the next
-    larger position.
+
+class SuffixOrder:
+    """Suffixes of the parts of a sequence, sorted by prefix doubling; equal suffixes of different parts by position.
+
+    ``ranks[k]`` orders all positions by the 2**k units from there on (fewer at a part's end).
     """
-    buf = np.frombuffer(b"".join(parts), np.uint8)
-    off = np.zeros(len(parts) + 1, np.int64)
-    np.cumsum([len(x) for x in parts], out=off[1:])
-    n = len(buf)
-    room = np.repeat(off[1:], np.diff(off)) - np.arange(n)  # bytes to the end of the part
-    depth = min(8, length)
-    keys = np.zeros(max(0, n - depth + 1), np.uint64)
-    for k in range(depth):
-        keys = keys << np.uint64(8) | buf[k : k + len(keys)].astype(np.uint64)
-    rank = np.full(n, -1, np.int64)
-    at = np.flatnonzero(room[: len(keys)] >= depth)
-    rank[at] = _dense(keys[at])
-    while depth < length:
-        more = min(depth, length - depth)
-        at = np.flatnonzero(room >= depth + more)
-        keys = rank[at] * np.int64(n + 1) + rank[at + more]
-        rank = np.full(n, -1, np.int64)
-        rank[at] = _dense(keys)
-        depth += more
-    at = np.flatnonzero(rank >= 0)
-    suffixes = at[np.argsort(rank[at] * np.int64(n + 1) + at)]
-    same = rank[suffixes[1:]] == rank[suffixes[:-1]]
-    hit = np.zeros(n, bool)
-    hit[suffixes[1:][same]] = True
+
+    def __init__(self, units: np.ndarray, off: np.ndarray):
+        n = len(units)
+        self.room = np.repeat(off[1:], np.diff(off)) - np.arange(n)  # units to the end of the part
+        rank = units.astype(np.int64) + 1 if units.dtype == np.uint8 else _dense(units)
+        self.ranks, depth, longest = [rank], 1, int(self.room.max(initial=1))
+        while depth < longest:
+            if int(rank.max()) >= 1 << 31:
+                rank = self.ranks[-1] = _dense(rank)
+            more = np.flatnonzero(self.room > depth)
+            key = rank.astype(np.int64) * (int(rank.max()) + 1)
+            key[more] += rank[more + depth]
+            depth *= 2
+            rank = key if depth < 8 and units.dtype == np.uint8 else _dense(key)
+            self.ranks.append(rank)
+        self.order = np.argsort(rank, kind="stable")
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Lengths of the longest common prefixes of the suffixes at a and b."""
+        room = np.minimum(self.room[a], self.room[b])
+        size = np.zeros(len(a), np.int64)
+        for k in range(len(self.ranks) - 1, -1, -1):
+            todo = np.flatnonzero(size < room)
+            same = self.ranks[k][a[todo] + size[todo]] == self.ranks[k][b[todo] + size[todo]]
+            size[todo[same]] += 1 << k
+        return np.minimum(size, room)
+
+    def factors(self, least: int = 1, later: bool = False) -> np.ndarray:
+        """For each position the length of the longest factor from there on that also starts earlier (``later``: later); 0 if under ``least``.
+
+        That factor is shared with the previous or the next smaller (larger) position in suffix order.
+        """
+        out = np.zeros(len(self.order), np.int64)
+        k = min(least.bit_length() - 1, len(self.ranks) - 1)
+        x = -self.order if later else self.order
+        for side in (1, -1):
+            near = nearest_smaller(x[::side])
+            own = np.flatnonzero(near >= 0)
+            at, source = self.order[::side][own], self.order[::side][near[own]]
+            may = self.ranks[k][at] == self.ranks[k][source]
+            at, source = at[may], source[may]
+            out[at] = np.maximum(out[at], self.common(at, source))
+        out[out < least] = 0
+        return out
+
+
+def nearest_smaller(x: np.ndarray) -> np.ndarray:
+    """For each place the nearest one before it with a smaller value, or -1: candidates step along the candidates of those that they meet."""
+    near = np.arange(-1, len(x) - 1)
+    todo = np.arange(1, len(x))
+    while len(todo):
+        todo = todo[x[near[todo]] > x[todo]]
+        near[todo] = near[near[todo]]
+        todo = todo[near[todo] >= 0]
+    return near
+
+
+def factor_runs(units: np.ndarray, off: np.ndarray, length: int, both: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Part, start and end of the runs covered by repeated windows of ``length`` units, parts being in order of precedence; ``both``: of first places too."""
+    order = SuffixOrder(units, off)
+    hit = order.factors(length) > 0
     if both:
-        hit[suffixes[:-1][same]] = True
+        hit |= order.factors(length, later=True) > 0
     found = np.flatnonzero(hit)
-    if not len(found):
-        return []
     part = np.searchsorted(off, found, side="right") - 1
-    gap = np.flatnonzero((np.diff(found) > length) | (np.diff(part) > 0))
-    first, last = np.concatenate([[0], gap + 1]), np.concatenate([gap, [len(found) - 1]])
-    return [(int(part[a]), int(found[a] - off[part[a]]), int(found[b] - off[part[a]] + length)) for a, b in zip(first, last, strict=True)]
+    new = np.ones(len(found), bool)
+    new[1:] = (np.diff(found) > length) | (np.diff(part) > 0)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(found)) - 1 if len(first) else first
+    return part[first], found[first] - off[part[first]], found[last] - off[part[first]] + length
 
 
-def _dense(keys: np.ndarray) -> np.ndarray:
-    order = np.argsort(keys)
-    ordered = keys[order]
-    out = np.empty(len(keys), np.int64)
-    step = np.zeros(len(keys), np.int64)
-    step[1:] = ordered[1:] != ordered[:-1]
-    out[order] = np.cumsum(step)
-    return out
+def _strings(units: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The stretches of a sequence as binary values."""
+    size = end - start
+    off = np.zeros(len(start) + 1, np.int64)
+    np.cumsum(size, out=off[1:])
+    flat = np.ascontiguousarray(units[np.arange(off[-1]) + np.repeat(start - off[:-1], size)])
+    return pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(off * units.itemsize), pa.py_buffer(flat)]).cast(pa.binary())
+
+
+def _units_of(strings: pa.Array | pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """What _strings made, end to end, and where each begins."""
+    buf, off = utf8(strings.cast(pa.large_binary()), as_is=True)
+    width = np.dtype(kind).itemsize
+    return np.frombuffer(buf.tobytes(), kind), off // width
 
 
-def _find(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("s", pa.int32()), ("e", pa.int32()), ("h", pa.int64()), ("fp", pa.int64())])
+def _find(docs: DataFrame, length: int, gram: int, unit: str) -> DataFrame:
+    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("s", pa.int32()), ("e", pa.int32()), ("a", pa.int32()), ("h", pa.int64()), ("fp", pa.int64())])
+    split = UNITS[unit][0]
 
     def run(b):
         buf, off = utf8(b.column(2))
         for i, j in chunks(off):
-            rows, s, e, h, fp = segments(buf[off[i] : off[j]], off[i : j + 1] - off[i], length, gram)
+            rows, s, e, a, h, fp = segments(*split(buf[off[i] : off[j]], off[i : j + 1] - off[i]), length, gram)
             if len(rows):
                 own = b.select([0, 1]).slice(i, j - i).take(pa.array(rows))
-                yield batch({"doc_id": own.column(0), "th": own.column(1), "s": s.astype(np.int32), "e": e.astype(np.int32), "h": h.view(np.int64), "fp": fp.view(np.int64)}, schema)
+                yield batch({"doc_id": own.column(0), "th": own.column(1), "s": s.astype(np.int32), "e": e.astype(np.int32), "a": a.astype(np.int32), "h": h.view(np.int64), "fp": fp.view(np.int64)}, schema)
 
-    return map_batches(docs, run, "doc_id long, th long, s int, e int, h long, fp long")
+    return map_batches(docs, run, "doc_id long, th long, s int, e int, a int, h long, fp long")
 
 
-def _cut(texts: DataFrame) -> DataFrame:
-    """(__k, __h, text, __segs, ...) to one row for each segment, with its bytes."""
-    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("s", pa.int32()), ("h", pa.int64()), ("sub", pa.int32()), ("part", pa.binary())])
-
-    def run(b):
-        out: dict[str, list] = {k: [] for k in schema.names}
-        size = 0
-        for doc_id, th, text, segs in zip(*(b.column(b.schema.get_field_index(k)).to_pylist() for k in ("__k", "__h", "text", "__segs")), strict=True):
-            raw = text.encode()
-            for x in segs:
-                for k, v in zip(schema.names, (doc_id, th, x["s"], x["h"], x["sub"], raw[x["s"] : x["e"]]), strict=True):
-                    out[k].append(v)
-                size += x["e"] - x["s"]
-            if size > 16 * CHUNK_BYTES:
-                yield batch(out, schema)
-                out, size = {k: [] for k in schema.names}, 0
-        if out["h"]:
-            yield batch(out, schema)
-
-    return map_batches(texts, run, "doc_id long, th long, s int, h long, sub int, part binary")
-
-
-def _suffix_sorted(parts: DataFrame, length: int, both: bool) -> DataFrame:
-    """Spans of the segments, which come sorted by anchor and precedence; whole anchors are gathered up to SUFFIX_BYTES."""
-    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("s", pa.int32()), ("e", pa.int32())])
+_PIECE = "key long, doc_id long, th long, s int, a int, lo int, hi int, hot boolean, part binary"
 
-    def solve(rows):
-        found = factor_runs([r[3] for r in rows], length, both)
-        return batch({"doc_id": pa.array([rows[p][0] for p, _, _ in found], pa.int64()), "th": pa.array([rows[p][1] for p, _, _ in found], pa.int64()), "s": pa.array([rows[p][2] + a for p, a, _ in found], pa.int32()), "e": pa.array([rows[p][2] + z for p, _, z in found], pa.int32())}, schema)
 
-    def run(batches):
-        rows, size, last = [], 0, None
-        for b in batches:
-            for doc_id, th, s, h, part in zip(*(b.column(k).to_pylist() for k in (0, 1, 2, 3, 5)), strict=True):
-                if h != last and size > SUFFIX_BYTES:
-                    yield solve(rows)
-                    rows, size = [], 0
-                if not rows or h != last or rows[-1][:3] != (doc_id, th, s):  # else of a repeated row
-                    rows.append((doc_id, th, s, part))
-                    size += len(part)
-                last = h
-        if rows:
-            yield solve(rows)
-
-    return parts.mapInArrow(tidy(run), "doc_id long, th long, s int, e int")
-
-
-def _window_rows(parts: DataFrame, length: int) -> DataFrame:
-    """Every window of the segments with its hash, for anchors with too many different segments for one task."""
-    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("p", pa.int32()), ("w", pa.int64()), ("v", pa.int64())])
+def _cut(texts: DataFrame, unit: str, most: int) -> DataFrame:
+    """(__k, __h, text, __segs, ...) to one row for each segment, with its units and the place of its anchor among them."""
+    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), ("s", pa.int32()), ("a", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32()), ("hot", pa.bool_()), ("part", pa.binary())])
+    split = UNITS[unit][0]
 
     def run(b):
-        buf, off = utf8(b.column(5).cast(pa.large_binary()).view(pa.large_string()))
+        buf, off = utf8(b.column("text"))
         for i, j in chunks(off):
-            part, o = buf[off[i] : off[j]], off[i : j + 1] - off[i]
-            p = np.flatnonzero(np.repeat(o[1:], np.diff(o)) - np.arange(len(part)) >= length)
-            row = np.searchsorted(o, p, side="right") - 1
-            own = b.select(["doc_id", "th", "s"]).slice(i, j - i).take(pa.array(row))
-            yield batch({"doc_id": own.column(0), "th": own.column(1), "p": (p - o[row] + own.column(2).to_numpy()).astype(np.int32), "w": RollingHash(part, 0)(p, p + length).view(np.int64), "v": RollingHash(part, 1)(p, p + length).view(np.int64)}, schema)
+            units, o = split(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+            lists = b.column("__segs").slice(i, j - i)
+            row = np.repeat(np.arange(j - i), pc.list_value_length(lists).to_numpy())
+            flat = lists.flatten()
+            s, e, a, h, hot = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(5))
+            for x in range(0, len(s), 256):
+                y = slice(x, x + 256)
+                own = b.select(["__k", "__h"]).slice(i, j - i).take(pa.array(row[y]))
+                zero = np.zeros(len(s[y]), np.int32)
+                yield batch({"key": h[y], "doc_id": own.column(0), "th": own.column(1), "s": s[y], "a": a[y] - s[y], "lo": zero, "hi": zero + np.int32(most), "hot": hot[y], "part": _strings(units, o[row[y]] + s[y], o[row[y]] + e[y])}, schema)
+
+    return map_batches(texts, run, _PIECE)
+
+
+def _halves(pieces: DataFrame, unit: str, length: int, gram: int) -> DataFrame:
+    """Pieces of groups that are too large, each dealt to one or two smaller groups.
+
+    A piece holds the windows that begin ``lo`` to ``hi`` units before its anchor, as far as its text has them. Those of either
+    half of that range share a longer stretch around the anchor than all do, and that stretch is the key of the new group. So
+    windows that are equal stay together, and windows of a range of one have all their units in the key.
+    """
+    schema = pa.schema([("key", pa.int64()), ("fp", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), ("s", pa.int32()), ("a", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32()), ("part", pa.binary())])
+    kind = UNITS[unit][1]
+
+    def run(b):
+        strings = b.column("part").cast(pa.large_binary())
+        for i, j in chunks(utf8(strings, as_is=True)[1]):
+            units, off = _units_of(strings.slice(i, j - i), kind)
+            key, doc_id, th, s, a, lo, hi = (b.column(k).slice(i, j - i).to_numpy() for k in ("key", "doc_id", "th", "s", "a", "lo", "hi"))
+            hashed, base = RollingHash(units), off[:-1]
+            far, near = a, a - (np.diff(off) - length)  # the first and the last window's distance
+            mid = (lo + hi) // 2
+            for child, (l, h) in enumerate(((lo, mid), (mid + 1, hi))):
+                d1, d0 = np.minimum(far, h), np.maximum(near, l)
+                own = np.flatnonzero((d1 >= d0) & (lo < hi))
+                if not len(own):
+                    continue
+                l, h, d1, d0, o, at = l[own], h[own], d1[own], d0[own], base[own], a[own]
+                start, end = o + at - d1, o + at - d0 + length
+                stretch = hashed(o + at - l, o + at + length - h)
+                new = (key[own].view(np.uint64) * np.uint64(0x9DDFEA08EB382D69) + stretch) * np.uint64(2) + np.uint64(child)
+                yield batch({"key": new.view(np.int64), "fp": hashed(start, end).view(np.int64), "doc_id": doc_id[own], "th": th[own], "s": (s[own] + at - d1).astype(np.int32), "a": d1.astype(np.int32), "lo": l.astype(np.int32), "hi": h.astype(np.int32), "part": _strings(units, start, end)}, schema)
+
+    return map_batches(pieces, run, _PIECE.replace("hot boolean, ", "").replace("key long", "key long, fp long"))
+
+
+def _suffix_sorted(parts: DataFrame, unit: str, length: int, both: bool) -> DataFrame:
+    """Spans of the pieces, which come sorted by group and precedence; whole groups are gathered up to SUFFIX_BYTES."""
+    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("s", pa.int32()), ("e", pa.int32())])
+    kind = UNITS[unit][1]
 
-    return map_batches(parts, run, "doc_id long, th long, p int, w long, v long")
+    def run(batches):
+        for t in grouped(batches, ["key"], SUFFIX_BYTES, lambda b: pc.binary_length(b.column("part")).to_numpy()):
+            key, doc_id, th, s = (t.column(k).to_numpy() for k in ("key", "doc_id", "th", "s"))
+            again = np.zeros(len(key), bool)  # of a repeated row
+            again[1:] = (key[1:] == key[:-1]) & (doc_id[1:] == doc_id[:-1]) & (th[1:] == th[:-1]) & (s[1:] == s[:-1])
+            own = np.flatnonzero(~again)
+            part, start, end = factor_runs(*_units_of(t.column("part").take(pa.array(own)), kind), length, both)
+            part = own[part]
+            yield batch({"doc_id": doc_id[part], "th": th[part], "s": (s[part] + start).astype(np.int32), "e": (s[part] + end).astype(np.int32)}, schema)
 
+    return parts.select("key", "doc_id", "th", "s", "part").mapInArrow(tidy(run), "doc_id long, th long, s int, e int")
 
-def repeated_spans(docs: DataFrame, length: int = 400, keep: str = "none", gram: int | None = None) -> DataFrame:
-    """Spans (doc_id, th, s, e), byte offsets, of ``docs(__k, __h, text, ...)`` that lie in repeated strings of ``length`` bytes.
+
+def repeated_spans(docs: DataFrame, length: int = 400, keep: str = "none", gram: int | None = None, unit: str = "bytes") -> DataFrame:
+    """Spans (doc_id, th, s, e), in units, of ``docs(__k, __h, text, ...)`` that lie in repeated strings of ``length`` units.
 
     ``__k`` is the id and ``__h`` a hash of the text; rows equal in both are copies of each other. With ``keep="first"`` a string's first
     place, in the order (doc_id, th, offset), is left out, for ``"none"`` all its places are given. Spans may overlap.
     """
     gram = gram or max(1, length // 4)
     both = keep == "none"
-    found = written(_find(docs.select("__k", "__h", "text"), length, gram))
+    found = written(_find(docs.select("__k", "__h", "text"), length, gram, unit))
     # Counts are written before they are joined: between two plain shuffles Spark splits a hot anchor over tasks.
     anchors = found.groupBy("h").agg(F.count("*").alias("n"), F.min("fp").alias("f0"), F.max("fp").alias("f1")).where("n > 1")
     hits = written(found.join(written(anchors.select("h", (F.col("f0") != F.col("f1")).alias("mixed"))), "h"))
     place = F.struct("doc_id", "th", "s")
-    kinds = written(hits.groupBy("h", "fp", "mixed").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "s", "e")).alias("first")))
+    kinds = written(hits.groupBy("h", "fp", "mixed").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "s", "e", "a")).alias("first")))
     again = hits.where("mixed" if both else "true").join(kinds.where("n > 1").select("h", "fp", F.struct("first.doc_id", "first.th", "first.s").alias("place")), ["h", "fp"])
     plain = again if both else again.where(place != F.col("place"))
-    plain = plain.select("doc_id", "th", "s", "e")
+    spans = [plain.select("doc_id", "th", "s", "e")]
     if both:
-        plain = plain.unionByName(hits.where("NOT mixed").select("doc_id", "th", "s", "e"))
+        spans.append(hits.where("NOT mixed").select("doc_id", "th", "s", "e"))
     kinds = kinds.where("mixed")
-    wide = written(kinds.groupBy("h").agg(F.count("*").alias("m")).where(F.col("m") > GROUP_LIMIT).select("h", F.lit(1).alias("sub")))
-    # sub 0: suffix order; 1: by window. Copies settled by counting stay, as what others are compared with.
-    segs = kinds.join(wide, "h", "left").select(F.col("first.doc_id").alias("doc_id"), F.col("first.th").alias("th"), F.struct("first.s", "first.e", "h", F.coalesce("sub", F.lit(0)).alias("sub")).alias("seg"))
+    wide = written(kinds.groupBy("h").agg(F.count("*").alias("m")).where(F.col("m") > GROUP_LIMIT).select("h", F.lit(True).alias("hot")))
+    # Copies settled by counting stay, once, as what others are compared with.
+    segs = kinds.join(wide, "h", "left").select(F.col("first.doc_id").alias("doc_id"), F.col("first.th").alias("th"), F.struct("first.s", "first.e", "first.a", "h", F.coalesce("hot", F.lit(False)).alias("hot")).alias("seg"))
     segs = segs.groupBy("doc_id", "th").agg(F.collect_list("seg").alias("__segs"))
     # All columns go along, so that this shuffle of the texts is the one that remove_repeats joins the spans to.
-    parts = _cut(_of(docs, segs, "inner"))
-    ordered = parts.where("sub = 0").repartition(F.col("h")).sortWithinPartitions("h", "doc_id", "th", "s")
-    exact = _suffix_sorted(ordered, length, both)
-    by_window = _window_rows(parts.where("sub = 1").dropDuplicates(["doc_id", "th", "s"]), length)
-    again = by_window.groupBy("w", "v").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "p")).alias("w0")).where("n > 1").drop("n")
-    repeated = by_window.join(again, ["w", "v"])
-    if not both:
-        repeated = repeated.where(F.struct("doc_id", "th", "p") != F.col("w0"))
-    return plain.unionByName(exact).unionByName(repeated.select("doc_id", "th", F.col("p").alias("s"), (F.col("p") + length).cast("int").alias("e")))
-
-
-def passages(buf: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of each string of ``n_words`` words of a text: with and without the punctuation before its first and behind its last word."""
-    s, e, _ = words(buf, np.array([0, len(buf)]))
-    n = len(s) - n_words + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    core = np.flatnonzero(_CORE[buf])
-    a, z = np.searchsorted(core, s), np.searchsorted(core, e)
-    has = np.flatnonzero(z > a)
-    s0, e0 = s.copy(), e.copy()
-    s0[has], e0[has] = core[a[has]], core[z[has] - 1] + 1
-    s, s0, e, e0 = s[:n], s0[:n], e[n_words - 1 :], e0[n_words - 1 :]
-    left, right = np.flatnonzero(s0 != s), np.flatnonzero(e0 != e)
-    both = np.intersect1d(left, right)
-    return np.concatenate([s, s0[left], s[right], s0[both]]), np.concatenate([e, e[left], e0[right], e0[both]])
-
-
-def _passage_rows(texts: DataFrame, n_words: int) -> DataFrame:
-    """(__k, __h, text, __spans, ...) to a row for each of the passages that lie in a run of the spans, with its hash."""
-    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("s", pa.int32()), ("e", pa.int32()), ("w", pa.int64()), ("v", pa.int64())])
-
-    def run(b):
-        out, size = [], 0
-        for doc_id, th, text, spans in zip(*(b.column(b.schema.get_field_index(k)).to_pylist() for k in ("__k", "__h", "text", "__spans")), strict=True):
-            buf = np.frombuffer(text.encode(), np.uint8)
-            found = np.array(merge(np.array([x["s"] for x in spans]), np.array([x["e"] for x in spans])))
-            s, e = passages(buf, n_words)
-            at = np.searchsorted(found[:, 0], s, side="right") - 1
-            inside = (at >= 0) & (e <= found[at, 1])
-            s, e = s[inside], e[inside]
-            if len(s):
-                out.append((np.full(len(s), doc_id), np.full(len(s), th), s.astype(np.int32), e.astype(np.int32), *(RollingHash(buf, k)(s, e).view(np.int64) for k in (0, 1))))
-                size += len(s)
-            if size > CHUNK_BYTES:
-                yield batch(dict(zip(schema.names, map(np.concatenate, zip(*out, strict=True)), strict=True)), schema)
-                out, size = [], 0
-        if out:
-            yield batch(dict(zip(schema.names, map(np.concatenate, zip(*out, strict=True)), strict=True)), schema)
-
-    return map_batches(texts, run, "doc_id long, th long, s int, e int, w long, v long")
-
-
-def repeated_passages(docs: DataFrame, length: int, n_words: int) -> DataFrame:
-    """Spans as of repeated_spans with ``keep="first"``, of repeated strings of ``length`` bytes and of those of ``n_words`` words whatever their bytes.
-
-    ``n_words`` words have 2 * n_words - 1 bytes at least, so suffix order to that depth finds every place of either kind; within what
-    it finds, the strings of ``n_words`` words are counted, and the strings of ``length`` bytes sought, exactly. Shorter repeats stay, also
-    where several of them touch.
-    """
-    least = 2 * n_words - 1
-    assert least <= length
-    runs = written(repeated_spans(docs, least, "none").groupBy("doc_id", "th").agg(F.collect_set(F.struct("s", "e")).alias("__spans")))
-    rows = written(_passage_rows(_of(docs, runs, "inner"), n_words))
-    place = F.struct("doc_id", "th", "s")
-    # Written before the join, as in repeated_spans.
-    again = written(rows.groupBy("w", "v").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("w", "v", "first"))
-    later = rows.join(again, ["w", "v"]).where(place != F.col("first")).select("doc_id", "th", "s", "e")
-    # A repeated string of ``length`` bytes lies in spans that add up to as many.
-    long_ = runs.where(F.aggregate("__spans", F.lit(0).cast("long"), lambda n, x: n + x["e"] - x["s"]) >= length).select("doc_id", "th", F.lit(1).alias("__long"))
-    return later.unionByName(repeated_spans(_of(docs, long_, "inner").drop("__long"), length, "first"))
+    parts = _cut(_of(docs, segs, "inner"), unit, length - gram)
+    sort = lambda p: p.repartition(F.col("key")).sortWithinPartitions("key", "doc_id", "th", "s")
+    spans.append(_suffix_sorted(sort(parts.where("NOT hot")), unit, length, both))
+    hot = parts.where("hot")
+    while not wide.isEmpty():
+        pieces = written(_halves(hot, unit, length, gram))
+        kinds = written(pieces.groupBy("key", "fp").agg(F.min(place).alias("first"), F.max(place).alias("last")))
+        again = pieces.join(kinds.where("first != last").select("key", "fp", "first"), ["key", "fp"])
+        again = again if both else again.where(place != F.col("first"))
+        spans.append(again.select("doc_id", "th", "s", (F.col("s") + F.octet_length("part") / np.dtype(UNITS[unit][1]).itemsize).cast("int").alias("e")))
+        sizes = written(kinds.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"))
+        wide = sizes.where(F.col("m") > GROUP_LIMIT)
+        kinds = written(kinds.join(sizes, "key").select("key", "fp", "first", (F.col("m") > GROUP_LIMIT).alias("hot")))
+        parts = pieces.join(kinds, ["key", "fp"]).where(place == F.col("first"))
+        spans.append(_suffix_sorted(sort(parts.where("NOT hot")), unit, length, both))
+        hot = parts.where("hot")
+    out = spans[0]
+    for x in spans[1:]:
+        out = out.unionByName(x)
+    return out
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -315,33 +351,38 @@ def merge(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(s[first].tolist(), e[last].tolist(), strict=True))
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, keep: str = "first", as_text: bool = False, n_words: int | None = None) -> DataFrame:
-    """All rows and columns of ``docs(doc_id, text, ...)`` plus ``kept`` (bytes that stay), ``n_bytes``, ``n_removed`` and ``spans``.
+def remove_repeats(docs: DataFrame, length: int = 400, keep: str = "first", as_text: bool = False, unit: str = "bytes") -> DataFrame:
+    """All rows and columns of ``docs(doc_id, text, ...)`` plus ``kept`` (bytes that stay), ``n_bytes``, ``n_removed`` and ``spans`` (in bytes).
 
-    With ``as_text`` kept is a string, without the characters that a span's ends cut through. With ``n_words`` later places of
-    repeated strings of that many words go too (``keep="first"`` only).
+    ``unit`` is what ``length`` counts: bytes, or words, which are compared without the punctuation around them and go with it,
+    and with what lies between them. With ``as_text`` kept is a string, without the characters that a span's ends cut through.
 
-    Null texts are empty; texts under ``length`` bytes stay whole; an empty table gives none. Rows equal in doc_id and text
+    Null texts are empty; texts under ``length`` units stay whole; an empty table gives none. Rows equal in doc_id and text
     are copies of each other; with ``keep="first"`` such a row keeps what its first place keeps, so both rows of such a
-    pair keep it. Columns named like the added ones are replaced.
+    pair keep it. Columns named like the added ones are replaced. Equality of long segments is that of 64-bit hashes.
     """
     docs = docs.drop("kept", "n_bytes", "n_removed", "spans", "__k", "__h")
     own = keyed(docs)
-    if n_words is not None and keep != "first":
-        raise ValueError("n_words goes with keep='first'")
-    spans = repeated_spans(own, length, keep) if n_words is None else repeated_passages(own, length, n_words)
+    spans = repeated_spans(own, length, keep, unit=unit)
     spans = spans.groupBy("doc_id", "th").agg(F.collect_set(F.struct("s", "e")).alias("__spans"))
     joined = _of(own, spans, "left").drop("__k", "__h")
     names = docs.columns
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
+    def runs_of(raw, found):
+        merged = merge(np.array([x["s"] for x in found]), np.array([x["e"] for x in found]))
+        if unit == "words":
+            start, end, _ = words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+            merged = [(int(start[a]), int(end[z - 1])) for a, z in merged]
+        return merged
+
     def run(b):
         kept, total, gone, runs = [], [], [], []
         for text, found in zip(b.column(names.index("text")).to_pylist(), b.column(len(names)).to_pylist(), strict=True):
             raw = (text or "").encode()
-            merged = merge(np.array([x["s"] for x in found]), np.array([x["e"] for x in found])) if found else []
+            merged = runs_of(raw, found) if found else []
             edges = [0, *(p for x in merged for p in x), len(raw)]
-            kept.append(b"".join(raw[a:z] for a, z in zip(edges[::2], edges[1::2], strict=True)))
+            kept.append(b"".join(raw[a:z] for a, z in zip(edges[::2], edges[1::2], strict=True)) if merged else raw)
             total.append(len(raw))
             gone.append(len(raw) - len(kept[-1]))
             runs.append([{"s": a, "e": z} for a, z in merged])
@@ -357,7 +398,7 @@ def digest(docs: DataFrame, length: int = 400) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-def brute_force(texts: list[bytes], length: int) -> list[list[tuple[int, int]]]:
+def brute_force(texts: list, length: int) -> list[list[tuple[int, int]]]:
     """Spans by looking at every window; for tests."""
     seen: dict[bytes, int] = {}
     for t in texts:

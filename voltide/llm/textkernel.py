@@ -44,12 +44,13 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class RollingHash:
-    """64-bit polynomial hashes of any substrings of a buffer, from prefix sums; ``which`` picks one of two families."""
+    """64-bit polynomial hashes of any stretches of a sequence of bytes or 64-bit values, from prefix sums; ``which`` picks one of two families."""
 
     def __init__(self, buf: np.ndarray, which: int = 0):
         up, self.down = powers(len(buf) + 1)
         self.sums = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum(_TABLES[which][buf] * up[:-1], out=self.sums[1:])
+        terms = _TABLES[which][buf] if buf.dtype == np.uint8 else mix(buf + _TABLES[which][0])
+        np.cumsum(terms * up[:-1], out=self.sums[1:])
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.down[start])
@@ -60,11 +61,12 @@ class RollingHash:
         return mix((self.sums[k:] - self.sums[:n]) * self.down[:n])
 
 
-def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and row offsets of a string column; null is an empty text."""
+def utf8(column: pa.Array | pa.ChunkedArray, as_is: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and row offsets of a string column, null being an empty text; ``as_is``: of large binary values without nulls."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    if not as_is:
+        column = pc.fill_null(column.cast(pa.large_string()), "")
     buffers = column.buffers()
     off = np.frombuffer(buffers[1], np.int64, len(column) + 1, column.offset * 8) if len(column) else np.zeros(1, np.int64)
     data = np.frombuffer(buffers[2], np.uint8) if buffers[2] is not None and buffers[2].size else np.zeros(0, np.uint8)
@@ -89,6 +91,17 @@ def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return runs(~_SPACE[buf], off)
 
 
+def word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of sorted stretches, some CHUNK_BYTES of the buffer at a time."""
+    out = np.empty(len(start), np.uint64)
+    i = 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(start, start[i] + CHUNK_BYTES)))
+        out[i:j] = RollingHash(buf[start[i] : end[j - 1]])(start[i:j] - start[i], end[i:j] - start[i])
+        i = j
+    return out
+
+
 def runs(inside: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and rows of the maximal runs of true positions, cut at row borders."""
     n = len(inside)
@@ -119,6 +132,32 @@ def batch(columns: dict[str, pa.Array | np.ndarray], schema: pa.Schema) -> pa.Re
     return pa.RecordBatch.from_arrays([x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x, type=schema.field(k).type) for k, x in columns.items()], schema=schema)
 
 
+def grouped(batches, names: list[str], limit: int, size: Callable[[pa.RecordBatch], np.ndarray]) -> Iterator[pa.Table]:
+    """Whole groups of the rows, sorted by ``names``, gathered to at least ``limit`` by ``size`` of a row."""
+    kept, amount, open_key = [], 0, None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = np.stack([b.column(b.schema.get_field_index(x)).to_numpy() for x in names])
+        change = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+        weights = np.concatenate([[0], np.cumsum(size(b))])
+        begin = 0
+        for x in [0, *change.tolist()]:
+            key = tuple(keys[:, x])
+            if key != open_key and amount + weights[x] - weights[begin] >= limit:
+                if x > begin:
+                    kept.append(b.slice(begin, x - begin))
+                if kept:
+                    yield pa.Table.from_batches(kept)
+                kept, amount, begin = [], 0, x
+            open_key = key
+        if begin < b.num_rows:
+            kept.append(b.slice(begin))
+            amount += weights[-1] - weights[begin]
+    if kept:
+        yield pa.Table.from_batches(kept)
+
+
 def release() -> None:
     """Give freed memory back to the system: idle Python workers stay for a minute and share their executor's memory."""
     pa.default_memory_pool().release_unused()
