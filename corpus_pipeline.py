@@ -38,8 +38,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 @_on_workers
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of passages of over 50 words, and of 400-byte strings, are cut out of the texts; documents of which no word is left go."""
-    out = suffix_dedup.remove_repeats(docs, length=400, keep="first", as_text=True, n_words=51)
+    """Later copies of passages of over 50 words are cut out of the texts; documents of which no word is left go."""
+    out = suffix_dedup.remove_repeats(docs, length=51, keep="first", as_text=True, unit="words")
     out = out.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.where((F.col("n_removed") == 0) | F.col("text").rlike(mixing.WORD)).select(*docs.columns)
 
