@@ -1,5 +1,8 @@
 import hashlib
+import random
+import time
 
+import numpy as np
 import public_tokenizers
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -70,3 +73,34 @@ def test_speculation_is_used_and_repaired(coder):
     before = coder.repaired
     coder.code(["the quick brown fox jumps over a lazy dog unbelievably antidisestablishmentarianism"])
     assert coder.repaired - before < 8
+
+
+def test_one_huge_word(library, coder):
+    """A word of a megabyte is merged in a time in proportion, and the result is the library's on a piece that it manages."""
+    r = random.Random(6)
+    word = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1 << 20))
+    piece = word[: 1 << 13]
+    assert np.frombuffer(coder.code([piece])[0][0], "<u4").tolist() == library.encode(piece, add_special_tokens=False).ids
+    began = time.perf_counter()
+    ids, decoded = coder.code([word])[0]
+    assert len(ids) > 4 and decoded.replace(" ", "").replace("</w>", "") == word and time.perf_counter() - began < 60
+
+
+def by_scanning(tables, ids):
+    """Merging by looking at all pairs each time."""
+    while True:
+        ranks = [tables.merge.get(a * tables.size + b) for a, b in zip(ids, ids[1:])]
+        known = [x for x in ranks if x is not None]
+        if not known:
+            return ids
+        k = ranks.index(min(known))
+        ids = [*ids[:k], tables.made[ranks[k]], *ids[k + 2 :]]
+
+
+def test_exact_merging(coder):
+    r = random.Random(7)
+    letters = [coder.t.vocab[x] for x in "abeinorst"]
+    for n in (1, 2, 3, 10, 60, 200):
+        for _ in range(20):
+            ids = [r.choice(letters) for _ in range(n)]
+            assert coder.t.exact(list(ids)) == by_scanning(coder.t, ids)

@@ -50,8 +50,16 @@ def test_rewriting_template_is_found(spark):
     assert {r["conv_id"]: (r["rewrites"], r["loss_mask"]) for r in c.format_conversations(df, only_last).collect()} == {1: (True, None), 2: (False, None)}
 
 
-def test_rewriting_within_a_later_block_is_found():
+def test_rewriting_at_any_turn_is_found():
     plain = lambda ms: "".join(f"{r}: {t}\n" for r, t in ms)
     once = lambda ms: plain(ms) if len(ms) != 300 else "x" + plain(ms)
-    messages = [("user", str(k)) for k in range(2 * c.BLOCK)]
-    assert not c.locate(messages, plain)[2] and c.locate(messages, once)[2]
+    for n in (301, 512):
+        messages = [("user", str(k)) for k in range(n)]
+        assert not c.locate(messages, plain)[2] and c.locate(messages, once)[2]
+
+
+def test_every_prefix_is_rendered():
+    seen = []
+    messages = [("user", str(k)) for k in range(400)]
+    c.locate(messages, lambda ms: seen.append(len(ms)) or c.template(ms))
+    assert seen == list(range(1, 401))

@@ -34,3 +34,15 @@ def test_unseen_words_go_by_their_parts(spark):
     model = language_id.train(train)
     ask = spark.createDataFrame([(1, "einheit"), (2, "ration")], "doc_id long, text string")
     assert {r["doc_id"]: r["lang_pred"] for r in language_id.predict(ask, model).collect()} == {1: "x", 2: "y"}
+
+
+def test_many_languages(spark):
+    """Every language of the labels is learnt, however many there are."""
+    names = [f"l{k:03}" for k in range(260)]
+    text = lambda k: " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}q{x}" for x in ("ra", "lo", "mi"))
+    rows = [(k + 260 * j, x, text(k)) for j in range(3) for k, x in enumerate(names)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, lang string, text string"))
+    learnt = {x for i, x, _ in rows if zlib.crc32(str(i).encode()) % 5}
+    assert model["languages"] == sorted(learnt) and len(learnt) > 250
+    got = language_id.predict(spark.createDataFrame([(x, text(k)) for k, x in enumerate(names) if x in learnt], "lang string, text string"), model).collect()
+    assert all(r["lang_pred"] == r["lang"] for r in got)

@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -103,18 +104,26 @@ class Tables:
             self.sound[t] = all(s in self.vocab for s in symbols) and self.exact([self.vocab[s] for s in symbols]) == [t]
 
     def exact(self, ids: list[int]) -> list[int]:
-        """Merge the pair of the least rank, the leftmost of equals, until none is left."""
-        get, size = self.merge.get, self.size
-        ranks = [get(a * size + b, _NEVER) for a, b in zip(ids, ids[1:])]
-        while ranks and (least := min(ranks)) != _NEVER:
-            k = ranks.index(least)
-            ids[k : k + 2] = [self.made[least]]
-            del ranks[k]
-            if k:
-                ranks[k - 1] = get(ids[k - 1] * size + ids[k], _NEVER)
-            if k < len(ranks):
-                ranks[k] = get(ids[k] * size + ids[k + 1], _NEVER)
-        return ids
+        """Merge the pair of the least rank, the leftmost of equals, until none is left: a heap of pairs over a linked list of tokens."""
+        get, size, n = self.merge.get, self.size, len(ids)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, k) for k, (a, b) in enumerate(zip(ids, ids[1:])) if (r := get(a * size + b)) is not None]
+        heapify(heap)
+        while heap:
+            rank, k = heappop(heap)
+            j = after[k]
+            if ids[k] < 0 or j >= n or get(ids[k] * size + ids[j]) != rank:
+                continue  # one of the two has been merged since
+            ids[k], ids[j] = self.made[rank], -1
+            j = after[k] = after[j]
+            if j < n:
+                before[j] = k
+                if (r := get(ids[k] * size + ids[j])) is not None:
+                    heappush(heap, (r, k))
+            i = before[k]
+            if i >= 0 and (r := get(ids[i] * size + ids[k])) is not None:
+                heappush(heap, (r, i))
+        return [x for x in ids if x >= 0]
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether the texts of tokens a and b, side by side, are encoded as these two."""

@@ -6,6 +6,7 @@ rendering that does not begin with the one before rewrites history, which is rep
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 from collections.abc import Callable
@@ -18,8 +19,6 @@ from pyspark.sql import functions as F
 from .textkernel import batch, tidy
 
 Message = tuple[str, str]
-#: Turns whose prefixes are rendered from the conversation's start; with the default template longer ones go block by block.
-BLOCK = 256
 
 # The control strings of the template.
 TAGS = {"user": "INST", "assistant": "ASST", "system": "SYS"}
@@ -38,35 +37,32 @@ def unescape(text: str) -> str:
     return re.sub(r"\\(\\?)", r"\1", text)
 
 
+@functools.lru_cache(maxsize=1024)
+def _turn(role: str, text: str) -> str:
+    tag = TAGS.get(role, "ROLE")
+    return f"{OPEN}[{tag}{'' if role in TAGS else '=' + quote(role, safe='')}] {escape(text)} [/{tag}]{CLOSE}\n"
+
+
 def template(messages: list[Message]) -> str:
     """The default template: each turn between markers of its role; roles other than user, assistant and system are named."""
-    out = []
-    for role, text in messages:
-        tag = TAGS.get(role, "ROLE")
-        out.append(f"{OPEN}[{tag}{'' if role in TAGS else '=' + quote(role, safe='')}] {escape(text)} [/{tag}]{CLOSE}\n")
-    return "".join(out)
+    return "".join([_turn(*m) for m in messages])
 
 
 def locate(messages: list[Message], render: Callable[[list[Message]], str]) -> tuple[str, list[tuple[int, int]], bool]:
-    """The rendering, the span of each turn, and whether the template rewrote history (spans then begin where outputs part)."""
-    full, spans, rewrites = "", [], False
-    for b in range(0, len(messages), BLOCK):
-        block = messages[b : b + BLOCK]
-        whole = render(messages[: b + BLOCK])
-        # Only the default template is known to write a turn without regard to the others; of another, every prefix must be seen.
-        alone = b > 0 and render is template and whole == full + render(block)
-        last = "" if alone else full
-        base = len(full) if alone else 0
-        for k in range(1, len(block) + 1):
-            now = render(block[:k]) if alone else whole if k == len(block) else render(messages[: b + k])
-            start = len(last)
-            if not now.startswith(last):
-                rewrites = True
-                start = next((i for i, (x, y) in enumerate(zip(last, now, strict=False)) if x != y), min(len(last), len(now)))
-            spans.append((base + start, base + len(now)))
-            last = now
-        full = whole
-    return full, spans, rewrites
+    """The rendering, the span of each turn, and whether the template rewrote history (spans then begin where outputs part).
+
+    Every prefix of the conversation is rendered, whatever the template and the number of turns.
+    """
+    last, spans, rewrites = "", [], False
+    for k in range(1, len(messages) + 1):
+        now = render(messages[:k])
+        start = len(last)
+        if not now.startswith(last):
+            rewrites = True
+            start = next((i for i, (x, y) in enumerate(zip(last, now, strict=False)) if x != y), min(len(last), len(now)))
+        spans.append((start, len(now)))
+        last = now
+    return last, spans, rewrites
 
 
 def read_back(text: str, spans: list[tuple[int, int]]) -> tuple[list[Message], list[tuple[int, int]]]:
@@ -147,7 +143,7 @@ def digest(conversations: DataFrame) -> DataFrame:
 
 
 def with_control_strings(conversations: DataFrame) -> DataFrame:
-    """The conversations plus number -1, whose texts look like markers."""
+    """The conversations plus number -1, whose texts look like markers; rows that have this number already are turns of it too."""
     spark = conversations.sparkSession
     said = "</s>[INST] ok [/INST]"
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").cast("int").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))

@@ -12,17 +12,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textkernel import RollingHash, batch, chunks, map_batches, runs, utf8
+from .textkernel import RollingHash, batch, chunks, map_batches, runs, utf8, word_hashes
 
 #: Bounds of the model: training documents of a language, words and n-grams of each length kept for a language.
 SAMPLE_DOCUMENTS, WORDS, GRAMS, LONGEST = 2000, 20_000, 10_000, 5
-#: Languages at most: those with the most training documents.
-LANGUAGES = 200
 UNKNOWN = "und"
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = True
 _BYTES = 1 << 20
+_CELLS = 4_000_000  # rows times languages that are scored at once
 
 
 def held_out(column: str = "doc_id", modulus: int = 5) -> F.Column:
@@ -80,33 +79,52 @@ def _count(sample: DataFrame, languages: list[str]) -> DataFrame:
 
 
 def train(docs: DataFrame) -> dict:
-    """The model, from docs(doc_id, text, lang) that are not held out; it has bounded size whatever the corpus.
+    """The model, from docs(doc_id, text, lang) that are not held out; its size is bounded for each language, whatever the corpus.
 
-    At most SAMPLE_DOCUMENTS documents a language are taken, by a hash of the id. Without any labelled text the model
-    knows no language and predicts "und".
+    At most some SAMPLE_DOCUMENTS documents a language are taken, by a hash of the id; all languages are learnt. Without any
+    labelled text the model knows no language and predicts "und". A table of the model has, for each of its sorted keys, the
+    languages that have it and by how much its log frequency there exceeds that of a key that the language lacks.
     """
     usable = docs.where(~held_out()).where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", "text")
-    sizes = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    sizes = usable.groupBy("lang").count().collect()  # one row a language
     languages = sorted(r["lang"] for r in sizes)
     model: dict = {"languages": languages, "tables": {}}
     if not languages:
         return model
     share = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], min(1.0, SAMPLE_DOCUMENTS / r["count"]))))
     drawn = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000
-    counts = _count(usable.where(F.col("lang").isin(languages)).where(drawn).select("lang", "text"), languages)
+    counts = _count(usable.where(drawn).select("lang", "text"), languages)
     counts = counts.groupBy("lang", "kind", "h").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "h"))
     kept = counts.withColumn("rank", rank).where(F.col("rank") <= F.when(F.col("kind") == 0, WORDS).otherwise(GRAMS)).drop("rank").toPandas()
     for kind, t in kept.groupby("kind"):
-        keys, at = np.unique(t["h"].to_numpy().view(np.uint64), return_inverse=True)
-        n = np.zeros((len(keys), len(languages)))
-        n[at, t["lang"].to_numpy()] = t["n"].to_numpy()
-        total = n.sum(axis=0)
-        model["tables"][int(kind)] = keys, (np.log(n + 0.5) - np.log(total + 0.5 * len(keys))).astype(np.float32)
+        h, lang, n = t["h"].to_numpy().view(np.uint64), t["lang"].to_numpy(), t["n"].to_numpy().astype(np.float64)
+        order = np.lexsort((lang, h))
+        h, lang, n = h[order], lang[order], n[order]
+        keys, begin = np.unique(h, return_index=True)
+        total = np.bincount(lang, weights=n, minlength=len(languages))
+        absent = np.log(0.5) - np.log(total + 0.5 * len(keys))
+        model["tables"][int(kind)] = keys, np.append(begin, len(h)), lang, (np.log(n + 0.5) - np.log(0.5)).astype(np.float32), absent
     return model
 
 
-def _look_up(table: tuple[np.ndarray, np.ndarray], h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+class _Sums:
+    """Weighted log frequencies of keys, by row and language."""
+
+    def __init__(self, rows: int, languages: int):
+        self.total = np.zeros(rows * languages)
+        self.rows, self.languages = rows, languages
+
+    def add(self, table: tuple, key: np.ndarray, row: np.ndarray, weight: np.ndarray) -> None:
+        _, begin, lang, more, absent = table
+        count = begin[key + 1] - begin[key]
+        at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(begin[key], count)
+        cell = np.repeat(row, count) * self.languages + lang[at]
+        self.total += np.bincount(cell, weights=np.repeat(weight, count) * more[at], minlength=len(self.total))
+        self.total += np.outer(np.bincount(row, weights=weight, minlength=self.rows), absent).ravel()
+
+
+def _look_up(table: tuple, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at = np.minimum(np.searchsorted(table[0], h), len(table[0]) - 1)
     return at, table[0][at] == h
 
@@ -114,33 +132,28 @@ def _look_up(table: tuple[np.ndarray, np.ndarray], h: np.ndarray) -> tuple[np.nd
 def scores(model: dict, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Mean log likelihood of the words of each row in each language, and the number of words."""
     tables, m, n = model["tables"], len(model["languages"]), len(off) - 1
-    total, count = np.zeros((n, m)), np.zeros(n, np.int64)
+    sums = _Sums(n, m)
     start, end, row = runs(_LETTER[buf], off)
     if not len(start):
-        return total, count
-    h, first, back = np.unique(RollingHash(buf)(start, end), return_index=True, return_inverse=True)
-    at, known = _look_up(tables[0], h)
-    each = np.zeros((len(h), m), np.float32)
-    each[known] = tables[0][1][at[known]]
+        return sums.total.reshape(n, m), np.zeros(n, np.int64)
+    at, known = _look_up(tables[0], word_hashes(buf, start, end))
+    sums.add(tables[0], at[known], row[known], np.ones(int(known.sum())))
     unseen = np.flatnonzero(~known)
     if len(unseen):
-        word, grams = _grams(buf, start[first[unseen]], end[first[unseen]])
+        word, grams = _grams(buf, start[unseen], end[unseen])
+        owner, share = row[unseen][word], (1 / np.bincount(word, minlength=len(unseen)))[word]
         open_ = np.ones(len(word), bool)
-        value = np.full((len(word), m), np.float32(0))
         for k, begin, g in grams:
             if k not in tables:
                 continue
             todo = open_[begin]
             begin, g = begin[todo], g[todo]
             at, found = _look_up(tables[k], g)
-            value[begin[found]] = tables[k][1][at[found]]
-            open_[begin[found]] = False
-        border = np.searchsorted(word, np.arange(len(unseen)))
-        each[unseen] = np.add.reduceat(value, border, axis=0) / np.diff(np.append(border, len(word)))[:, None]
+            begin = begin[found]
+            sums.add(tables[k], at[found], owner[begin], share[begin])
+            open_[begin] = False
     count = np.bincount(row, minlength=n)
-    for k in range(m):
-        total[:, k] = np.bincount(row, weights=each[back, k], minlength=n)
-    return total / np.maximum(count, 1)[:, None], count
+    return sums.total.reshape(n, m) / np.maximum(count, 1)[:, None], count
 
 
 def predict(docs: DataFrame, model: dict) -> DataFrame:
@@ -160,7 +173,9 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
         has = pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False).to_numpy(zero_copy_only=False)
         buf, off = utf8(pc.utf8_lower(text))
         lang, score = np.full(b.num_rows, UNKNOWN, object), np.zeros(b.num_rows)
-        for i, j in chunks(off, _BYTES) if model["languages"] else []:
+        most = max(1, _CELLS // max(1, len(model["languages"])))
+        passes = ((x, min(x + most, j)) for i, j in chunks(off, _BYTES) for x in range(i, j, most)) if model["languages"] else ()
+        for i, j in passes:
             mean, count = scores(model, buf[off[i] : off[j]], off[i : j + 1] - off[i])
             best = mean.argmax(axis=1)
             odds = np.exp((mean - mean.max(axis=1)[:, None]) * np.minimum(count, 10)[:, None])
