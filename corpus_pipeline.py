@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import functools
-import tempfile
 import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltide.llm import bpe, jaccard_join, language_id, mixing, suffix_dedup
+from voltide.llm import bpe, graph, jaccard_join, language_id, mixing, suffix_dedup
 from voltide.session import ship_package
 
 
@@ -26,7 +25,7 @@ def _on_workers(stage):
 
 @_on_workers
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language cannot be told (null text or no letter) go."""
+    """Documents whose language cannot be told (null text or no letter) go; repeated rows and long texts stay as they are, an empty table stays empty."""
     return language_id.predict(docs, language_id.train(docs)).where(F.col("lang_pred") != language_id.UNKNOWN).select(*docs.columns)
 
 
@@ -46,13 +45,13 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_on_workers
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's target asks, in training order."""
+    """Documents as often as their source's target asks, in training order; null texts and empty ones have no words and are not taken, repeated rows are rows of their own."""
     return mixing.mix(docs).select(*docs.columns)
 
 
 @_on_workers
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids, as digests."""
+    """Token ids, as digests: one row for each row, whatever its length; null texts are empty."""
     return bpe.digest(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -65,8 +64,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    folder = f"{shared}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{graph.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
