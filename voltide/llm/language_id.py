@@ -20,7 +20,7 @@ UNKNOWN = "und"
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = True
-_BYTES = 1 << 20
+_BYTES = 1 << 19
 _CELLS = 4_000_000  # rows times languages that are scored at once
 
 

@@ -25,6 +25,8 @@ from .textkernel import CHUNK_BYTES, RollingHash, batch, chunks, grouped, map_ba
 
 #: Different segments of a group up to which they are put into suffix order in one task; larger groups are dealt again.
 GROUP_LIMIT = 2000
+#: Ids (16 bytes each) of texts with large groups up to which they are broadcast.
+FEW = 500_000
 #: Bytes of segments that are put into suffix order at once.
 SUFFIX_BYTES = 1 << 19
 
@@ -195,26 +197,35 @@ def _units_of(strings: pa.Array | pa.ChunkedArray, kind: type) -> tuple[np.ndarr
 
 
 def _find(docs: DataFrame, length: int, gram: int, unit: str) -> DataFrame:
-    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("s", pa.int32()), ("e", pa.int32()), ("a", pa.int32()), ("h", pa.int64()), ("fp", pa.int64())])
+    """Segments of each text, equal ones of one text as one row: where the first begins, and where the others do."""
+    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("s", pa.int32()), ("size", pa.int32()), ("a", pa.int32()), ("h", pa.int64()), ("fp", pa.int64()), ("more", pa.list_(pa.int32()))])
     split = UNITS[unit][0]
 
     def run(b):
         buf, off = utf8(b.column(2))
         for i, j in chunks(off):
             rows, s, e, a, h, fp = segments(*split(buf[off[i] : off[j]], off[i : j + 1] - off[i]), length, gram)
-            if len(rows):
-                own = b.select([0, 1]).slice(i, j - i).take(pa.array(rows))
-                yield batch({"doc_id": own.column(0), "th": own.column(1), "s": s.astype(np.int32), "e": e.astype(np.int32), "a": a.astype(np.int32), "h": h.view(np.int64), "fp": fp.view(np.int64)}, schema)
+            if not len(rows):
+                continue
+            order = np.lexsort((s, fp, h, rows))
+            rows, s, e, a, h, fp = (x[order] for x in (rows, s, e, a, h, fp))
+            new = np.ones(len(rows), bool)
+            new[1:] = (rows[1:] != rows[:-1]) | (h[1:] != h[:-1]) | (fp[1:] != fp[:-1])
+            first = np.flatnonzero(new)
+            others = np.concatenate([[0], np.cumsum(np.diff(np.append(first, len(rows))) - 1)])
+            own = b.select([0, 1]).slice(i, j - i).take(pa.array(rows[first]))
+            more = pa.ListArray.from_arrays(pa.array(others, pa.int32()), pa.array(s[~new], pa.int32()))
+            yield batch({"doc_id": own.column(0), "th": own.column(1), "s": s[first].astype(np.int32), "size": (e - s)[first].astype(np.int32), "a": (a - s)[first].astype(np.int32), "h": h[first].view(np.int64), "fp": fp[first].view(np.int64), "more": more}, schema)
 
-    return map_batches(docs, run, "doc_id long, th long, s int, e int, a int, h long, fp long")
+    return map_batches(docs, run, "doc_id long, th long, s int, size int, a int, h long, fp long, more array<int>")
 
 
-_PIECE = "key long, doc_id long, th long, s int, a int, lo int, hi int, hot boolean, part binary"
+_PIECE = "key long, doc_id long, th long, s int, a int, lo int, hi int, part binary"
 
 
 def _cut(texts: DataFrame, unit: str, most: int) -> DataFrame:
     """(__k, __h, text, __segs, ...) to one row for each segment, with its units and the place of its anchor among them."""
-    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), ("s", pa.int32()), ("a", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32()), ("hot", pa.bool_()), ("part", pa.binary())])
+    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), ("s", pa.int32()), ("a", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32()), ("part", pa.binary())])
     split = UNITS[unit][0]
 
     def run(b):
@@ -224,12 +235,12 @@ def _cut(texts: DataFrame, unit: str, most: int) -> DataFrame:
             lists = b.column("__segs").slice(i, j - i)
             row = np.repeat(np.arange(j - i), pc.list_value_length(lists).to_numpy())
             flat = lists.flatten()
-            s, e, a, h, hot = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(5))
+            s, size, a, h = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(4))
             for x in range(0, len(s), 256):
                 y = slice(x, x + 256)
                 own = b.select(["__k", "__h"]).slice(i, j - i).take(pa.array(row[y]))
                 zero = np.zeros(len(s[y]), np.int32)
-                yield batch({"key": h[y], "doc_id": own.column(0), "th": own.column(1), "s": s[y], "a": a[y] - s[y], "lo": zero, "hi": zero + np.int32(most), "hot": hot[y], "part": _strings(units, o[row[y]] + s[y], o[row[y]] + e[y])}, schema)
+                yield batch({"key": h[y], "doc_id": own.column(0), "th": own.column(1), "s": s[y], "a": a[y], "lo": zero, "hi": zero + np.int32(most), "part": _strings(units, o[row[y]] + s[y], o[row[y]] + s[y] + size[y])}, schema)
 
     return map_batches(texts, run, _PIECE)
 
@@ -263,7 +274,7 @@ def _halves(pieces: DataFrame, unit: str, length: int, gram: int) -> DataFrame:
                 new = (key[own].view(np.uint64) * np.uint64(0x9DDFEA08EB382D69) + stretch) * np.uint64(2) + np.uint64(child)
                 yield batch({"key": new.view(np.int64), "fp": hashed(start, end).view(np.int64), "doc_id": doc_id[own], "th": th[own], "s": (s[own] + at - d1).astype(np.int32), "a": d1.astype(np.int32), "lo": l.astype(np.int32), "hi": h.astype(np.int32), "part": _strings(units, start, end)}, schema)
 
-    return map_batches(pieces, run, _PIECE.replace("hot boolean, ", "").replace("key long", "key long, fp long"))
+    return map_batches(pieces, run, _PIECE.replace("key long", "key long, fp long"))
 
 
 def _suffix_sorted(parts: DataFrame, unit: str, length: int, both: bool) -> DataFrame:
@@ -284,6 +295,12 @@ def _suffix_sorted(parts: DataFrame, unit: str, length: int, both: bool) -> Data
     return parts.select("key", "doc_id", "th", "s", "part").mapInArrow(tidy(run), "doc_id long, th long, s int, e int")
 
 
+def _listed(kinds: DataFrame) -> DataFrame:
+    """(doc_id, th, __segs) of the first places of different segments."""
+    seg = F.struct("first.s", "first.size", "first.a", "h")
+    return kinds.select("first.doc_id", "first.th", seg.alias("seg")).groupBy("doc_id", "th").agg(F.collect_list("seg").alias("__segs"))
+
+
 def repeated_spans(docs: DataFrame, length: int = 400, keep: str = "none", gram: int | None = None, unit: str = "bytes") -> DataFrame:
     """Spans (doc_id, th, s, e), in units, of ``docs(__k, __h, text, ...)`` that lie in repeated strings of ``length`` units.
 
@@ -293,26 +310,28 @@ def repeated_spans(docs: DataFrame, length: int = 400, keep: str = "none", gram:
     gram = gram or max(1, length // 4)
     both = keep == "none"
     found = written(_find(docs.select("__k", "__h", "text"), length, gram, unit))
+    count = F.sum(F.size("more") + 1).alias("n")
     # Counts are written before they are joined: between two plain shuffles Spark splits a hot anchor over tasks.
-    anchors = found.groupBy("h").agg(F.count("*").alias("n"), F.min("fp").alias("f0"), F.max("fp").alias("f1")).where("n > 1")
+    anchors = found.groupBy("h").agg(count, F.min("fp").alias("f0"), F.max("fp").alias("f1")).where("n > 1")
     hits = written(found.join(written(anchors.select("h", (F.col("f0") != F.col("f1")).alias("mixed"))), "h"))
     place = F.struct("doc_id", "th", "s")
-    kinds = written(hits.groupBy("h", "fp", "mixed").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "s", "e", "a")).alias("first")))
-    again = hits.where("mixed" if both else "true").join(kinds.where("n > 1").select("h", "fp", F.struct("first.doc_id", "first.th", "first.s").alias("place")), ["h", "fp"])
-    plain = again if both else again.where(place != F.col("place"))
-    spans = [plain.select("doc_id", "th", "s", "e")]
-    if both:
-        spans.append(hits.where("NOT mixed").select("doc_id", "th", "s", "e"))
+    kinds = written(hits.groupBy("h", "fp", "mixed").agg(count, F.min(F.struct("doc_id", "th", "s", "size", "a")).alias("first")))
+    again = hits.join(kinds.where("n > 1").select("h", "fp", F.struct("first.doc_id", "first.th", "first.s").alias("place")), ["h", "fp"])
+    places = F.concat(F.array("s"), F.col("more"))
+    again = again.select("doc_id", "th", "size", F.explode(places if both else F.when(place == F.col("place"), F.col("more")).otherwise(places)).alias("s"))
+    spans = [again.select("doc_id", "th", "s", (F.col("s") + F.col("size")).alias("e"))]
     kinds = kinds.where("mixed")
-    wide = written(kinds.groupBy("h").agg(F.count("*").alias("m")).where(F.col("m") > GROUP_LIMIT).select("h", F.lit(True).alias("hot")))
-    # Copies settled by counting stay, once, as what others are compared with.
-    segs = kinds.join(wide, "h", "left").select(F.col("first.doc_id").alias("doc_id"), F.col("first.th").alias("th"), F.struct("first.s", "first.e", "first.a", "h", F.coalesce("hot", F.lit(False)).alias("hot")).alias("seg"))
-    segs = segs.groupBy("doc_id", "th").agg(F.collect_list("seg").alias("__segs"))
-    # All columns go along, so that this shuffle of the texts is the one that remove_repeats joins the spans to.
-    parts = _cut(_of(docs, segs, "inner"), unit, length - gram)
+    wide = written(kinds.groupBy("h").agg(F.count("*").alias("m")).where(F.col("m") > GROUP_LIMIT).select("h"))
     sort = lambda p: p.repartition(F.col("key")).sortWithinPartitions("key", "doc_id", "th", "s")
-    spans.append(_suffix_sorted(sort(parts.where("NOT hot")), unit, length, both))
-    hot = parts.where("hot")
+    # Copies settled by counting stay, once, as what others are compared with. All columns go along, so that this shuffle of
+    # the texts is the one that remove_repeats joins the spans to.
+    spans.append(_suffix_sorted(sort(_cut(_of(docs, _listed(kinds.join(wide, "h", "left_anti")), "inner"), unit, length - gram)), unit, length, both))
+    if not wide.isEmpty():
+        listed = written(_listed(kinds.join(wide, "h")))
+        texts = docs
+        if listed.count() <= FEW:  # only these texts are shuffled then
+            texts = docs.join(F.broadcast(listed.select(F.col("doc_id").alias("__k"), F.col("th").alias("__h"))), ["__k", "__h"], "left_semi").select(docs.columns)
+        hot = _cut(_of(texts, listed, "inner"), unit, length - gram)
     while not wide.isEmpty():
         pieces = written(_halves(hot, unit, length, gram))
         kinds = written(pieces.groupBy("key", "fp").agg(F.min(place).alias("first"), F.max(place).alias("last")))
