@@ -8,8 +8,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from voltide.functions import tails
 from voltide.functions import volatility as vol
-from voltide.operators import backtest, evaluation, features, forecasts, portfolio, risk
+from voltide.operators import backtest, densities, evaluation, features, forecasts, garch, portfolio, risk
 from voltide.plans.queries import QUERIES
 from voltide.sources.bars import lineitem_bars, with_returns
 
@@ -61,12 +62,78 @@ def test_har_equals_least_squares(spark):
     assert got[141] is None
 
 
-def test_ridge_predicts(spark):
-    df, names = features.build(series(spark, np.random.default_rng(1).normal(0, 0.01, 150)))
+def walk_forward(x, y, window, step, least, fit):
+    """Forecasts by explicit least squares on [1, x], penalised apart from the constant, filled forward."""
+    out, last = [None] * len(y), None
+    for t in range(len(y)):
+        if t >= window and (t - window) % step == 0:
+            use = [k for k in range(t - window, t) if np.isfinite(x[k]).all() and np.isfinite(y[k])]
+            if len(use) >= least and np.isfinite(x[t]).all():
+                last = fit(x[use], y[use], x[t])
+        out[t] = last
+    return out
+
+
+def penalised(x, y, new, alpha):
+    mean, scale = x.mean(axis=0), x.std(axis=0)
+    z = np.column_stack([np.ones(len(x)), (x - mean) / scale])
+    root = np.vstack([z, np.sqrt(alpha) * np.eye(z.shape[1])[1:]])
+    beta = np.linalg.lstsq(root, np.append(y, np.zeros(z.shape[1] - 1)), rcond=None)[0]
+    return beta[0] + (new - mean) / scale @ beta[1:]
+
+
+def featured(spark, n=150):
+    df, names = features.build(series(spark, np.random.default_rng(1).normal(0, 0.01, n)))
     assert len(names) == 16
-    df = df.withColumn("target", vol.forward_realized(2))
-    out = column(forecasts.ridge(df, ["rolling_vol_5", "rv_d"], "target", window=30, step=5, least=15), "ridge")
-    assert sum(x is not None for x in out) > 50 and all(x is None or x >= 0 for x in out)
+    df = df.withColumn("target", vol.forward_realized(2)).cache()
+    rows = df.orderBy("dt").select("rolling_vol_5", "rv_d", "target").collect()
+    m = np.array([[np.nan if v is None else v for v in r] for r in rows], float)
+    return df, m[:, :2], m[:, 2]
+
+
+def test_ridge_against_numpy(spark):
+    df, x, y = featured(spark)
+    got = column(forecasts.ridge(df, ["rolling_vol_5", "rv_d"], "target", window=30, step=5, least=15), "ridge")
+    want = walk_forward(x, y, 30, 5, 15, lambda a, b, c: max(0.0, penalised(a, b, c, 1.0)))
+    assert sum(w is not None for w in want) > 100
+    assert all((g is None) == (w is None) and (g is None or math.isclose(g, w, rel_tol=1e-9, abs_tol=1e-12)) for g, w in zip(got, want, strict=True))
+
+
+def test_tuned_ridge_against_numpy(spark):
+    df, x, y = featured(spark, 260)
+    alphas = (0.01, 10.0)
+
+    def fit(a, b, c):
+        size, mean = max(20, len(b) // 4), []
+        for alpha in alphas:
+            cuts = [(len(b) - (k + 1) * size, len(b) - k * size) for k in range(3)]
+            mean.append(np.mean([math.sqrt(np.mean([(penalised(a[:i], b[:i], a[m], alpha) - b[m]) ** 2 for m in range(i, j)])) for i, j in cuts if i >= max(size, 50)]))
+        return max(1e-8, penalised(a, b, c, alphas[int(np.argmin(mean))]))
+
+    got = column(forecasts.ridge_tuned(df, ["rolling_vol_5", "rv_d"], "target", window=130, step=25, alphas=alphas, folds=3, least=80), "ridge_tuned")
+    want = walk_forward(x, y, 130, 25, 80, fit)
+    assert sum(w is not None for w in want) > 100
+    assert all((g is None) == (w is None) and (g is None or math.isclose(g, w, rel_tol=1e-8)) for g, w in zip(got, want, strict=True))
+
+
+def test_stacking_against_numpy(spark):
+    r = np.random.default_rng(3)
+    y, e, f = r.normal(1, 0.1, 200), *r.normal(0, 0.1, (2, 200))
+    rows = [("x", dt.date(2020, 1, 1) + dt.timedelta(k), float(y[k]), float(y[k] + e[k]), float(y[k] - f[k])) for k in range(200)]
+    got = column(forecasts.stacking(spark.createDataFrame(rows, "ticker string, dt date, realized double, a double, b double"), ["a", "b"], window=120, step=21), "stacking")
+    x = np.column_stack([y + e, y - f])
+    for t in (120, 141, 170):
+        start = 120 + (t - 120) // 21 * 21
+        z, m = x[start - 120 : start], x[start - 120 : start].mean(axis=0)
+        root = np.vstack([z - m, np.eye(2)])
+        beta = np.linalg.lstsq(root, np.append(y[start - 120 : start] - y[start - 120 : start].mean(), [0, 0]), rcond=None)[0]
+        assert math.isclose(got[t], (x[t] - m) @ beta + y[start - 120 : start].mean(), rel_tol=1e-9)
+    assert got[119] is None and got[183:] == [got[182]] * 17  # stops a step before the end
+
+
+def test_singular_har_keeps_the_last_forecast(spark):
+    out = column(forecasts.har(series(spark, [0.01] * 120), window=60, least=20), "har_rv")
+    assert all(x is None or math.isfinite(x) and abs(x) < 1 for x in out)
 
 
 def test_losses(spark):
@@ -78,9 +145,23 @@ def test_losses(spark):
 
 
 def test_equal_errors_have_no_statistic(spark):
-    rows = [("x", dt.date(2020, 1, 1) + dt.timedelta(k), 0.1 * (k % 3), m, 0, 0.1) for k in range(50) for m in ("a", "b")]
-    long = spark.createDataFrame(rows, "ticker string, dt date, realized double, model string, place int, forecast double")
-    assert [r["dm"] for r in evaluation.diebold_mariano(long, "a").collect()] == [None]
+    rows = [("x", dt.date(2020, 1, 1) + dt.timedelta(k), 0.1 * (k % 3), 0.1, 0.1) for k in range(50)]
+    wide = spark.createDataFrame(rows, "ticker string, dt date, realized double, a double, b double")
+    assert [(r["dm"], r["p"]) for r in evaluation.diebold_mariano(wide, ["a", "b"], "a").collect()] == [(None, None)]
+
+
+def test_diebold_mariano_against_numpy(spark):
+    r = np.random.default_rng(5)
+    y, a, b = r.normal(1, 0.3, (3, 80))
+    rows = [("x", dt.date(2020, 1, 1) + dt.timedelta(k), float(y[k]), float(a[k]), float("nan") if k == 7 else float(b[k])) for k in range(80)]
+    wide = spark.createDataFrame(rows, "ticker string, dt date, realized double, a double, b double")
+    for loss, f in (("squared", np.square), ("absolute", np.abs)):
+        got = evaluation.diebold_mariano(wide, ["a", "b"], "a", horizon=2, loss=loss).collect()[0]
+        d = np.delete(f(y - b) - f(y - a), 7)
+        z = d - d.mean()
+        gamma = (z * z).mean() + sum(2 * (1 - k / 3) * (z[k:] * z[:-k]).mean() for k in (1, 2))
+        want = d.mean() / math.sqrt(gamma / len(d))
+        assert got["n"] == 79 and math.isclose(got["dm"], want, rel_tol=1e-9) and math.isclose(got["p"], math.erfc(abs(want) / math.sqrt(2)), rel_tol=1e-9)
 
 
 def test_hits_and_runs(spark):
@@ -122,3 +203,153 @@ def test_ridge_query_fits_the_reference_window_and_keeps_warm_up_rows(spark):
     for own in rows.values():
         have = [v is not None for _, v in sorted(own, key=lambda x: x[0])]
         assert len(own) > 1260 and have.index(True) == 1260 and all(have[1260:])
+
+
+def simulated(n, columns, seed=1, omega=0.05, alpha=0.08, beta=0.85, gamma=0.0, freedom=None):
+    r = np.random.default_rng(seed)
+    s, out = np.full(columns, omega / (1 - alpha - beta - gamma / 2)), []
+    for _ in range(n):
+        z = r.standard_normal(columns) if freedom is None else r.standard_t(freedom, columns) * math.sqrt((freedom - 2) / freedom)
+        e = np.sqrt(s) * z
+        out.append(e)
+        s = omega + (alpha + gamma * (e < 0)) * e * e + beta * s
+    return np.array(out)
+
+
+def test_garch_recovers_parameters():
+    x, _, _ = garch.fit(simulated(3000, 10))
+    assert np.allclose(x.mean(axis=1), [0.05, 0.08, 0.85], atol=0.03)
+    x, _, _ = garch.fit(simulated(3000, 10, gamma=0.08), "gjr")
+    assert np.allclose(x.mean(axis=1), [0.05, 0.08, 0.08, 0.85], atol=0.03)
+    x, freedom, _ = garch.fit(simulated(3000, 10, freedom=6), "garch", True)
+    assert np.allclose(x.mean(axis=1), [0.05, 0.08, 0.85], atol=0.03) and 4.5 < np.median(freedom) < 8
+    x, _, v = garch.fit(simulated(2000, 4), "egarch")
+    assert (np.abs(x[3] - 0.92) < 0.1).all() and (v > 0).all()
+
+
+def plain_likelihood(r, omega, alpha, beta):
+    """One series, one parameter vector, day by day."""
+    w = 0.94 ** np.arange(75)
+    first = (w * r[:75] ** 2).sum() / w.sum()
+    s, total = omega + (alpha + beta) * first, 0.0
+    for x in r:
+        total -= 0.5 * (math.log(s) + x * x / s)
+        s = omega + alpha * x * x + beta * s
+    return total, s
+
+
+def test_garch_is_at_the_maximum():
+    r = simulated(800, 3, seed=4)
+    x, _, ahead = garch.fit(r)
+    noise = np.random.default_rng(2)
+    for k in range(3):
+        best, s = plain_likelihood(r[:, k], *x[:, k])
+        assert math.isclose(s, ahead[k], rel_tol=1e-9)
+        for _ in range(200):
+            p = np.abs(x[:, k] * (1 + 0.1 * noise.standard_normal(3)))
+            assert p[1] + p[2] >= 1 or plain_likelihood(r[:, k], *p)[0] <= best + 1e-4
+
+
+def test_garch_walks_forward(spark):
+    r = simulated(330, 1, seed=9)[:, 0] / 100
+    got = column(garch.garch(series(spark, list(r)), "garch", window=300, step=7, blocks=3), "garch")
+    want = {t: math.sqrt(garch.fit(r[t - 300 : t, None] * 100)[2][0]) / 100 * math.sqrt(126) for t in range(300, 330, 7)}
+    assert {t for t, g in enumerate(got) if g is not None} == set(want)
+    assert all(math.isclose(got[t], w, rel_tol=1e-6) for t, w in want.items())
+    assert column(garch.garch(series(spark, [0.01] * 20), "gjr", window=300), "gjr") == [None] * 20
+
+
+def test_distributions():
+    assert np.allclose(tails.normal_cdf(np.array([-1.96, 0, 1.0])), [0.0249979, 0.5, 0.8413447], atol=1e-7)
+    grid = np.linspace(-60, 6, 400_001)
+    for df in (2.5, 5.0, 30.0):
+        mass = np.exp(tails.t_log_pdf(grid, df))
+        area = np.append(0, np.cumsum((mass[1:] + mass[:-1]) / 2 * np.diff(grid))) + tails.t_cdf(np.array([-60.0]), df)[0]
+        at = [np.searchsorted(grid, z) for z in (-4, -1, 0, 0.5, 3)]
+        assert np.allclose(tails.t_cdf(grid[at], df), area[at], atol=1e-6)
+    for shape in (-4.0, 0.0, 2.0, 30.0):
+        mass = 2 * np.exp(-grid * grid / 2) / math.sqrt(2 * math.pi)
+        near = np.abs(grid) < 8
+        z, pdf = grid[near], mass[near] * tails.normal_cdf(shape * grid[near])
+        area = np.append(0, np.cumsum((pdf[1:] + pdf[:-1]) / 2 * np.diff(z)))
+        assert np.allclose(tails.skew_normal_cdf(z[::2000], shape), area[::2000], atol=1e-6)
+    assert np.allclose([tails.chi2_tail(np.array([x]), k)[0] for x, k in ((3.841459, 1), (5.991465, 2), (14.06714, 7), (16.91898, 9), (31.41043, 20))], 0.05, atol=1e-7)
+
+
+def test_density_fits():
+    r = np.random.default_rng(11)
+    fit = densities.Student.fit(0.1 + 0.8 * r.standard_t(5, 6000))
+    assert abs(fit.mu - 0.1) < 0.05 and abs(fit.sigma - 0.8) < 0.05 and 4 < fit.df < 6.5
+    u, v = np.abs(r.standard_normal(6000)), r.standard_normal(6000)
+    d = 3 / math.sqrt(10)
+    fit = densities.SkewNormal.fit(0.5 + 2 * (d * u + math.sqrt(1 - d * d) * v))
+    assert abs(fit.mu - 0.5) < 0.15 and abs(fit.sigma - 2) < 0.15 and 2 < fit.shape < 4.5
+    # The closed form of the shortfall against the mean of what lies beyond the quantile.
+    law = densities.Student(6.0, 0.0, 1.0)
+    q = tails.quantile(law.cdf, 0.05)
+    z = np.linspace(q - 400, q, 2_000_001)
+    assert abs(law.shortfall(0.05) + (z * np.exp(tails.t_log_pdf(z, 6.0))).sum() * (z[1] - z[0]) / 0.05) < 1e-2
+
+
+def test_density_pipeline(spark):
+    r = np.random.default_rng(12).standard_t(6, 700) * 0.01
+    df = series(spark, list(r)).withColumn("v", F.when(F.dayofyear("dt") % 7 != 3, F.lit(0.01 * math.sqrt(252))))
+    out = densities.density_forecasts(df, "v").orderBy("dt").collect()
+    known = [x for x in out if x["var"] is not None]
+    assert len(known) >= 698 and {x["dist"] for x in out} == {"studentt"} and all(x["es"] > x["var"] > 0 and 0 < x["pit"] < 1 for x in known)
+    assert abs(np.mean([x["hit"] for x in known]) - 0.01) < 0.012
+    signed = densities.density_forecasts(df, "v", "normal", compat_sign=True).where("es IS NOT NULL").select(F.max("es")).first()[0]
+    assert signed < 0
+    few = densities.density_forecasts(series(spark, [0.01, -0.02] * 5).withColumn("v", F.lit(0.2)), "v").select("dist").distinct().collect()
+    assert [x[0] for x in few] == ["normal"] and densities.fit(series(spark, [0.1] * 9).withColumn("z", F.lit(0.1))).count() == 0
+
+
+def test_dq_against_numpy(spark):
+    r = np.random.default_rng(6)
+    n, alpha = 400, 0.1
+    var, ret = r.uniform(0.01, 0.02, n), r.normal(0, 0.01, n)
+    hit = (ret < -var).astype(float)
+    rows = [("x", dt.date(2020, 1, 1) + dt.timedelta(k), float(ret[k]), float(var[k]), 0.0, float(hit[k])) for k in range(n)]
+    got = risk.dq(spark.createDataFrame(rows, "ticker string, dt date, ret double, var double, es double, hit double"), alpha).collect()[0]
+    x = np.column_stack([np.ones(n - 5), *(hit[4 - i : n - 1 - i] for i in range(5)), var[5:]])
+    y = hit[5:] - alpha
+    beta = np.linalg.lstsq(x, y, rcond=None)[0]
+    e = y - x @ beta
+    want = beta @ (x.T @ x) @ beta / (e @ e / (len(y) - 7))
+    assert got["n"] == n - 5 and math.isclose(got["dq"], want, rel_tol=1e-8) and math.isclose(got["p_dq"], tails.chi2_tail(np.array([want]), 7)[0], rel_tol=1e-8)
+
+
+def test_histogram_has_empty_bins(spark):
+    df = spark.createDataFrame([("x", v) for v in [0.0, 0.05, 1.0, 0.95] * 3] + [("y", 0.5)] * 9, "ticker string, pit double")
+    assert sorted((r["bin"], r["n"]) for r in risk.pit_histogram(df).collect()) == [(0, 6), *((k, 0) for k in range(1, 9)), (9, 6)]
+    assert risk.pit_uniform(risk.pit_histogram(df)).collect()[0]["chi2"] is None
+
+
+def test_weights():
+    cov = np.array([[0.04, 0.01, 0.0], [0.01, 0.09, 0.02], [0.0, 0.02, 0.16]])
+    w = portfolio.minimum_variance(cov)
+    assert math.isclose(w.sum(), 1) and all(v @ cov @ v >= w @ cov @ w - 1e-9 for v in np.random.default_rng(1).dirichlet(np.ones(3), 500))
+    p = portfolio.risk_parity(np.diag([1.0, 4.0]))
+    q = np.full(2, 0.5)
+    for _ in range(50):
+        m = np.diag([1.0, 4.0]) @ q / math.sqrt(q @ np.diag([1.0, 4.0]) @ q)
+        q = (1 / m) / (1 / m).sum()
+    assert np.allclose(p, q)
+    s = portfolio.volatility_target(cov / 252, 0.1)
+    assert math.isclose(math.sqrt(s @ cov @ s), 0.1, rel_tol=1e-2) or (s == 1).any()
+
+
+def test_fractional_shares_and_cap(spark):
+    df = spark.createDataFrame([(182.81, 0.2829)], "close double, v double")
+    made = portfolio.target_shares(20000.0, F.col("close"), F.col("v"), whole=False)
+    assert math.isclose(df.select(made["shares"]).first()[0], 0.1 / 0.2829 * 20000 / 182.81, rel_tol=1e-12)
+    held = spark.createDataFrame([("a", 3)], "ticker string, qty long")
+    want = spark.createDataFrame([("a", 5, 30_000.0), ("b", 2, 10.0)], "ticker string, shares long, close double")
+    assert {r["ticker"]: (r["side"], r["qty"], r["action"]) for r in portfolio.reconcile(held, want).collect()} == {"a": ("sell", 3, "adjust"), "b": ("buy", 2, "open")}
+
+
+def test_wins_ties_and_wide_rows(spark):
+    m = spark.createDataFrame([("x", "b", 1.0, 2.0, 200), ("x", "a", 1.0, 3.0, 200), ("y", "a", None, None, 3), ("y", "b", 5.0, 1.0, 3)], "ticker string, model string, mae double, qlike double, n long")
+    assert {r["model"]: r["wins"] for r in portfolio.wins(m, ["b", "a"]).collect()} == {"b": 2}
+    assert [tuple(r) for r in portfolio.one_row_each(m, ["a", "b"]).collect()] == [("x", 1.0, 3.0, 1.0, 2.0)]
+    assert [r["ticker"] for r in portfolio.smallest(m.withColumn("mae", F.col("mae").cast("string")), "none", 2, "mae").collect()] == ["x", "x"]

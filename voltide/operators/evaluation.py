@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tails import p_chi2, p_normal
+
 TINY = 1e-12
 
 
@@ -39,15 +41,30 @@ def regimes(wide: DataFrame, low: float = 0.33, high: float = 0.67) -> DataFrame
 
 def by_regime(labelled: DataFrame, model: str, least: int = 10) -> DataFrame:
     m = losses(F.col("realized"), F.col(model))
-    return labelled.where("regime IS NOT NULL").groupBy("ticker", "regime").agg(*(m[k].alias(k) for k in ("mae", "rmse", "qlike")), F.count("*").alias("n")).where(F.col("n") >= least)
+    return labelled.where(F.col("regime").isNotNull() & finite(F.col("realized")) & finite(F.col(model))).groupBy("ticker", "regime").agg(*(m[k].alias(k) for k in ("mae", "rmse", "qlike")), F.count("*").alias("n")).where(F.col("n") >= least)
+
+
+def plain_metrics(long: DataFrame, *keys: str) -> DataFrame:
+    """mae, rmse and correlation that do not skip nulls: null wherever one value is."""
+    y, f = F.col("realized"), F.col("forecast")
+    whole = F.count(F.when(finite(y) & finite(f), 1)) == F.count("*")
+    return long.groupBy(*keys).agg(*(F.when(whole, x).alias(k) for k, x in (("mae", F.avg(F.abs(f - y))), ("rmse", F.sqrt(F.avg((f - y) * (f - y)))), ("correlation", F.corr(y, f)))))
+
 
+def finite(x: Column) -> Column:
+    return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
 
-def diebold_mariano(long: DataFrame, benchmark: str, horizon: int = 1) -> DataFrame:
-    """(ticker, model, n, dm): the statistic of squared errors against the benchmark's, with Bartlett weights up to lag ``horizon``."""
-    e = F.pow(F.col("realized") - F.col("forecast"), 2)
-    own = long.select("ticker", "dt", "model", e.alias("e"))
-    other = own.where(F.col("model") == benchmark).select("ticker", "dt", F.col("e").alias("eb"))
-    d = own.where(F.col("model") != benchmark).join(other, ["ticker", "dt"]).select("ticker", "model", "dt", (F.col("e") - F.col("eb")).alias("d")).where("d IS NOT NULL")
+
+def diebold_mariano(wide: DataFrame, models: list[str], benchmark: str, horizon: int = 1, loss: str = "squared") -> DataFrame:
+    """(ticker, model, n, dm, p) of squared or absolute errors against the benchmark's, with Bartlett weights up to lag ``horizon``.
+
+    Rows where either loss is not finite go; the statistic is null for fewer than two rows or a variance of zero. All models
+    stand in one row, so the benchmark's losses need no join.
+    """
+    size = {"squared": lambda e: e * e, "absolute": F.abs}[loss]
+    cost = lambda m: size(F.col("realized") - F.col(m))
+    cells = F.array(*(F.struct(F.lit(m).alias("model"), (cost(m) - cost(benchmark)).alias("d")) for m in models if m != benchmark))
+    d = wide.select("ticker", "dt", F.explode(cells).alias("c")).select("ticker", "dt", "c.model", "c.d").where(finite(F.col("d")))
     d = d.withColumn("dm", F.col("d") - F.avg("d").over(Window.partitionBy("ticker", "model")))
     by = Window.partitionBy("ticker", "model").orderBy("dt")
     d = d.withColumns({f"l{k}": F.lag("dm", k).over(by) for k in range(1, horizon + 1)})
@@ -57,7 +74,8 @@ def diebold_mariano(long: DataFrame, benchmark: str, horizon: int = 1) -> DataFr
         gamma = gamma + 2 * (1 - k / (horizon + 1)) * F.coalesce(F.avg(F.col("dm") * F.col(f"l{k}")), F.lit(0.0))
     out = d.groupBy("ticker", "model").agg(F.count("*").alias("n"), F.avg("d").alias("mean"), first.alias("g0"), gamma.alias("g"))
     fine = (F.col("n") >= 2) & (F.col("g0") > 0) & (F.col("g") > 0)
-    return out.select("ticker", "model", "n", F.when(fine, F.col("mean") / F.sqrt(F.col("g") / F.col("n"))).alias("dm"))
+    out = out.select("ticker", "model", "n", F.when(fine, F.col("mean") / F.sqrt(F.col("g") / F.col("n"))).alias("dm"))
+    return out.withColumn("p", p_normal(F.col("dm")))
 
 
 def intervals(wide: DataFrame, model: str, alpha: float = 0.1) -> DataFrame:
@@ -76,3 +94,9 @@ def residual_diagnostics(wide: DataFrame, model: str, lags: int = 20) -> DataFra
     one = r.groupBy("ticker").agg(F.count("*").alias("n"), *(F.corr("r", f"l{k}").alias(f"c{k}") for k in range(1, lags + 1)))
     cells = F.array(*(F.struct(F.lit(k).cast("long").alias("lag"), F.col(f"c{k}").alias("acf")) for k in range(1, lags + 1)))
     return one.where(F.col("n") >= lags + 5).select("ticker", "n", F.explode(cells).alias("c")).select("ticker", "c.lag", "c.acf", "n")
+
+
+def ljung_box(acf: DataFrame, lags: int = 20) -> DataFrame:
+    """(ticker, n, q, p) of autocorrelations as of residual_diagnostics."""
+    out = acf.groupBy("ticker", "n").agg((F.sum(F.col("acf") * F.col("acf") / (F.col("n") - F.col("lag"))) * F.col("n") * (F.col("n") + 2)).alias("q"))
+    return out.withColumn("p", p_chi2(F.col("q"), lags))

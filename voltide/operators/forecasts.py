@@ -21,10 +21,11 @@ def rolling_mean(v: str, window: int = 22, horizon: int = 1) -> Column:
     return full(F.avg, F.col(v), -(window - 1 + horizon), -horizon)
 
 
-def har(bars: DataFrame, window: int = 252, least: int = 50, ret: str = "ret") -> DataFrame:
+def har(bars: DataFrame, window: int = 252, least: int = 50, ret: str = "ret", step: int = 1) -> DataFrame:
     """bars plus ``har_rv``: rolling least squares without intercept of daily, weekly and monthly volatility, one row ahead.
 
-    The normal equations are window sums of products of neighbouring rows, solved by Cramer's rule in columns.
+    The normal equations are window sums of products of neighbouring rows, solved by Cramer's rule in columns; where they are
+    singular to working precision there is no forecast (the one before is filled forward). Every ``step``-th row is forecast.
     """
     r = F.col(ret)
     x = ["__d", "__w", "__m"]
@@ -40,10 +41,11 @@ def har(bars: DataFrame, window: int = 252, least: int = 50, ret: str = "ret") -
     def det(m):
         return m[0][0] * (m[1][1] * m[2][2] - m[1][2] * m[2][1]) - m[0][1] * (m[1][0] * m[2][2] - m[1][2] * m[2][0]) + m[0][2] * (m[1][0] * m[2][1] - m[1][1] * m[2][0])
 
-    base = F.nullif(det([[a(i, j) for j in range(3)] for i in range(3)]), F.lit(0.0))
+    base = det([[a(i, j) for j in range(3)] for i in range(3)])
+    base = F.when(F.abs(base) > 1e-14 * a(0, 0) * a(1, 1) * a(2, 2), base)
     beta = [det([[F.col(f"__y{i}") if j == c else a(i, j) for j in range(3)] for i in range(3)]) / base for c in range(3)]
     value = sum((beta[c] * F.col(f"{x[c]}1") for c in range(1, 3)), beta[0] * F.col("__d1"))
-    value = F.when((F.col("__n") > window + 22) & (F.col("__k") >= least) & value.isNotNull(), F.greatest(value, F.lit(1e-8)))
+    value = F.when((F.col("__n") > window + 22) & ((F.col("__n") - window - 23) % step == 0) & (F.col("__k") >= least) & value.isNotNull(), F.greatest(value, F.lit(1e-8)))
     return df.withColumn("har_rv", forward_fill(value)).drop(*(c for c in df.columns if c.startswith("__")))
 
 
@@ -112,6 +114,74 @@ def ridge(data: DataFrame, features: list[str], target: str, window: int = 1260,
     return made.withColumn("ridge", forward_fill(F.greatest(F.when(F.col("ridge").isNotNull(), F.col("ridge")), F.when(F.col("ridge").isNotNull(), F.lit(0.0)))))
 
 
+def _regression(z: np.ndarray, y: np.ndarray, alpha: float, scaled: bool = True):
+    """A ridge regression with intercept, of standardised columns or of columns as they are."""
+    mean, scale = z.mean(axis=0), z.std(axis=0) if scaled else np.ones(z.shape[1])
+    scale = np.where(scale == 0, 1, scale)
+    x = (z - mean) / scale
+    beta = np.linalg.solve(x.T @ x + alpha * np.eye(x.shape[1]), x.T @ (y - y.mean()))
+    return lambda rows: (rows - mean) / scale @ beta + y.mean()
+
+
+def best_alpha(x: np.ndarray, y: np.ndarray, alphas: list[float], folds: int) -> float:
+    """The first alpha of the least mean error over folds counted back from the end, each trained on all before it."""
+    n, best, choice = len(y), np.inf, alphas[0]
+    size = max(20, n // (folds + 1))
+    for alpha in alphas:
+        errors = []
+        for k in range(folds):
+            begin = n - (k + 1) * size
+            if begin >= max(size, 50):
+                part = slice(begin, begin + size)
+                errors.append(np.sqrt(np.mean((_regression(x[:begin], y[:begin], alpha)(x[part]) - y[part]) ** 2)))
+        if errors and np.mean(errors) < best:
+            best, choice = np.mean(errors), alpha
+    return choice
+
+
+def _walk(data: DataFrame, name: str, columns: list[str], target: str, run: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """(ticker, dt, name), filled forward, with run applied to the columns and the target of each instrument in order."""
+    schema = data.select("ticker", "dt").withColumn(name, F.lit(None).cast("double")).schema
+
+    def one(t: pa.Table) -> pa.Table:
+        t = t.sort_by("dt")
+        x = np.column_stack([t.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in columns])
+        out = run(x, t.column(target).to_numpy(zero_copy_only=False).astype(np.float64))
+        return t.select(["ticker", "dt"]).append_column(name, pa.array(out, pa.float64(), from_pandas=True))
+
+    return data.select("ticker", "dt", *columns, target).groupBy("ticker").applyInArrow(one, schema).withColumn(name, forward_fill(F.col(name)))
+
+
+def ridge_tuned(data: DataFrame, features: list[str], target: str, window: int = 1260, step: int = 2, alphas: tuple[float, ...] = (0.01, 0.1, 1.0, 10.0, 100.0), folds: int = 5, least: int = 200) -> DataFrame:
+    """(ticker, dt, ridge_tuned): as ridge, with the penalty chosen in each window by walk-forward folds; at least 1e-8."""
+
+    def run(x, y):
+        whole, out = np.isfinite(x).all(axis=1) & np.isfinite(y), np.full(len(y), np.nan)
+        for t in range(window, len(y), step):
+            use = np.flatnonzero(whole[t - window : t]) + t - window
+            if len(use) >= max(least, folds * 20) and np.isfinite(x[t]).all():
+                out[t] = max(1e-8, _regression(x[use], y[use], best_alpha(x[use], y[use], list(alphas), folds))(x[t]))
+        return out
+
+    return _walk(data, "ridge_tuned", features, target, run)
+
+
+def stacking(wide: DataFrame, models: list[str], window: int = 252, step: int = 21, least: int = 100) -> DataFrame:
+    """(ticker, dt, stacking): ridge regression of the realized volatility on forecasts, refitted every ``step`` rows; at least 1e-8."""
+
+    def run(x, y):
+        out = np.full(len(y), np.nan)
+        for t in range(window, len(y) - step, step):
+            part = slice(t - window, t)
+            fine = np.isfinite(x[part]).all(axis=1) & np.isfinite(y[part])
+            if fine.sum() >= least:
+                ahead = x[t : t + step]
+                out[t : t + step] = np.where(np.isfinite(ahead).all(axis=1), np.maximum(1e-8, _regression(x[part][fine], y[part][fine], 1.0, scaled=False)(ahead)), np.nan)
+        return out
+
+    return _walk(wide.na.drop(subset=["realized", *models]), "stacking", models, "realized", run)
+
+
 def long_form(wide: DataFrame, models: list[str], keys=("ticker", "dt")) -> DataFrame:
     """(keys, realized, model, place, forecast), one row for each model."""
     cells = F.array(*(F.struct(F.lit(m).alias("model"), F.lit(k).alias("place"), F.col(m).cast("double").alias("forecast")) for k, m in enumerate(models)))
@@ -119,12 +189,17 @@ def long_form(wide: DataFrame, models: list[str], keys=("ticker", "dt")) -> Data
 
 
 def rank_ensemble(wide: DataFrame, models: list[str], window: int = 252, least: int = 50) -> DataFrame:
-    """(ticker, dt, ensemble): forecasts weighted by one over the rank of their error in the ``window`` rows before."""
+    """(ticker, dt, ensemble): forecasts weighted by one over the rank of their error in the ``window`` rows before.
+
+    Any number of models; instruments with fewer than ``window`` + 10 common rows have none. Rows follow each other without gaps,
+    so nothing is left to fill forward.
+    """
     long = long_form(wide.na.drop(subset=["realized", *models]), models)
     by = Window.partitionBy("ticker", "model").orderBy("dt")
     before = by.rowsBetween(-window, -1)
     error = F.pow(F.col("realized") - F.col("forecast"), 2)
     rmse = F.when(F.count(error).over(before) >= least, F.sqrt(F.avg(error).over(before))).otherwise(F.lit(float("inf")))
-    long = long.withColumns({"rmse": rmse, "n": F.row_number().over(by)}).where(F.col("n") > window)
+    long = long.withColumns({"rmse": rmse, "n": F.row_number().over(by), "all": F.count("*").over(Window.partitionBy("ticker", "model"))})
+    long = long.where((F.col("n") > window) & (F.col("all") >= window + 10))
     rank = F.row_number().over(Window.partitionBy("ticker", "dt").orderBy("rmse", "place"))
     return long.withColumn("w", 1.0 / rank).groupBy("ticker", "dt").agg((F.sum(F.col("w") * F.col("forecast")) / F.sum("w")).alias("ensemble"))

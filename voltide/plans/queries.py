@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,9 +10,12 @@ from pyspark.sql import functions as F
 
 from ..functions import volatility as vol
 from ..functions.frames import significant
-from ..operators import backtest, evaluation, features, forecasts, portfolio, risk
-from ..sources.bars import lineitem_bars, segment_bars, tickers, with_returns
-from . import pipeline
+from ..operators import backtest, densities, evaluation, features, forecasts, garch, portfolio, risk
+from ..session import shared_folder
+from ..sources import tables
+from ..sources.bars import lineitem_bars, long_enough, segment_bars, ticker_list, tickers, with_returns
+from ..streaming.bars import closed_days
+from . import experiments, pipeline
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -43,6 +47,28 @@ def _sig(x: str, name: str, digits: int = 8) -> str:
     return f"printf('%.{digits - 1}e', round(({x})::DOUBLE, 15))::DOUBLE AS {name}"
 
 
+def _p_normal_sql(z: str) -> str:
+    """Two-sided p by Simpson's rule over 400 steps, to nine decimals."""
+    x = f"least(abs({z}), 10.0::DOUBLE)"
+    area = f"{x} / 1200 * list_sum([(CASE WHEN i = 0 OR i = 400 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-((i * {x} / 400) ** 2) / 2) for i in range(401)]) / sqrt(2 * pi())"
+    return f"round(greatest(0.0::DOUBLE, 1 - 2 * ({area})), 6)"
+
+
+def _p_chi2_sql(x: str, k: int) -> str:
+    if k % 2 == 0:
+        terms, term = [], "1.0::DOUBLE"
+        for j in range(k // 2):
+            term = term if j == 0 else f"({term}) * ({x}) / {2 * j}"
+            terms.append(term)
+        return f"round(exp(-({x}) / 2) * ({' + '.join(terms)}), 6)"
+    odd = {1: "0", 9: f"sqrt(2 * ({x}) / pi()) * exp(-({x}) / 2) * (1 + ({x}) / 3 + ({x}) ** 2 / 15 + ({x}) ** 3 / 105)"}[k]
+    return f"round({_p_normal_sql(f'sqrt(greatest({x}, 0.0::DOUBLE))')} + {odd}, 6)"
+
+
+def _p6(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, 6) for n in names})
+
+
 _FRAME = f"""{_BARS},
 rv0 AS (SELECT *, {_full('sum', 'ret * ret', 1, 1)} AS f1, sqrt(ret * ret) * sqrt(252.0::DOUBLE) AS rv, row_number() OVER (PARTITION BY ticker ORDER BY dt) AS n FROM bars),
 e AS (SELECT ticker, dt, n, ret, sum(ret) OVER w20 AS s1, 0.94::DOUBLE AS l FROM rv0 WINDOW w20 AS (PARTITION BY ticker ORDER BY dt ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
@@ -173,14 +199,24 @@ _LOSSES = list(_loss_sql("y", "f"))
 _add("f01_f06_metrics", lambda s, d: _rounded(pipeline.model_metrics(_bars(s, d)), ["ticker", "model", "n"], 7), f"{_METRICS} SELECT ticker, model, n, {', '.join(_sig(c, c, 7) for c in _LOSSES)} FROM m")
 _REGIME = f"{_FRAME}, q AS (SELECT ticker, quantile_cont(realized, 0.33) AS q1, quantile_cont(realized, 0.67) AS q2 FROM frame GROUP BY 1), g AS (SELECT frame.*, CASE WHEN realized <= q1 THEN 'low' WHEN realized <= q2 THEN 'medium' ELSE 'high' END AS regime FROM frame JOIN q USING (ticker))"
 _EW = _loss_sql("realized", "ewma")
-_add("f08_f09_regimes", lambda s, d: _rounded(evaluation.by_regime(evaluation.regimes(_evaluated(s, d)), "ewma"), ["ticker", "regime", "n"], 7), f"{_REGIME} SELECT ticker, regime, count(*) AS n, {', '.join(_sig(_EW[c], c, 7) for c in ('mae', 'rmse', 'qlike'))} FROM g GROUP BY 1, 2 HAVING count(*) >= 10")
+_add("f08_f09_regimes", lambda s, d: _rounded(evaluation.by_regime(evaluation.regimes(_evaluated(s, d)), "ewma"), ["ticker", "regime", "n"], 7), f"{_REGIME} SELECT ticker, regime, count(*) AS n, {', '.join(_sig(_EW[c], c, 7) for c in ('mae', 'rmse', 'qlike'))} FROM g WHERE ewma IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 10")
+
+
+def _dm_sql(loss: str) -> str:
+    cost = {"squared": "({}) ** 2", "absolute": "abs({})"}[loss]
+    return f"""{_LONG}, dd AS (SELECT a.ticker, a.model, a.dt, {cost.format('a.y - a.f')} - {cost.format('b.y - b.f')} AS d FROM long a JOIN long b ON a.ticker = b.ticker AND a.dt = b.dt AND b.model = 'ewma' WHERE a.model <> 'ewma' AND a.f IS NOT NULL AND b.f IS NOT NULL),
+dz AS (SELECT *, d - avg(d) OVER (PARTITION BY ticker, model) AS z FROM dd), l AS (SELECT *, lag(z) OVER (PARTITION BY ticker, model ORDER BY dt) AS z1 FROM dz),
+st AS (SELECT ticker, model, count(*) AS n, avg(d) / sqrt((avg(z * z) + 2 * 0.5 * avg(z * z1)) / count(*)) AS s FROM l GROUP BY 1, 2)
+SELECT ticker, model, n, {_sig('s', 'dm', 6)}, {_p_normal_sql('s')} AS p FROM st"""
+
+
 _add(
     "f10_f11_diebold_mariano",
-    lambda s, d: _rounded(evaluation.diebold_mariano(_long(s, d), "ewma"), ["ticker", "model", "n"], 6),
-    f"""{_LONG}, dd AS (SELECT a.ticker, a.model, a.dt, (a.y - a.f) ** 2 - (b.y - b.f) ** 2 AS d FROM long a JOIN long b ON a.ticker = b.ticker AND a.dt = b.dt AND b.model = 'ewma' WHERE a.model <> 'ewma' AND a.f IS NOT NULL AND b.f IS NOT NULL),
-dz AS (SELECT *, d - avg(d) OVER (PARTITION BY ticker, model) AS z FROM dd), l AS (SELECT *, lag(z) OVER (PARTITION BY ticker, model ORDER BY dt) AS z1 FROM dz)
-SELECT ticker, model, count(*) AS n, {_sig('avg(d) / sqrt((avg(z * z) + 2 * 0.5 * avg(z * z1)) / count(*))', 'dm', 6)} FROM l GROUP BY 1, 2""",
+    lambda s, d: _rounded(_p6(evaluation.diebold_mariano(_evaluated(s, d), pipeline.MODELS, "ewma"), "p"), ["ticker", "model", "n", "p"], 6),
+    _dm_sql("squared"),
 )
+_add("f10_absolute_loss", lambda s, d: _rounded(_p6(evaluation.diebold_mariano(_evaluated(s, d), pipeline.MODELS, "ewma", loss="absolute"), "p"), ["ticker", "model", "n", "p"], 6), _dm_sql("absolute"))
+_add("j14_dm_summary", lambda s, d: _p6(experiments.dm_summary(evaluation.diebold_mariano(_evaluated(s, d), pipeline.MODELS, "ewma")), "mean_p", "std_p"), f"SELECT model, round(avg(p), 6) AS mean_p, round(stddev_samp(p), 6) AS std_p FROM ({_dm_sql('squared')}) GROUP BY 1")
 _IV = ["lower", "upper"]
 _add(
     "f12_intervals",
@@ -193,6 +229,35 @@ _add(
     f"{_FRAME}, r AS (SELECT ticker, dt, realized - ewma AS r, row_number() OVER (PARTITION BY ticker ORDER BY dt) AS i FROM frame WHERE ewma IS NOT NULL), rc AS (SELECT ticker, count(*) AS n FROM r GROUP BY 1) SELECT a.ticker, a.i - b.i AS lag, rc.n, {_sig('corr(a.r, b.r)', 'acf', 6)} FROM r a JOIN r b ON a.ticker = b.ticker AND a.i - b.i BETWEEN 1 AND 20 JOIN rc ON rc.ticker = a.ticker GROUP BY 1, 2, 3",
 )
 
+_add(
+    "f13_ljung_box",
+    lambda s, d: _rounded(_p6(evaluation.ljung_box(evaluation.residual_diagnostics(_evaluated(s, d), "ewma")), "p"), ["ticker", "n", "p"], 6),
+    f"{_FRAME}, r AS (SELECT ticker, dt, realized - ewma AS r, row_number() OVER (PARTITION BY ticker ORDER BY dt) AS i FROM frame WHERE ewma IS NOT NULL), rc AS (SELECT ticker, count(*) AS n FROM r GROUP BY 1), ac AS (SELECT a.ticker, a.i - b.i AS lag, rc.n, corr(a.r, b.r) AS c FROM r a JOIN r b ON a.ticker = b.ticker AND a.i - b.i BETWEEN 1 AND 20 JOIN rc ON rc.ticker = a.ticker GROUP BY 1, 2, 3), lb AS (SELECT ticker, n, n * (n + 2) * sum(c * c / (n - lag)) AS q FROM ac GROUP BY 1, 2) SELECT ticker, n, {_sig('q', 'q', 6)}, {_p_chi2_sql('q', 20)} AS p FROM lb",
+)
+_add(
+    "f07_plain_metrics",
+    lambda s, d: _rounded(evaluation.plain_metrics(_long(s, d), "ticker", "model"), ["ticker", "model"], 6),
+    f"{_LONG}, w AS (SELECT ticker, model, count(f) = count(*) AS whole, avg(abs(f - y)) AS mae, sqrt(avg((f - y) ** 2)) AS rmse, corr(y, f) AS correlation FROM long GROUP BY 1, 2) SELECT ticker, model, {', '.join(_sig(f'CASE WHEN whole THEN {c} END', c, 6) for c in ('mae', 'rmse', 'correlation'))} FROM w",
+)
+
+
+def _horizon_sql(h: int) -> str:
+    """The metrics query for another horizon: target, realised volatility and the lags that depend on it."""
+    out = _METRICS
+    for old, new in (
+        (_full("sum", "ret * ret", 1, 1), _full("sum", "ret * ret", 1, h)),
+        ("sqrt(ret * ret) * sqrt(252.0::DOUBLE) AS rv", f"sqrt({_full('sum', 'ret * ret', 1 - h, 0)}) * sqrt(252.0::DOUBLE / {h}) AS rv"),
+        ("sqrt(f1) * sqrt(252.0::DOUBLE) AS realized", f"sqrt(f1) * sqrt(252.0::DOUBLE / {h}) AS realized"),
+        ("lag(rv) OVER w AS naive", f"lag(rv, {h}) OVER w AS naive"),
+        (_full("avg", "rv", -22, -1), _full("avg", "rv", -21 - h, -h)),
+    ):
+        assert out.count(old) == 1, old
+        out = out.replace(old, new)
+    return f"SELECT * FROM ({out} SELECT {h} AS horizon, ticker, model, n, {', '.join(_sig(c, c, 6) for c in _LOSSES)} FROM m)"
+
+
+_add("f06_horizons", lambda s, d: _rounded(pipeline.horizons(_bars(s, d)), ["ticker", "model", "horizon", "n"], 6), " UNION ALL ".join(_horizon_sql(h) for h in (1, 5, 21)))
+
 
 def _hits(s, d, alpha=0.05):
     return risk.normal_var_es(_evaluated(s, d), "ewma", alpha)
@@ -204,13 +269,13 @@ _VE = ["var", "es"]
 _add("g03_g07_var_es", lambda s, d: _rounded(_hits(s, d).where("ewma IS NOT NULL").select(*_KEY, F.col("hit").cast("long").alias("hit"), *_VE), [*_KEY, "hit"], 7), f"{_HITS} SELECT ticker, dt, hit::BIGINT AS hit, {_sig('var', 'var', 7)}, {_sig('es', 'es', 7)} FROM hits")
 _add(
     "g08_g10_coverage",
-    lambda s, d: _rounded(risk.coverage(_hits(s, d), 0.05), ["ticker", "n", "x"], 6),
+    lambda s, d: _rounded(_p6(risk.coverage(_hits(s, d), 0.05), "p_uc", "p_ind"), ["ticker", "n", "x", "p_uc", "p_ind"], 6),
     f"""{_HITS}, p AS (SELECT *, lag(hit) OVER (PARTITION BY ticker ORDER BY dt) AS prev FROM hits),
 cn AS (SELECT ticker, count(*) AS n, sum(hit)::BIGINT AS x, {', '.join(f"(count(*) FILTER (WHERE prev = {a} AND hit = {b}))::DOUBLE AS n{a}{b}" for a in (0, 1) for b in (0, 1))} FROM p GROUP BY 1),
 k AS (SELECT *, x / n AS ph, n01 / nullif(n00 + n01, 0) AS p0, n11 / nullif(n10 + n11, 0) AS p1, (n01 + n11) / nullif(n00 + n01 + n10 + n11, 0) AS q FROM cn),
 s AS (SELECT *, CASE WHEN x > 0 AND x < n THEN -2 * ((n - x) * ln(0.95::DOUBLE / (1 - ph)) + x * ln(0.05::DOUBLE / ph)) END AS uc,
   CASE WHEN x > 0 AND x < n AND q > 0 AND q < 1 THEN -2 * ((n00 + n10) * ln(1 - q) + (n01 + n11) * ln(q) - (CASE WHEN n00 = 0 THEN 0 ELSE n00 * ln(1 - p0) END + CASE WHEN n01 = 0 THEN 0 ELSE n01 * ln(p0) END + CASE WHEN n10 = 0 THEN 0 ELSE n10 * ln(1 - p1) END + CASE WHEN n11 = 0 THEN 0 ELSE n11 * ln(p1) END)) END AS ind FROM k)
-SELECT ticker, n, x, {_sig('uc', 'lr_uc', 6)}, {_sig('ind', 'lr_ind', 6)}, {_sig('uc + ind', 'lr_cc', 6)}, {_sig('exp(-(uc + ind) / 2)', 'p_cc', 6)} FROM s""",
+SELECT ticker, n, x, {_sig('uc', 'lr_uc', 6)}, {_sig('ind', 'lr_ind', 6)}, {_sig('uc + ind', 'lr_cc', 6)}, {_sig('exp(-(uc + ind) / 2)', 'p_cc', 6)}, {_p_chi2_sql('uc', 1)} AS p_uc, {_p_chi2_sql('ind', 1)} AS p_ind FROM s""",
 )
 _add(
     "g17_clustering",
@@ -262,9 +327,9 @@ def _seg_metrics(s, d):
 
 
 _SEG_METRICS = _METRICS.replace(_BARS, _SEGMENTS)
-_add("j03_wins", lambda s, d: portfolio.wins(_seg_metrics(s, d)), f"{_SEG_METRICS} SELECT model, count(*) AS wins FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY mae, model) AS r FROM m) WHERE r = 1 GROUP BY 1")
+_add("j03_wins", lambda s, d: portfolio.wins(_seg_metrics(s, d), pipeline.MODELS), f"{_SEG_METRICS} SELECT model, count(*) AS wins FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY mae, list_position({pipeline.MODELS!r}, model)) AS r FROM m) WHERE r = 1 GROUP BY 1")
 _add("j04_ranks", lambda s, d: _rounded(portfolio.model_ranks(_seg_metrics(s, d)).select("ticker", "model", "rank", "mae"), ["ticker", "model", "rank"], 7), f"{_SEG_METRICS} SELECT ticker, model, rank() OVER (PARTITION BY ticker ORDER BY mae) AS rank, {_sig('mae', 'mae', 7)} FROM m")
-_add("j05_top", lambda s, d: _rounded(_seg_metrics(s, d).where("model = 'har_rv'").orderBy("mae", "ticker").limit(3).select("ticker", "mae"), ["ticker"], 7), f"{_SEG_METRICS} SELECT ticker, {_sig('mae', 'mae', 7)} FROM (SELECT * FROM m WHERE model = 'har_rv' ORDER BY mae, ticker LIMIT 3)")
+_add("j05_top", lambda s, d: _rounded(portfolio.smallest(_seg_metrics(s, d).where("model = 'har_rv'"), "mae", 3).select("ticker", "mae"), ["ticker"], 7), f"{_SEG_METRICS} SELECT ticker, {_sig('mae', 'mae', 7)} FROM (SELECT * FROM m WHERE model = 'har_rv' ORDER BY mae, ticker LIMIT 3)")
 _SCORES = f"{_POS.replace(_BARS, _SEGMENTS)}, mo AS (SELECT ticker, (close / old - 1) * 4 AS momentum FROM (SELECT *, lag(close, 63) OVER (PARTITION BY ticker ORDER BY dt) AS old FROM bars) QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY dt DESC) = 1), sc AS (SELECT ticker, momentum / greatest(forecast_vol, 1e-6::DOUBLE) AS score FROM pos JOIN mo USING (ticker) WHERE forecast_vol > 0)"
 
 
@@ -286,18 +351,161 @@ _add("j10_reconcile", _orders, """WITH h AS (SELECT n_name AS ticker, (n_nationk
 j AS (SELECT coalesce(h.ticker, t.ticker) AS ticker, coalesce(qty, 0) AS a, shares AS w FROM h FULL JOIN t ON h.ticker = t.ticker)
 SELECT ticker, CASE WHEN coalesce(w, 0) > a THEN 'buy' WHEN coalesce(w, 0) < a THEN 'sell' ELSE 'none' END AS side, abs(coalesce(w, 0) - a) AS qty, CASE WHEN w IS NULL THEN 'close' WHEN w = a THEN 'no_change' WHEN a = 0 THEN 'open' ELSE 'adjust' END AS action FROM j WHERE w IS NOT NULL OR a > 0""")
 _add("j12_leaderboard", lambda s, d: _rounded(portfolio.leaderboard(_seg_metrics(s, d)), ["model", "n"], 7), f"{_SEG_METRICS} SELECT model, count(*) AS n, {_sig('avg(mae)', 'mae', 7)}, {_sig('avg(qlike)', 'qlike', 7)} FROM m GROUP BY ROLLUP (model)")
-_RES = f"{_FRAME}, z AS (SELECT ticker, dt, ret / greatest(ewma, 1e-10::DOUBLE) AS z FROM frame WHERE ewma IS NOT NULL AND ret IS NOT NULL)"
+_RES = f"{_FRAME}, z AS (SELECT ticker, dt, ret / greatest(ewma / sqrt(252.0::DOUBLE), 1e-10::DOUBLE) AS z FROM frame WHERE ewma IS NOT NULL AND ret IS NOT NULL)"
 _add("g01_standardized_residuals", lambda s, d: _rounded(risk.standardized(_evaluated(s, d), "ewma"), _KEY, 7), f"{_RES} SELECT ticker, dt, {_sig('z', 'z', 7)} FROM z")
 _add("g02_normal_fit", lambda s, d: _rounded(risk.fit_normal(risk.standardized(_evaluated(s, d), "ewma")), ["ticker", "n"], 6), f"{_RES} SELECT ticker, {_sig('avg(z)', 'mu', 6)}, {_sig('stddev_pop(z) + 1e-8::DOUBLE', 'sigma', 6)}, count(*) AS n FROM z WHERE abs(z) < 20 GROUP BY 1 HAVING count(*) >= 30")
+_KU = "CASE WHEN x = 0 THEN -2 * n * ln(0.95::DOUBLE) WHEN x = n THEN -2 * n * ln(0.05::DOUBLE) ELSE -2 * ((n - x) * ln(0.95::DOUBLE / (1 - x / n)) + x * ln(0.05::DOUBLE / (x / n))) END"
 _add(
     "g21_kupiec",
-    lambda s, d: _rounded(risk.kupiec(_hits(s, d), 0.05), ["ticker", "n", "x"], 6),
-    f"{_HITS}, ku AS (SELECT ticker, count(*) AS n, sum(hit)::BIGINT AS x FROM hits GROUP BY 1) SELECT ticker, n, x, {_sig('CASE WHEN x = 0 THEN -2 * n * ln(0.95::DOUBLE) WHEN x = n THEN -2 * n * ln(0.05::DOUBLE) ELSE -2 * ((n - x) * ln(0.95::DOUBLE / (1 - x / n)) + x * ln(0.05::DOUBLE / (x / n))) END', 'lr', 6)} FROM ku",
+    lambda s, d: _rounded(_p6(risk.kupiec(_hits(s, d), 0.05), "p"), ["ticker", "n", "x", "p"], 6),
+    f"{_HITS}, ku AS (SELECT ticker, count(*) AS n, sum(hit)::BIGINT AS x FROM hits GROUP BY 1), kl AS (SELECT *, {_KU} AS lr FROM ku) SELECT ticker, n, x, {_sig('lr', 'lr', 6)}, {_p_chi2_sql('lr', 1)} AS p FROM kl",
 )
 _add(
     "i05_latest_covariance",
-    lambda s, d: _rounded(portfolio.latest(portfolio.rolling_covariance(with_returns(segment_bars(s, d)))).select(*_CV, "cov"), _CV, 6),
+    lambda s, d: _rounded(portfolio.latest(with_returns(segment_bars(s, d))).select(*_CV, "cov"), _CV, 6),
     f"""{_SEGMENTS}, p AS (SELECT a.dt, a.ticker AS asset_i, b.ticker AS asset_j, a.ret AS x, b.ret AS y FROM bars a JOIN bars b ON a.dt = b.dt AND a.ticker <= b.ticker),
 g AS (SELECT dt, asset_i, asset_j, count(*) OVER w AS n, covar_samp(x, y) OVER w AS cov FROM p WINDOW w AS (PARTITION BY asset_i, asset_j ORDER BY dt ROWS BETWEEN 63 PRECEDING AND 1 PRECEDING)), full_ AS (SELECT * FROM g WHERE n = 63)
 SELECT dt, asset_i, asset_j, {_sig('cov', 'cov', 6)} FROM full_ WHERE dt = (SELECT max(dt) FROM full_)""",
 )
+
+
+# --- Signals, reference lists, wide rows and runs --------------------------------------------------------------------
+_add("a08_latest_signals", lambda s, d: _rounded(tables.latest(_evaluated(s, d).select(*_KEY, "close", *pipeline.MODELS), "dt"), _KEY, 7), f"{_FRAME} SELECT ticker, dt, {', '.join(_sig(c, c, 7) for c in ['close', *pipeline.MODELS])} FROM frame WHERE dt = (SELECT max(dt) FROM frame)")
+_add("a11_ticker_list", lambda s, d: ticker_list(tickers(s.read.parquet(f"{d}/nation.parquet"), "n_name", 9), 7), "SELECT count(*) AS n, string_agg(symbol, ',' ORDER BY symbol) AS symbols FROM (SELECT DISTINCT trim(n_name) AS symbol FROM nation WHERE length(trim(n_name)) BETWEEN 1 AND 9 AND lower(trim(n_name)) <> 'nan' ORDER BY symbol LIMIT 7)")
+_WIDE = [f"{m}_{x}" for m in pipeline.MODELS for x in ("mae", "qlike")]
+_add(
+    "j01_one_row_each",
+    lambda s, d: _rounded(portfolio.one_row_each(pipeline.model_metrics(long_enough(with_returns(segment_bars(s, d)))), pipeline.MODELS), ["ticker"], 6),
+    f"{_SEG_METRICS} SELECT ticker, " + ", ".join(_sig(f"max({x}) FILTER (WHERE model = '{m}')", f"{m}_{x}", 6) for m in pipeline.MODELS for x in ("mae", "qlike")) + " FROM m WHERE ticker IN (SELECT ticker FROM bars GROUP BY 1 HAVING count(*) >= 600) GROUP BY 1 HAVING max(n) >= 100",
+)
+_add("j13_regime_table", lambda s, d: experiments.regime_table(evaluation.by_regime(evaluation.regimes(_evaluated(s, d)), "har_rv")), f"{_REGIME} SELECT ticker, regime, {', '.join(f'round({v}, 6) AS {k}' for k, v in _loss_sql('realized', 'har_rv').items() if k in ('mae', 'rmse', 'qlike'))} FROM g WHERE har_rv IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 10")
+
+
+def _run_tables(s, d):
+    base = f"{shared_folder(s)}/experiments-{uuid.uuid4().hex}"
+    experiments.run(_bars(s, d), experiments.Config(cost_bps=5.0), base)
+    return experiments.leaderboard(s, base)
+
+
+_add("a06_j17_run_leaderboard", _run_tables, f"{_METRICS} SELECT model, round(avg(mae), 6) AS mae, round(avg(rmse), 6) AS rmse, round(avg(qlike), 6) AS qlike, count(*) AS n FROM m GROUP BY 1")
+
+
+def _capped(s, d):
+    parts = s.read.parquet(f"{d}/nation.parquet").select(F.col("n_name").alias("ticker"), (F.col("n_nationkey") % 5).cast("long").alias("shares"), (F.col("n_nationkey") * 3000.0).alias("close"))
+    held = s.read.parquet(f"{d}/nation.parquet").where("n_regionkey < 3").select(F.col("n_name").alias("ticker"), F.lit(2).cast("long").alias("qty"))
+    return portfolio.reconcile(held, parts)
+
+
+_add("j10_exposure_cap", _capped, """WITH t AS (SELECT n_name AS ticker, CASE WHEN (n_nationkey % 5) * (n_nationkey * 3000.0) > 100000 THEN 0 ELSE n_nationkey % 5 END::BIGINT AS w FROM nation), h AS (SELECT n_name AS ticker, 2::BIGINT AS a FROM nation WHERE n_regionkey < 3),
+j AS (SELECT t.ticker, coalesce(a, 0) AS a, w FROM t LEFT JOIN h USING (ticker))
+SELECT ticker, CASE WHEN w > a THEN 'buy' WHEN w < a THEN 'sell' ELSE 'none' END AS side, abs(w - a) AS qty, CASE WHEN w = a THEN 'no_change' WHEN a = 0 THEN 'open' ELSE 'adjust' END AS action FROM j""")
+
+
+def _days(s, d):
+    bars = segment_bars(s, d)
+    of = lambda name: bars.where(F.col("ticker") == name).select("dt")
+    both, only = of("BUILDING").intersect(of("MACHINERY")), of("BUILDING").subtract(of("MACHINERY"))
+    kinds = [("both", both), ("first only", only), ("either", of("BUILDING").union(of("MACHINERY")).distinct())]
+    out = kinds[0][1].select(F.lit("both").alias("kind"), "dt")
+    for kind, df in kinds[1:]:
+        out = out.unionByName(df.select(F.lit(kind).alias("kind"), "dt"))
+    return out.groupBy("kind").agg(F.count("*").alias("n"), F.min("dt").alias("first"), F.max("dt").alias("last"))
+
+
+_add("k10_set_operations", _days, """WITH a AS (SELECT DISTINCT o_orderdate::DATE AS dt FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING'), b AS (SELECT DISTINCT o_orderdate::DATE AS dt FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'MACHINERY')
+SELECT kind, count(*) AS n, min(dt) AS first, max(dt) AS last FROM (SELECT 'both' AS kind, dt FROM (FROM a INTERSECT FROM b) UNION ALL SELECT 'first only', dt FROM (FROM a EXCEPT FROM b) UNION ALL SELECT 'either', dt FROM (FROM a UNION FROM b)) GROUP BY 1""")
+
+# --- Estimated models: no SQL; tested against numpy and simulated series -------------------------------------------------
+
+
+def _garch(s, d):
+    bars = _bars(s, d)
+    out = bars.select(*_KEY)
+    for kind in garch.KINDS:
+        out = out.join(garch.garch(bars, kind, window=1260, step=2), _KEY)
+    return out
+
+
+def _featured(s, d):
+    df, names = features.build(_bars(s, d))
+    return df.withColumn("target", vol.forward_realized(1)), names
+
+
+_add("e05_e09_garch", _garch)
+_add("e11_ridge_tuned", lambda s, d: forecasts.ridge_tuned(*_featured(s, d), "target"))
+_add("e15_stacking", lambda s, d: forecasts.stacking(_evaluated(s, d), _EM))
+_add("g02_density_fits", lambda s, d: densities.fit(risk.standardized(_evaluated(s, d), "ewma"), "studentt").unionByName(densities.fit(risk.standardized(_evaluated(s, d), "ewma"), "skewt")))
+_add("g06_density_pipeline", lambda s, d: densities.density_forecasts(_evaluated(s, d), "ewma"))
+_add("g11_dq", lambda s, d: risk.dq(_hits(s, d), 0.05))
+_add("g18_report", lambda s, d: risk.report(_hits(s, d), 0.05))
+_add("g13_joint_scores", lambda s, d: _rounded(risk.fissler_ziegel(_hits(s, d).where("ewma IS NOT NULL"), 0.05).select(*_KEY, "fz"), _KEY, 6), f"{_HITS}, sc AS (SELECT ticker, dt, -ret AS x, var AS v, es AS e, exp(greatest(-20.0::DOUBLE, least(20.0::DOUBLE, es))) AS g FROM hits) SELECT ticker, dt, {_sig('((x >= v)::INT - 0.05::DOUBLE) * (v - least(x, v)) + g * (x >= v)::INT * (x - v) / 0.05::DOUBLE + g * (e - v) - g', 'fz', 6)} FROM sc")
+
+
+def _pit(s, d):
+    return densities.density_forecasts(_evaluated(s, d).where("ewma IS NOT NULL"), "ewma", "normal")
+
+
+_PIT = f"{_RES}, pit AS (SELECT ticker, dt, CASE WHEN z < 0 THEN {_p_normal_sql('z').removeprefix('round(').removesuffix(', 6)')} / 2 ELSE 1 - {_p_normal_sql('z').removeprefix('round(').removesuffix(', 6)')} / 2 END AS pit FROM z)"
+_HIST = f"{_PIT}, hist AS (SELECT t.ticker, b.bin, (SELECT count(*) FROM pit p WHERE p.ticker = t.ticker AND least(floor(p.pit * 10), 9) = b.bin) AS n FROM (SELECT DISTINCT ticker FROM pit) t, (SELECT unnest(range(10)) AS bin) b)"
+_add("g05_pit_normal", lambda s, d: _p6(_pit(s, d).select(*_KEY, "pit"), "pit"), f"{_PIT} SELECT ticker, dt, round(pit, 6) AS pit FROM pit")
+_add("g15_pit_histogram", lambda s, d: risk.pit_histogram(_pit(s, d)), f"{_HIST} SELECT * FROM hist")
+_add("g16_pit_uniform", lambda s, d: _rounded(_p6(risk.pit_uniform(risk.pit_histogram(_pit(s, d))), "p"), ["ticker", "p"], 6), f"{_HIST}, un AS (SELECT ticker, sum(n * n) * 10.0::DOUBLE / sum(n) - sum(n) AS chi2 FROM hist GROUP BY 1) SELECT ticker, {_sig('chi2', 'chi2', 6)}, {_p_chi2_sql('chi2', 9)} AS p FROM un")
+
+# --- Covariances by recursion, weights and portfolios -----------------------------------------------------------------
+
+
+def _returns(s, d):
+    return with_returns(segment_bars(s, d))
+
+
+_PAIRS = f"""{_SEGMENTS}, days AS (SELECT DISTINCT dt FROM bars), names AS (SELECT DISTINCT ticker FROM bars), panel AS (SELECT dt, ticker, coalesce(ret, 0) AS ret, dense_rank() OVER (ORDER BY dt) AS n FROM days CROSS JOIN names LEFT JOIN bars USING (dt, ticker)),
+pp AS (SELECT a.dt, a.n, a.ticker AS i, b.ticker AS j, a.ret AS x, b.ret AS y FROM panel a JOIN panel b ON a.dt = b.dt AND a.ticker <= b.ticker)"""
+_EWMA_COV = f"""{_PAIRS}, q AS (WITH RECURSIVE q AS (SELECT i, j, 20::BIGINT AS n, covar_samp(x, y) AS c FROM pp WHERE n <= 20 GROUP BY i, j UNION ALL SELECT q.i, q.j, q.n + 1, 0.94::DOUBLE * q.c + 0.06::DOUBLE * pp.x * pp.y FROM q JOIN pp ON pp.i = q.i AND pp.j = q.j AND pp.n = q.n) SELECT * FROM q),
+ec AS (SELECT pp.dt, pp.i AS asset_i, pp.j AS asset_j, q.c AS cov, CASE WHEN pp.i = pp.j THEN sqrt(q.c * 252) END AS vol FROM pp JOIN q ON pp.i = q.i AND pp.j = q.j AND q.n = pp.n AND q.n > 20)"""
+_add("i03_ewma_covariance", lambda s, d: _rounded(portfolio.ewma_covariance(_returns(s, d)), _CV, 6), f"{_EWMA_COV} SELECT dt, asset_i, asset_j, {_sig('cov', 'cov', 6)}, {_sig('vol', 'vol', 6)} FROM ec")
+_add(
+    "i04_ewma_correlation",
+    lambda s, d: _rounded(portfolio.ewma_correlation_covariance(_returns(s, d), pipeline.forecast_frame(_returns(s, d)).select("ticker", "dt", F.col("ewma").alias("vol")).where("ticker <> 'BUILDING'")), _CV, 6),
+    _FRAME.replace(_BARS, _PAIRS) + f""", u AS (SELECT *, x * y / (sqrt(x * x + 1e-12::DOUBLE) * sqrt(y * y + 1e-12::DOUBLE)) AS rho FROM pp),
+q AS (WITH RECURSIVE q AS (SELECT i, j, 50::BIGINT AS n, CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS c FROM u WHERE n = 50 UNION ALL SELECT q.i, q.j, q.n + 1, 0.94::DOUBLE * q.c + 0.06::DOUBLE * u.rho FROM q JOIN u ON u.i = q.i AND u.j = q.j AND u.n = q.n) SELECT * FROM q),
+sp AS (SELECT p.dt, p.ticker, CASE WHEN p.ticker = 'BUILDING' THEN 0.15::DOUBLE ELSE last_value(f.ewma IGNORE NULLS) OVER (PARTITION BY p.ticker ORDER BY p.dt ROWS UNBOUNDED PRECEDING) END AS v FROM panel p LEFT JOIN frame f ON f.ticker = p.ticker AND f.dt = p.dt),
+sd AS (SELECT dt, ticker, greatest(v / sqrt(252.0::DOUBLE), 1e-8::DOUBLE) AS v FROM sp WHERE v IS NOT NULL)
+SELECT u.dt, u.i AS asset_i, u.j AS asset_j, {_sig('a.v * q.c * b.v', 'cov', 6)} FROM u JOIN q ON q.i = u.i AND q.j = u.j AND q.n = u.n AND q.n > 50 LEFT JOIN sd a ON a.dt = u.dt AND a.ticker = u.i LEFT JOIN sd b ON b.dt = u.dt AND b.ticker = u.j""",
+)
+_add("i05_latest_ewma", lambda s, d: _rounded(portfolio.latest(_returns(s, d), "ewma"), _CV, 6), f"{_EWMA_COV} SELECT dt, asset_i, asset_j, {_sig('cov', 'cov', 6)} FROM ec WHERE dt = (SELECT max(dt) FROM ec)")
+
+
+def _weights(s, d):
+    cov = portfolio.rolling_covariance(_returns(s, d))
+    rules = {"risk_parity": portfolio.risk_parity, "min_variance": portfolio.minimum_variance, "vol_target": portfolio.volatility_target}
+    out = None
+    for name, rule in rules.items():
+        w = portfolio.weights(cov, rule).select(F.lit(name).alias("rule"), "dt", "ticker", "weight")
+        out = w if out is None else out.unionByName(w)
+    return out
+
+
+def _inverse_variance(cov):
+    return (1 / cov.diagonal()) / (1 / cov.diagonal()).sum()
+
+
+_add("i06_i08_weights", _weights)
+_add("i10_risk_parity_backtest", lambda s, d: portfolio.backtest(_returns(s, d)))
+_add("i10_minimum_variance_backtest", lambda s, d: portfolio.backtest(_returns(s, d), portfolio.minimum_variance))
+_add(
+    "i09_k15_backtest_with_callables",
+    lambda s, d: _rounded(portfolio.backtest(_returns(s, d), _inverse_variance, lambda r, w: portfolio.shrunk(portfolio.rolling_covariance(r, w)), 63), ["dt"], 6),
+    f"""{_SEGMENTS}, p AS (SELECT a.dt, a.ticker AS i, b.ticker AS j, a.ret AS x, b.ret AS y FROM bars a JOIN bars b ON a.dt = b.dt AND a.ticker <= b.ticker),
+g AS (SELECT dt, i, j, count(*) OVER w AS n, covar_samp(x, y) OVER w AS cov FROM p WINDOW w AS (PARTITION BY i, j ORDER BY dt ROWS BETWEEN 63 PRECEDING AND 1 PRECEDING)), ok AS (SELECT * FROM g WHERE n = 63),
+days AS (SELECT dt FROM (SELECT dt, count(*) AS k, count(DISTINCT i) AS m FROM ok GROUP BY 1) WHERE k = m * (m + 1) / 2), v AS (SELECT dt, i, (1 / cov) / sum(1 / cov) OVER (PARTITION BY dt) AS w FROM ok JOIN days USING (dt) WHERE i = j),
+f AS (SELECT dt, lead(dt) OVER (ORDER BY dt) AS nx FROM days)
+SELECT f.nx AS dt, {_sig('sum(v.w * coalesce(bars.ret, 0))', 'ret', 6)} FROM v JOIN f USING (dt) LEFT JOIN bars ON bars.dt = f.nx AND bars.ticker = v.i WHERE f.nx IS NOT NULL GROUP BY 1""",
+)
+
+# --- Streaming ---------------------------------------------------------------------------------------------------------
+_add(
+    "s01_streaming_bars",
+    closed_days,
+    """WITH e AS (SELECT event_type AS ticker, date_trunc('day', ts) AS day, ts, event_id, value FROM events), m AS (SELECT max(ts) - INTERVAL 1 HOUR AS mark FROM events)
+SELECT ticker, day::DATE AS dt, arg_min(value, ROW(ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, ROW(ts, event_id)) AS close, count(*) AS n FROM e GROUP BY ticker, day HAVING day + INTERVAL 1 DAY <= (SELECT mark FROM m)""",
+)

@@ -37,3 +37,15 @@ def tickers(reference: DataFrame, column: str, longest: int = 5) -> DataFrame:
     """Clean symbols of a reference table: trimmed, not empty, not "nan", of at most ``longest`` characters."""
     symbol = F.trim(column)
     return reference.select(symbol.alias("symbol")).where((F.length("symbol") > 0) & (F.lower("symbol") != "nan") & (F.length("symbol") <= longest)).distinct()
+
+
+def ticker_list(symbols: DataFrame, first: int | None = None, separator: str = ",") -> DataFrame:
+    """(n, symbols): the ``first`` symbols in order, or all, joined into one string."""
+    chosen = symbols.select("symbol").orderBy("symbol")
+    chosen = chosen if first is None else chosen.limit(first)
+    return chosen.agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("symbol")), separator).alias("symbols"))
+
+
+def long_enough(bars: DataFrame, least: int = 600) -> DataFrame:
+    """Bars of instruments with at least so many rows."""
+    return bars.join(bars.groupBy("ticker").count().where(F.col("count") >= least).select("ticker"), "ticker", "left_semi")
