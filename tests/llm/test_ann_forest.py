@@ -38,10 +38,56 @@ def test_empty(spark):
     assert ann_forest.nearest(v, v).count() == 0
 
 
-def test_shards_and_blocks_agree(spark, monkeypatch, small):
-    v = table(spark, small, "embeddings")
-    one = sorted(map(tuple, ann_forest.nearest(v, v.where("vec_id % 20 = 0"), 5).collect()))
-    monkeypatch.setattr(ann_forest, "SHARD", 30)
-    monkeypatch.setattr(ann_forest, "QUERIES", 3)
-    many = sorted(map(tuple, ann_forest.nearest(v, v.where("vec_id % 20 = 0"), 5).collect()))
-    assert len(set(one) & set(many)) >= 0.9 * len(one)
+def test_several_shards_and_blocks_against_brute_force(spark, monkeypatch):
+    v = table(spark, "/root/testdata/sf0.1", "embeddings")
+    monkeypatch.setattr(ann_forest, "SHARD", 250)
+    monkeypatch.setattr(ann_forest, "QUERIES", 9)
+    found = {}
+    for r in ann_forest.nearest(v, v.where("vec_id % 20 = 0"), 20).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    rows = v.collect()
+    ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], np.float64)
+    hits = 0
+    for q in ids[ids % 20 == 0]:
+        s = np.where(ids == q, -np.inf, x @ x[ids == q][0])
+        hits += len(found[q] & set(ids[np.argsort(-s)[:20]].tolist()))
+    assert len(found) == 100 and hits / 2000 >= 0.9
+
+
+def search(x, queries, k=20):
+    top = np.sqrt((x * x).sum(axis=1)).max()
+    exact = queries @ x.T
+    cos = -np.sort(-exact, axis=1)[:, k - 1] / (np.sqrt((queries * queries).sum(axis=1)) * top)
+    forest = ann_forest.Forest(x, top)
+    query, row = forest.search(queries, ann_forest.depth_for(cos), k)
+    hits = sum(len(set(row[query == n].tolist()) & set(np.argsort(-exact[n])[:k].tolist())) for n in range(len(queries)))
+    return hits / k / len(queries), forest.scored / len(queries) / len(x)
+
+
+def test_few_rows_are_scored(spark):
+    r = np.random.default_rng(3)
+    centres = r.standard_normal((100, 32))
+    x = np.repeat(centres, 40, axis=0) + 0.3 * r.standard_normal((4000, 32))
+    recall, share = search(x / np.linalg.norm(x, axis=1)[:, None], centres[:50])
+    assert recall >= 0.9 and share < 0.1
+    x = np.array([r["embedding"] for r in table(spark, "/root/testdata/sf0.1", "embeddings").collect()], np.float64)  # directions at random, the hardest case
+    recall, share = search(x, x[:60])
+    assert recall >= 0.9 and share < 0.8
+
+
+def test_likeliest_patterns():
+    r = np.random.default_rng(2)
+    for n in (1, 3, 6):
+        same = r.uniform(0.5, 0.99, n)
+        p = [np.prod([same[j] if not m >> (n - 1 - j) & 1 else 1 - same[j] for j in range(n)]) for m in range(1 << n)]
+        order = ann_forest.likeliest(same, 1.1)
+        assert sorted(order) == list(range(1 << n)) and np.allclose([p[m] for m in order], sorted(p, reverse=True))
+        few = ann_forest.likeliest(same, 0.7)
+        assert sum(p[m] for m in few) >= 0.7 > sum(p[m] for m in few[:-1])
+
+
+def test_repeated_ids_and_equal_vectors(spark):
+    rows = [(k, [1.0, 0.0]) for k in range(1, 60)] + [(0, [1.0, 0.5]), (0, [1.0, 0.5]), (0, [0.5, 9.0]), (77, [1.0, 2.0, 3.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    got = [tuple(r) for r in ann_forest.nearest(v, v.where("vec_id in (0, 3, 77)"), 3).orderBy("query_id", "rank").collect()]
+    assert got == [(0, 1, 1, 0.5), (0, 2, 2, 0.5), (0, 3, 3, 0.5), (3, 1, 1, 1.0), (3, 2, 2, 1.0), (3, 3, 4, 1.0)]

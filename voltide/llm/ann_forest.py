@@ -1,13 +1,16 @@
-"""Nearest neighbours by inner product: a forest of sorted hash strings, sharded over tasks.
-
-Vectors are lifted to one length by an extra component, so that the largest inner product is the smallest angle. A tree is a
-sorted array of strings of random-hyperplane bits. A query descends every tree to its longest-prefix matches; all trees then
-ascend together, shortening the prefix, until there are enough candidates and a neighbour as close as the worst of the k
-found so far would meet the query in some tree with the target probability. Shards are independent; their best are merged.
+"""Nearest neighbours by inner product: a forest of sorted arrays of hash strings, dealt to tasks by hash prefix.
+
+Vectors are lifted to one length by an extra component, so that the largest inner product is the smallest angle. A string
+has one bit for each of BITS random hyperplanes. The index is dealt by the first bits of one more string, the router, and a
+query goes to those shards alone in which its neighbours may lie, likeliest first, until the chance is ROUTE. In a shard a
+query descends all trees to its longest-prefix matches; then all trees ascend together, a bit at a time, until a neighbour as
+near as those sought meets the query in some tree with probability MEET. How near that is, a small sample of the index tells.
+Every row that shares such a prefix in some tree is scored, once.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 
 import numpy as np
@@ -15,120 +18,126 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .textkernel import tidy
+
+#: Index vectors of a shard (on average; twice as many at most) and queries of a block; trees and bits of a string.
+SHARD, QUERIES, TREES, BITS = 4096, 8192, 128, 24
+#: Probabilities that a neighbour lies in a visited shard and that it meets the query in some tree of its shard.
+ROUTE, MEET = 0.98, 0.92
+#: Sampled vectors at most, from which the nearness of the k-th neighbour is estimated; an eighth of a smaller index.
+SAMPLE = 2048
+
+_erf = np.vectorize(math.erf, otypes=[float])
+
+
+def planes(dim: int, router: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hyperplanes of the router and of the trees, for vectors of dim components and the lifting one."""
+    r = np.random.default_rng(1 + dim)
+    trees = r.standard_normal((dim + 1, TREES * BITS))
+    return r.standard_normal((dim + 1, max(router, 1)))[:, :router], trees
+
+
+def lifted(x: np.ndarray, top: float) -> np.ndarray:
+    return np.column_stack([x, np.sqrt(np.maximum(top**2 - (x * x).sum(axis=1), 0))]) / top
+
+
+def unit(q: np.ndarray) -> np.ndarray:
+    return np.column_stack([q / np.sqrt((q * q).sum(axis=1))[:, None], np.zeros(len(q))])
+
 
-#: Index vectors of a shard and queries of a block; trees, bits of a string, and the probability of meeting a neighbour.
-SHARD, QUERIES, TREES, BITS, MEET = 4096, 8192, 16, 16, 0.97
+def likeliest(same: np.ndarray, enough: float) -> list[int]:
+    """Patterns of flipped bits, as numbers, likeliest first, until their probabilities add up; same: of each bit not to flip (0.5 at least)."""
+    order = np.argsort(same, kind="stable")
+    cost = np.log(same[order]) - np.log(np.maximum(1 - same[order], 1e-12))
+    weight = (1 << (len(same) - 1 - order)).tolist()
+    total, out = float(np.exp(np.log(same).sum())), [0]
+    first, heap = total, [(cost[0], 0, weight[0])] if len(same) else []
+    while heap and total < enough:
+        c, j, mask = heapq.heappop(heap)
+        out.append(mask)
+        total += first * math.exp(-c)
+        if j + 1 < len(cost):
+            heapq.heappush(heap, (c + cost[j + 1], j + 1, mask | weight[j + 1]))
+            heapq.heappush(heap, (c + cost[j + 1] - cost[j], j + 1, (mask & ~weight[j]) | weight[j + 1]))
+    return out
+
+
+def depth_for(cos: np.ndarray) -> np.ndarray:
+    """The longest prefix with which a neighbour at these cosines meets the query in some tree with probability MEET."""
+    p = 1 - np.arccos(np.clip(cos, -1, 1)) / math.pi
+    need = 1 - (1 - MEET) ** (1 / TREES)
+    with np.errstate(divide="ignore"):
+        return np.clip(np.floor(math.log(need) / np.log(np.minimum(p, 1 - 1e-12)) + 1e-9), 0, BITS).astype(int)
 
 
 class Forest:
-    """Sorted arrays of hash strings over distinct vectors (rows of x)."""
-
-    def __init__(self, x: np.ndarray, trees: int = TREES, bits: int = BITS, seed: int = 1):
-        self.x, self.bits = x, bits
-        norm = np.sqrt((x * x).sum(axis=1))
-        self.top = norm.max()
-        lifted = np.column_stack([x, np.sqrt(np.maximum(self.top**2 - norm**2, 0))])
-        self.planes = np.random.default_rng(seed).standard_normal((trees, lifted.shape[1], bits))
-        keys = self._strings(lifted)
+    """Sorted arrays of hash strings over the rows of x."""
+
+    def __init__(self, x: np.ndarray, top: float):
+        self.x, self.trees = x, planes(x.shape[1], 0)[1]
+        keys = self.strings(lifted(x, top))
         self.order = np.argsort(keys, axis=1, kind="stable")
         self.keys = np.take_along_axis(keys, self.order, axis=1)
+        self.scored = 0
+
+    def strings(self, rows: np.ndarray) -> np.ndarray:
+        out = np.empty((TREES, len(rows)), np.int64)
+        weights = 1 << np.arange(BITS - 1, -1, -1)
+        for i in range(0, len(rows), 1024):
+            out[:, i : i + 1024] = ((rows[i : i + 1024] @ self.trees > 0).reshape(-1, TREES, BITS) @ weights).T
+        return out
+
+    def candidates(self, q: np.ndarray, depth: np.ndarray, k: int):
+        """For each query the rows that share a prefix of ``depth`` bits in some tree; shorter where fewer than k rows do."""
+        keys = self.strings(unit(q))
+        for n in range(len(q)):
+            d = int(depth[n])
+            while True:
+                cut = BITS - d
+                low = keys[:, n] >> cut << cut
+                begin = [np.searchsorted(s, a) for s, a in zip(self.keys, low, strict=True)]
+                end = [np.searchsorted(s, a) for s, a in zip(self.keys, low + (1 << cut), strict=True)]
+                rows = np.unique(np.concatenate([o[a:z] for o, a, z in zip(self.order, begin, end, strict=True)]))
+                if len(rows) >= min(k, len(self.x)) or d == 0:
+                    break
+                d -= 1  # all trees ascend by a bit
+            self.scored += len(rows)
+            yield n, rows
+
+    def search(self, q: np.ndarray, depth: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query, row of x) of the k best candidates of each query; more for equal scores at the end."""
+        query, row = [], []
+        for n, rows in self.candidates(q, depth, k):
+            score = self.x[rows] @ q[n]
+            if len(rows) > k:
+                least = np.partition(score, len(rows) - k)[len(rows) - k]
+                rows = rows[score >= least - 1e-9 * (1 + abs(least))]
+            query.append(np.full(len(rows), n))
+            row.append(rows)
+        none = np.zeros(0, np.int64)
+        return np.concatenate([none, *query]), np.concatenate([none, *row])
 
-    def _strings(self, lifted: np.ndarray) -> np.ndarray:
-        weights = 1 << np.arange(self.bits - 1, -1, -1, dtype=np.int64)
-        return np.stack([((lifted @ p) > 0) @ weights for p in self.planes])
 
-    def ranges(self, keys: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each tree and query the stretch of the sorted array that shares ``depth`` bits."""
-        cut = self.bits - depth
-        low = keys >> cut << cut
-        begin = np.stack([np.searchsorted(k, q) for k, q in zip(self.keys, low, strict=True)])
-        return begin, np.stack([np.searchsorted(k, q) for k, q in zip(self.keys, low + (1 << cut), strict=True)])
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
-    def search(self, q: np.ndarray, k: int, least: int, meet: float = MEET) -> tuple[np.ndarray, np.ndarray]:
-        """(query, row of x) of the k best candidates of each query; more for equal scores at the end."""
-        n = len(q)
-        keys = self._strings(np.column_stack([q, np.zeros(n)]))
-        depth = np.zeros(n, np.int64)
-        todo = np.arange(n)
-        for d in range(self.bits, 0, -1):  # ascend together until there are enough
-            begin, end = self.ranges(keys[:, todo], d)
-            enough = (end - begin).sum(axis=0) >= min(least, len(self.x))
-            depth[todo[enough]] = d
-            todo = todo[~enough]
-        found = self._best(q, keys, depth, np.arange(n), k)
-        worst = np.full(n, -np.inf)
-        count = np.bincount(found[0], minlength=n)
-        np.minimum.at(worst := np.full(n, np.inf), found[0], found[2])
-        length = np.sqrt((q * q).sum(axis=1))
-        cos = np.clip(worst / np.maximum(length * self.top, 1e-300), -1, 1)
-        p = 1 - np.arccos(cos) / math.pi
-        need = np.zeros(n, np.int64)
-        for d in range(1, self.bits + 1):
-            need[1 - (1 - p**d) ** len(self.planes) >= meet] = d
-        need[count < min(k, len(self.x))] = 0
-        again = np.flatnonzero(need < depth)
-        more = self._best(q, keys, need, again, k)
-        keep = ~np.isin(found[0], again)
-        return np.concatenate([found[0][keep], more[0]]), np.concatenate([found[1][keep], more[1]])
-
-    def _best(self, q, keys, depth, which, k):
-        """Score the stretches of each tree for the queries that share one, and keep the best k distinct rows of each query."""
-        out = []
-        for t in range(len(self.planes)):
-            cut = self.bits - depth[which]
-            code = (keys[t, which] >> cut) * (self.bits + 1) + depth[which]
-            for c in np.unique(code):
-                own = which[code == c]
-                d = int(c % (self.bits + 1))
-                low = int(c // (self.bits + 1)) << (self.bits - d)
-                a, z = np.searchsorted(self.keys[t], [low, low + (1 << (self.bits - d))])
-                if a == z:
-                    continue
-                rows = self.order[t, a:z]
-                for i in range(0, len(own), 1024):
-                    s = q[own[i : i + 1024]] @ self.x[rows].T
-                    if z - a > k:
-                        at = np.argpartition(-s, k - 1, axis=1)[:, :k]
-                    else:
-                        at = np.broadcast_to(np.arange(z - a), s.shape)
-                    out.append((np.repeat(own[i : i + 1024], at.shape[1]), rows[at].ravel(), np.take_along_axis(s, at, axis=1).ravel()))
-            if t and depth[which].max(initial=0) == 0:
-                break  # at depth 0 one tree holds all rows
-        if not out:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        query, row, score = (np.concatenate(x) for x in zip(*out, strict=True))
-        order = np.lexsort((row, query))
-        query, row, score = query[order], row[order], score[order]
-        new = np.concatenate([[True], (query[1:] != query[:-1]) | (row[1:] != row[:-1])])
-        query, row, score = query[new], row[new], score[new]
-        order = np.lexsort((row, -score, query))
-        query, row, score = query[order], row[order], score[order]
-        first = np.searchsorted(query, query)
-        keep = np.arange(len(query)) - first < k
-        return query[keep], row[keep], score[keep]
-
-
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1)
-
-
-def _search_shard(index: pa.Table, queries: pa.Table, k: int) -> pa.Table:
+
+def _search_shard(index: pa.Table, asked: pa.Table, k: int, tops: dict[int, float]) -> pa.Table:
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
-    if not index.num_rows or not queries.num_rows:
+    if not index.num_rows or not asked.num_rows:
         return schema.empty_table()
     ids, x = index.column("vec_id").to_numpy(), _matrix(index.column("v"))
-    qid, q = queries.column("vec_id").to_numpy(), _matrix(queries.column("v"))
-    # Equal vectors are one entry of the forest; of its ids the least k + 1 can matter, one of them perhaps the query's own.
+    qid, q, depth = asked.column("vec_id").to_numpy(), _matrix(asked.column("v")), asked.column("depth").to_numpy()
+    # Equal vectors are one entry of the forest.
     order = np.lexsort((ids, *x.T[::-1]))
     ids, x = ids[order], x[order]
-    new = np.concatenate([[True], (x[1:] != x[:-1]).any(axis=1)])
-    first = np.flatnonzero(new)
+    first = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]).any(axis=1)]))
     size = np.diff(np.append(first, len(ids)))
     distinct = np.ascontiguousarray(x[first])
-    query, row = Forest(distinct).search(q, k + 1, 8 * k)
+    query, row = Forest(distinct, tops[x.shape[1]]).search(q, depth, k + 1)
     exact = (q[query] * distinct[row]).sum(axis=1)
-    many = np.minimum(size[row], k + 1)
+    many = size[row]
     at = np.repeat(first[row], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
     query, exact = np.repeat(query, many), np.repeat(exact, many)
     other = qid[query] != ids[at]
@@ -139,20 +148,93 @@ def _search_shard(index: pa.Table, queries: pa.Table, k: int) -> pa.Table:
     return pa.table({"query_id": qid[query[keep]], "vec_id": ids[at[keep]], "score": exact[keep]}, schema=schema)
 
 
+class Router:
+    """What dealing needs of each dimension: vectors, greatest length, bits of the router and a sample of the index. Broadcast; SAMPLE vectors at most."""
+
+    def __init__(self, index: DataFrame, k: int):
+        stats = index.groupBy("dim").agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, c: s + c * c)).alias("s")).collect()  # one row a dimension
+        self.k = k
+        self.rows = {r["dim"]: r["n"] for r in stats}
+        self.top = {r["dim"]: math.sqrt(r["s"]) for r in stats}
+        self.bits = {d: max(0, round(math.log2(n / SHARD))) for d, n in self.rows.items()}
+        drawn = F.row_number().over(Window.partitionBy("dim").orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id"))
+        sample: dict[int, tuple[list, list]] = {d: ([], []) for d in self.rows}
+        for r in index.withColumn("r", drawn).where(F.col("r") <= SAMPLE).select("dim", "vec_id", "v", "r").collect():
+            if r["r"] <= max(64, self.rows[r["dim"]] // 8):
+                sample[r["dim"]][0].append(r["vec_id"])
+                sample[r["dim"]][1].append(r["v"])
+        self.sample = {d: (np.array(i), np.array(v)) for d, (i, v) in sample.items()}
+
+    def shards(self, x: np.ndarray) -> np.ndarray:
+        dim = x.shape[1]
+        b = self.bits[dim]
+        return (lifted(x, self.top[dim]) @ planes(dim, b)[0] > 0) @ (1 << np.arange(b - 1, -1, -1)) if b else np.zeros(len(x), np.int64)
+
+    def cosines(self, ids: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """The cosine (lifted) of the k-th neighbour: that of as high a rank of the sample, and two ranks more to be safe."""
+        dim = q.shape[1]
+        own, v = self.sample[dim]
+        rank = math.ceil(self.k * len(v) / self.rows[dim]) + 2
+        if len(v) <= rank:
+            return np.full(len(q), -1.0)
+        score = np.where(ids[:, None] == own, -np.inf, q @ v.T)
+        return -np.partition(-score, rank - 1, axis=1)[:, rank - 1] / (np.sqrt((q * q).sum(axis=1)) * self.top[dim])
+
+    def visits(self, ids: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, list[list[int]]]:
+        """The prefix length and the shards of each query."""
+        dim = q.shape[1]
+        b, cos = self.bits[dim], self.cosines(ids, q)
+        if not b:
+            return depth_for(cos), [[0]] * len(q)
+        z = unit(q) @ planes(dim, b)[0]
+        home = (z > 0) @ (1 << np.arange(b - 1, -1, -1))
+        c = np.clip(cos, 0, 0.999)[:, None]
+        same = 0.5 * (1 + _erf(c * np.abs(z) / np.sqrt(1 - c * c) / math.sqrt(2)))
+        return depth_for(cos), [[int(h) ^ m for m in likeliest(s, ROUTE)] for h, s in zip(home, same, strict=True)]
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, column: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id and score (inner product, double) of the k nearest rows of ``vectors`` to each of ``queries`` (vec_id, column).
 
     A query is not its own neighbour; ties go to the smaller vec_id. Rows whose vector or id is null, or whose vector is
-    empty, zero or has null or non-finite components, take no part; vectors meet those of their own dimension only.
+    empty, zero or has null or non-finite components, take no part; vectors meet those of their own dimension only. Of rows
+    with one vec_id the vector that sorts first takes part. Very long vectors are rows like others; an empty table gives none.
     """
     v = F.col(column).cast("array<double>")
     fine = F.col("vec_id").isNotNull() & v.isNotNull() & F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))) & F.exists(v, lambda c: c != 0)
-    clean = lambda df: df.where(fine).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"), F.size(v).alias("dim"))
-    index, asked = clean(vectors), clean(queries)
-    shards, blocks = max(1, math.ceil(index.count() / SHARD)), max(1, math.ceil(asked.count() / QUERIES))
-    deal = lambda df, n, name, other, m: df.withColumn(name, F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
-    left = deal(index, shards, "shard", "block", blocks).groupBy("dim", "shard", "block")
-    right = deal(asked, blocks, "block", "shard", shards).groupBy("dim", "shard", "block")
-    found = left.cogroup(right).applyInArrow(lambda a, b: _search_shard(a, b, k), "query_id long, vec_id long, score double")
+    one = lambda df: df.where(fine).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
+    # Of equal vectors the k + 1 least ids can matter, one of them perhaps the query's own.
+    same = F.row_number().over(Window.partitionBy("dim", "v").orderBy("vec_id"))
+    index, asked = one(vectors).withColumn("__r", same).where(F.col("__r") <= k + 1).drop("__r"), one(queries)
+    router = Router(index, k)
+    shared = index.sparkSession.sparkContext.broadcast(router)
+
+    def dealt(batches, visits: bool):
+        for b in batches:
+            dims = b.column("dim").to_numpy()
+            for dim in np.unique(dims):
+                if dim not in shared.value.rows:
+                    continue
+                t = b.take(pa.array(np.flatnonzero(dims == dim)))
+                x = _matrix(t.column("v"))
+                if visits:
+                    depth, shards = shared.value.visits(t.column("vec_id").to_numpy(), x)
+                    count = [len(s) for s in shards]
+                    t = t.take(pa.array(np.repeat(np.arange(len(shards)), count)))
+                    added = [pa.array(np.concatenate(shards), pa.int64()), pa.array(np.repeat(depth, count), pa.int32())]
+                else:
+                    added = [pa.array(shared.value.shards(x), pa.int64())]
+                yield pa.RecordBatch.from_arrays([*t.columns, *added], [*t.schema.names, "shard", *(["depth"] if visits else [])])
+
+    columns = "vec_id long, v array<double>, dim int, shard long"
+    left = index.mapInArrow(tidy(lambda b: dealt(b, False)), columns)
+    right = asked.mapInArrow(tidy(lambda b: dealt(b, True)), f"{columns}, depth int")
+    # Shards with too many vectors or queries are parted by id: each part of the one meets each of the other.
+    parts = lambda df, most, name: df.groupBy("dim", "shard").agg(F.ceil(F.count("*") / most).alias(name))
+    plan = parts(left, 2 * SHARD, "xs").join(parts(right, QUERIES, "qs"), ["dim", "shard"])
+    deal = lambda df, own, other, n, m: df.join(plan, ["dim", "shard"]).withColumn(own, F.pmod(F.xxhash64("vec_id"), F.col(n))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(m) - 1))).drop("xs", "qs")
+    keys = ["dim", "shard", "x", "q"]
+    pairs = deal(left, "x", "q", "xs", "qs").groupBy(*keys).cogroup(deal(right, "q", "x", "qs", "xs").groupBy(*keys))
+    found = pairs.applyInArrow(lambda a, b: _search_shard(a, b, k, shared.value.top), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
