@@ -29,7 +29,10 @@ def test_hard_rows(docs, rows, none):
     place = {}
     for k, members in by.items():
         for r in members:
-            place.setdefault(r["text_crc32"], set()).add(k)
+            place.setdefault((r["text_crc32"], r["size"]), []).append(k)
+    total = sum(size * len(where) for (_, size), where in place.items())
+    assert all(len(set(where)) == 1 for (_, size), where in place.items() if size * len(where) * 5 <= 0.01 * total)
+    assert any(len(where) > 1 for (_, size), where in place.items() if size * len(where) * 5 <= 0.01 * total)
     assert sharding.summary(none, 5).count() == 0
 
 

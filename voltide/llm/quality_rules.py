@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from .graph import written
 from .textkernel import RollingHash, chunks, map_batches, utf8, windows, words
 
-#: Labelled rows that are learnt from at most, conditions of a rule, rules, and the precision that a rule must show on rows set aside.
-SAMPLE_ROWS, MOST_CONDITIONS, MOST_RULES, PRECISION = 20_000, 3, 24, 0.9
+#: Labelled rows that are learnt from at most, conditions of a rule, and the precision that a rule must show on rows set aside.
+SAMPLE_ROWS, MOST_CONDITIONS, PRECISION = 20_000, 3, 0.9
 
 STATISTICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_digits", "n_bangs"]
 #: Ratios that conditions are about, as SQL over the statistics.
@@ -124,7 +124,7 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, precision: float = PRECISIO
     grow = np.random.default_rng(11).permutation(n) % 3 != 0
     left = np.ones(n, bool)
     rules: list[list[Condition]] = []
-    while (left & grow & bad).any() and len(rules) < MOST_RULES:
+    while (left & grow & bad).any():  # a rule takes three rows at least
         pool = left & grow
         steps = {k: np.unique(np.quantile(v[pool & bad], np.linspace(0, 1, 33))) for k, v in x.items()}
         rule: list[Condition] = []
