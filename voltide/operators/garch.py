@@ -144,7 +144,7 @@ def forecasts(r: np.ndarray, window: int, step: int, kind: str, student: bool, h
     return out
 
 
-def garch(bars: DataFrame, kind: str = "garch", window: int = 1260, step: int = 2, horizon: int = 2, blocks: int = 4, ret: str = "ret") -> DataFrame:
+def garch(bars: DataFrame, kind: str = "garch", window: int = 1260, step: int = 2, horizon: int = 2, blocks: int = 2, ret: str = "ret") -> DataFrame:
     """(ticker, dt, <kind>): walk-forward forecasts of one of KINDS, null between steps and before the first window.
 
     ``horizon`` is that of the annualisation (the reference's default is 2). Each instrument's rows are dealt to ``blocks`` tasks,
@@ -152,7 +152,9 @@ def garch(bars: DataFrame, kind: str = "garch", window: int = 1260, step: int =
     """
     model, student = KINDS[kind]
     days = bars.select("ticker", "dt", F.col(ret).alias("r")).groupBy("ticker").agg(F.sort_array(F.collect_list(F.struct("dt", "r"))).alias("s"))
-    dealt = days.select("ticker", "s", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")).repartition("ticker", "block")
+    dealt = days.select("ticker", "s", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    # In turn, not by hash, and to a stated number of tasks: a few rows stand for much work, which sizes in bytes do not show.
+    dealt = dealt.repartition(int(bars.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches):
         for b in batches:
