@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from voltide.functions import tails
 from voltide.functions import volatility as vol
-from voltide.operators import backtest, densities, evaluation, features, forecasts, garch, portfolio, risk
+from voltide.operators import backtest, densities, evaluation, features, forecasts, garch, portfolio, risk, trees
 from voltide.plans.queries import QUERIES
 from voltide.sources.bars import lineitem_bars, with_returns
 
@@ -353,3 +353,59 @@ def test_wins_ties_and_wide_rows(spark):
     assert {r["model"]: r["wins"] for r in portfolio.wins(m, ["b", "a"]).collect()} == {"b": 2}
     assert [tuple(r) for r in portfolio.one_row_each(m, ["a", "b"]).collect()] == [("x", 1.0, 3.0, 1.0, 2.0)]
     assert [r["ticker"] for r in portfolio.smallest(m.withColumn("mae", F.col("mae").cast("string")), "none", 2, "mae").collect()] == ["x", "x"]
+
+
+def plain_tree(x, slope, depth):
+    """Row by row: the leaf that a tree grown on all thresholds gives each row and a function for new rows."""
+    score = lambda rows: slope[rows].sum() ** 2 / (len(rows) + 1)
+
+    def grow(rows, left):
+        best, found = 1e-6, None
+        for j in range(x.shape[1] if left else 0):
+            for cut in np.unique(x[rows, j])[1:]:
+                a, b = rows[x[rows, j] < cut], rows[x[rows, j] >= cut]
+                gain = score(a) + score(b) - score(rows)
+                if gain > best + 1e-12:
+                    best, found = gain, (j, cut, a, b)
+        if found is None:
+            value = -0.1 * slope[rows].sum() / (len(rows) + 1)
+            return lambda v: value
+        j, cut, a, b = found
+        low, high = grow(a, left - 1), grow(b, left - 1)
+        return lambda v: low(v) if v[j] < cut else high(v)
+
+    return grow(np.arange(len(x)), depth)
+
+
+def plain_boosting(x, y, ask, rounds, depth):
+    fitted, value = np.full(len(y), y.mean()), y.mean()
+    for _ in range(rounds):
+        tree = plain_tree(x, fitted - y, depth)
+        fitted, value = fitted + np.array([tree(v) for v in x]), value + tree(ask)
+    return value
+
+
+def test_boosted_trees_against_plain_trees(spark):
+    r = np.random.default_rng(4)
+    x = r.integers(0, 12, (60, 3)).astype(float)
+    y = np.where(x[:, 0] > 5, 2.0, 0.5) + 0.3 * x[:, 1] * (x[:, 2] > 3) + 0.05 * r.standard_normal(60)
+    for ask in (x[7], np.array([-1.0, 20.0, 4.5]), np.array([6.0, 0.0, 3.0])):
+        assert trees.predict(x, y, ask, trees=12, depth=3) == pytest.approx(plain_boosting(x, y, ask, 12, 3), rel=1e-9)
+    assert trees.predict(np.zeros((10, 2)), np.full(10, 0.3), np.zeros(2)) == pytest.approx(0.3)
+    assert len(trees.cuts(r.standard_normal(1000), 64)) == 63
+
+    day = dt.date(2020, 1, 1)
+    rows = [(t, day + dt.timedelta(k), *map(float, x[k]), float(y[k])) for t in ("a", "b") for k in range(60)]
+    rows[25] = (*rows[25][:2], None, *rows[25][3:])  # incomplete: no forecast of its own, and no row of training
+    rows[30] = (*rows[30][:5], None)
+    df = spark.createDataFrame(rows, "ticker string, dt date, f1 double, f2 double, f3 double, target double")
+    made = trees.boosted_trees(df, ["f1", "f2", "f3"], "target", window=20, step=5, least=15, blocks=3, trees=5, depth=2)
+    got = {t: [v["boosted_trees"] for v in made.where(F.col("ticker") == t).orderBy("dt").collect()] for t in "ab"}
+    for t in "ab":
+        last = None
+        for k in range(60):
+            if k >= 20 and k % 5 == 0 and (t, k) != ("a", 25):
+                use = [i for i in range(k - 20, k) if not (t == "a" and i in (25, 30))]
+                last = max(1e-8, trees.predict(x[use], y[use], x[k], trees=5, depth=2))
+            assert got[t][k] == (None if last is None else pytest.approx(last, rel=1e-9))
+    assert set(column(trees.boosted_trees(df, ["f1", "f2", "f3"], "target", window=20, step=5, least=50), "boosted_trees")) == {None}

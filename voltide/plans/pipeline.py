@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.frames import by_day, forward_fill
 from ..functions.volatility import annualized, forward_realized, realized
-from ..operators import evaluation, features, forecasts, garch
+from ..operators import evaluation, features, forecasts, garch, trees
 
 MODELS = ["naive", "roll_mean", "har_rv", "ewma"]
 #: Rows of training that the regression models need.
@@ -35,6 +35,11 @@ def _ridge(df: DataFrame, s: Setting, tuned: bool = False) -> DataFrame:
     return (forecasts.ridge_tuned if tuned else forecasts.ridge)(built, names, "realized", s.window, s.step)
 
 
+def _boosted(df: DataFrame, s: Setting) -> DataFrame:
+    built, names = features.build(df)
+    return trees.boosted_trees(built, names, "realized", s.window, s.step)
+
+
 #: Each model adds a column of its name to bars with ``realized`` and ``rv``.
 REGISTRY: dict[str, Callable[[DataFrame, Setting], DataFrame]] = {
     "naive": lambda df, s: df.withColumn("naive", forecasts.naive("rv", s.horizon)),
@@ -44,6 +49,7 @@ REGISTRY: dict[str, Callable[[DataFrame, Setting], DataFrame]] = {
     "gas": _joined(lambda df, s: forecasts.gas(df)),
     "ridge": _joined(_ridge),
     "ridge_tuned": _joined(lambda df, s: _ridge(df, s, tuned=True)),
+    "boosted_trees": _joined(_boosted),
     **{k: _joined(lambda df, s, k=k: garch.garch(df, k, s.window, s.step)) for k in garch.KINDS},
 }
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import volatility as vol
 from ..functions.frames import significant
-from ..operators import backtest, densities, evaluation, features, forecasts, garch, portfolio, risk
+from ..operators import backtest, densities, evaluation, features, forecasts, garch, portfolio, risk, trees
 from ..session import shared_folder
 from ..sources import tables
 from ..sources.bars import lineitem_bars, long_enough, segment_bars, ticker_list, tickers, with_returns
@@ -433,6 +433,7 @@ def _featured(s, d):
 
 _add("e05_e09_garch", _garch)
 _add("e11_ridge_tuned", lambda s, d: forecasts.ridge_tuned(*_featured(s, d), "target"))
+_add("e13_boosted_trees", lambda s, d: trees.boosted_trees(*_featured(s, d), "target"))
 _add("e15_stacking", lambda s, d: forecasts.stacking(_evaluated(s, d), _EM))
 _add("g02_density_fits", lambda s, d: densities.fit(risk.standardized(_evaluated(s, d), "ewma"), "studentt").unionByName(densities.fit(risk.standardized(_evaluated(s, d), "ewma"), "skewt")))
 _add("g06_density_pipeline", lambda s, d: densities.density_forecasts(_evaluated(s, d), "ewma"))
