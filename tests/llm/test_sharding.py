@@ -46,3 +46,23 @@ def test_a_large_group_of_equal_texts_spreads(spark):
 def test_reruns_agree(docs):
     get = lambda n: sorted(map(str, sharding.summary(docs.repartition(n), 4).collect()))
     assert get(2) == get(7)
+
+
+def test_small_groups_stay_together_over_the_ends_of_partitions(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "TOGETHER", 1.0)  # groups of 100 rows are small then, and most go over an end
+    rows = [(k, f"text {k % 30}") for k in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    names, seen = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled"), []
+    before = [spark.conf.get(n) for n in names]
+    try:
+        spark.conf.set(names[1], "false")  # which would make one partition of so few rows
+        for n in ("1", "40"):
+            spark.conf.set(names[0], n)
+            out = sharding.summary(df, 7).collect()
+            check(out, rows, 7)
+            seen.append(sorted((r["doc_id"], r["shard"], r["slot"]) for r in out))
+    finally:
+        for n, v in zip(names, before, strict=True):
+            spark.conf.set(n, v)
+    assert seen[0] == seen[1]
+    assert len({(k % 30, shard) for k, shard, _ in seen[0]}) == 30

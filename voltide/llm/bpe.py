@@ -248,7 +248,11 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
 
 def digest(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row of docs(doc_id, text); null texts are empty."""
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row of docs(doc_id, text, ...).
+
+    Null texts are empty: no tokens, and the digests of nothing. Repeated rows, null ids and very long texts are rows like
+    others; other columns are left out; without rows there are none.
+    """
     return _coded(docs, path, True)
 
 

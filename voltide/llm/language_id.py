@@ -188,6 +188,11 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred and score of each document, with a model learnt from the others."""
+    """doc_id, held_out, lang_pred and score of each row of docs(doc_id, text, lang, ...), with a model learnt from those not held out.
+
+    Null texts and texts without a letter are "und" with score 0, as are all if there is nothing to learn from; rows with a
+    null lang are only predicted; repeated rows are predicted each, and learnt from each; null ids count as held out; ties go to the language that sorts first. Very long texts are read whole;
+    without rows there are none.
+    """
     model = train(docs)
     return predict(docs.select("doc_id", held_out().alias("held_out"), "text"), model).select("doc_id", "held_out", "lang_pred", "score")

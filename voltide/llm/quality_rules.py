@@ -187,7 +187,12 @@ def train(docs: DataFrame, labels: DataFrame) -> list[list[Condition]]:
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Statistics, base_failed and kept of each document."""
+    """Statistics, base_failed and kept of each row of docs(doc_id, text, ...), with rules learnt from labels(doc_id, quality, ...).
+
+    Null and empty texts have no words and fail the base; repeated rows are judged each; null ids have no label; of
+    several labels of an id the least counts; other columns are left out. Very long texts are read whole. Ties between conditions go to the one found first. Without
+    labels the list is empty and the base alone decides; without rows there are none.
+    """
     rules = train(docs, labels)
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     out = statistics(docs).withColumn("base_failed", base)

@@ -150,4 +150,10 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out, score and predicted of each row of docs(doc_id, text, ...), learnt from labels(doc_id, toxic, ...).
+
+    Null and empty texts score as the model's bias; a null id is not held out and has no label; repeated rows are scored
+    each; of several labels of an id the greatest counts; other columns are left out. Very long texts are read whole. Without
+    rows there are none; without labels every score is that of an empty model.
+    """
     return score(docs, train(docs, labels)).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
