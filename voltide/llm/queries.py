@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann_forest, bpe, chat_format, jaccard_join, language_id, mixing, quality_rules, sharding, suffix_dedup, toxicity
+from . import ann_forest, bpe, chat_format, collocations, jaccard_join, language_id, mixing, quality_rules, sharding, suffix_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,9 +55,13 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), width=5, threshold=0.8).drop("th")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing_sources": mixing.SUMMARY_SQL}
+    return {"op3_mixing_sources": mixing.SUMMARY_SQL, "op11_collocations": collocations.SQL}
