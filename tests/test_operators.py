@@ -183,7 +183,7 @@ def test_sizing_golden_row(spark):
 def test_leverage_is_applied_a_row_later(spark):
     df = series(spark, [0.01, 0.02, -0.01]).withColumn("v", F.lit(0.2))
     path = backtest.volatility_target(df, "v")
-    assert column(path, "net") == [None, pytest.approx(0.01), pytest.approx(-0.005)]
+    assert column(path, "net") == [pytest.approx(0.01), pytest.approx(-0.005)]
     assert backtest.summary(path).first()["realized_vol"] is None
 
 
@@ -327,15 +327,15 @@ def test_histogram_has_empty_bins(spark):
 
 def test_weights():
     cov = np.array([[0.04, 0.01, 0.0], [0.01, 0.09, 0.02], [0.0, 0.02, 0.16]])
-    w = portfolio.minimum_variance(cov)
+    w = portfolio.minimum_variance(cov[None])[0]
     assert math.isclose(w.sum(), 1) and all(v @ cov @ v >= w @ cov @ w - 1e-9 for v in np.random.default_rng(1).dirichlet(np.ones(3), 500))
-    p = portfolio.risk_parity(np.diag([1.0, 4.0]))
+    p = portfolio.risk_parity(np.diag([1.0, 4.0])[None])[0]
     q = np.full(2, 0.5)
     for _ in range(50):
         m = np.diag([1.0, 4.0]) @ q / math.sqrt(q @ np.diag([1.0, 4.0]) @ q)
         q = (1 / m) / (1 / m).sum()
     assert np.allclose(p, q)
-    s = portfolio.volatility_target(cov / 252, 0.1)
+    s = portfolio.volatility_target(cov[None] / 252, 0.1)[0]
     assert math.isclose(math.sqrt(s @ cov @ s), 0.1, rel_tol=1e-2) or (s == 1).any()
 
 

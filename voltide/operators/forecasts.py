@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.frames import by_day, forward_fill, full
 from ..functions.volatility import TRADING_DAYS
+from .recurrences import recurrence
 
 
 def naive(v: str, horizon: int = 1) -> Column:
@@ -49,44 +50,18 @@ def har(bars: DataFrame, window: int = 252, least: int = 50, ret: str = "ret", s
     return df.withColumn("har_rv", forward_fill(value)).drop(*(c for c in df.columns if c.startswith("__")))
 
 
-def _per_series(bars: DataFrame, name: str, f: Callable[[np.ndarray], np.ndarray], ret: str = "ret") -> DataFrame:
-    """(ticker, dt, name) with f applied to the returns of each instrument in order; a series is some thousand rows at most."""
-    schema = bars.select("ticker", "dt").withColumn(name, F.lit(None).cast("double")).schema
-
-    def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by("dt")
-        value = f(t.column("r").to_numpy(zero_copy_only=False).astype(np.float64))
-        return t.select(["ticker", "dt"]).append_column(name, pa.array(value, pa.float64(), from_pandas=True))
-
-    return bars.select("ticker", "dt", F.col(ret).alias("r")).groupBy("ticker").applyInArrow(run, schema)
-
-
-def ewma(bars: DataFrame, decay: float = 0.94, burn_in: int = 20) -> DataFrame:
+def ewma(bars: DataFrame, decay: float = 0.94, burn_in: int = 20, ret: str = "ret") -> DataFrame:
     """(ticker, dt, ewma): exponentially weighted volatility, annualised; null before the burn-in ends."""
+    r = F.col(ret)
+    v = recurrence(bars.select("ticker", "dt", ret), ["ticker"], (1 - decay) * r * r, decay, burn_in, F.var_samp(r))
+    return v.select("ticker", "dt", F.sqrt(F.col("value") * TRADING_DAYS).alias("ewma"))
 
-    def run(r: np.ndarray) -> np.ndarray:
-        v = np.full(len(r), np.nan)
-        if len(r) >= burn_in:
-            v[burn_in - 1] = r[:burn_in].var(ddof=1)
-            for t in range(burn_in, len(r)):
-                v[t] = decay * v[t - 1] + (1 - decay) * r[t - 1] ** 2
-        return np.sqrt(v * TRADING_DAYS)
-
-    return _per_series(bars, "ewma", run)
-
-
-def gas(bars: DataFrame, window: int = 252, omega: float = 0.01, alpha: float = 0.08, beta: float = 0.90) -> DataFrame:
-    """(ticker, dt, gas): score-driven variance with fixed parameters, annualised."""
-
-    def run(r: np.ndarray) -> np.ndarray:
-        f = np.full(len(r), np.nan)
-        if len(r) >= window:
-            f[window - 1] = np.mean(r[:window] ** 2)
-            for t in range(window, len(r)):
-                f[t] = max(omega + alpha * (r[t - 1] ** 2 - f[t - 1]) + beta * f[t - 1], 1e-12)
-        return np.sqrt(f * TRADING_DAYS)
 
-    return _per_series(bars, "gas", run)
+def gas(bars: DataFrame, window: int = 252, omega: float = 0.01, alpha: float = 0.08, beta: float = 0.90, ret: str = "ret") -> DataFrame:
+    """(ticker, dt, gas): score-driven variance with fixed parameters, beta >= alpha, annualised; never under 1e-12."""
+    r = F.col(ret)
+    v = recurrence(bars.select("ticker", "dt", ret), ["ticker"], omega + alpha * r * r, beta - alpha, window, F.avg(r * r), 1e-12)
+    return v.select("ticker", "dt", F.sqrt(F.col("value") * TRADING_DAYS).alias("gas"))
 
 
 def ridge(data: DataFrame, features: list[str], target: str, window: int = 1260, step: int = 2, alpha: float = 1.0, least: int = 200) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -298,10 +299,10 @@ def _path(s, d):
 
 _PATH = f"""{_FRAME}, p0 AS (SELECT ticker, dt, ret, greatest(coalesce(ewma, first_value(ewma IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY dt ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 1e-8::DOUBLE) AS vf FROM frame),
 p1 AS (SELECT *, greatest(least(0.10::DOUBLE / vf, 3.0::DOUBLE), 0.0::DOUBLE) AS leverage FROM p0), p2 AS (SELECT *, lag(leverage) OVER (PARTITION BY ticker ORDER BY dt) AS ll FROM p1),
-p3 AS (SELECT *, ll * ret AS scaled, coalesce(abs(ll - lag(ll) OVER (PARTITION BY ticker ORDER BY dt)), 0.0::DOUBLE) AS turnover FROM p2), p4 AS (SELECT *, scaled - (turnover * 5 / 1e4::DOUBLE + coalesce(abs(scaled), 0) * 2 / 1e4::DOUBLE) AS net FROM p3),
-p5 AS (SELECT *, product(1 + coalesce(net, 0.0::DOUBLE)) OVER w AS cum, abs(leverage - ll) AS t FROM p4 WINDOW w AS (PARTITION BY ticker ORDER BY dt ROWS UNBOUNDED PRECEDING)),
+p3 AS (SELECT *, ll * ret AS scaled, coalesce(abs(ll - lag(ll) OVER (PARTITION BY ticker ORDER BY dt)), 0.0::DOUBLE) AS turnover FROM p2), p4 AS (SELECT *, scaled - (turnover * 5 / 1e4::DOUBLE + abs(scaled) * 2 / 1e4::DOUBLE) AS net FROM p3 WHERE scaled IS NOT NULL),
+p5 AS (SELECT *, product(1 + net) OVER w AS cum, abs(leverage - lag(leverage) OVER w) AS t, sqrt({_full('avg', 'scaled * scaled', -21, 0)}) * sqrt(252.0::DOUBLE) AS realized_vol_ann FROM p4 WINDOW w AS (PARTITION BY ticker ORDER BY dt ROWS UNBOUNDED PRECEDING)),
 path AS (SELECT *, cum / max(cum) OVER (PARTITION BY ticker ORDER BY dt ROWS UNBOUNDED PRECEDING) - 1 AS drawdown FROM p5)"""
-_PC = ["leverage", "scaled", "turnover", "net", "cum", "drawdown"]
+_PC = ["leverage", "scaled", "turnover", "net", "cum", "drawdown", "realized_vol_ann"]
 _add("h01_vol_target", lambda s, d: _rounded(_path(s, d).select(*_KEY, *_PC), _KEY, 6), f"{_PATH} SELECT ticker, dt, {', '.join(_sig(c, c, 6) for c in _PC)} FROM path")
 _add(
     "h02_h04_summary",
@@ -310,12 +311,13 @@ _add(
 SELECT ticker, {_sig('m / (s + 1e-12::DOUBLE) * sqrt(252.0::DOUBLE)', 'sharpe', 6)}, {_sig('dd', 'max_dd', 6)}, {_sig('m * 252', 'mean_ret', 6)}, {_sig('t', 'turnover', 6)}, {_sig('s * sqrt(252.0::DOUBLE)', 'realized_vol', 6)}, {_sig('m * 252 - s * s * 252', 'utility', 6)}, {_sig('abs(s * sqrt(252.0::DOUBLE) - 0.10::DOUBLE)', 'vol_error', 6)} FROM a""",
 )
 _CV = ["dt", "asset_i", "asset_j"]
+_PAIRS = f"""{_SEGMENTS}, days AS (SELECT DISTINCT dt FROM bars), names AS (SELECT DISTINCT ticker FROM bars), panel AS (SELECT dt, ticker, coalesce(ret, 0) AS ret, dense_rank() OVER (ORDER BY dt) AS n FROM days CROSS JOIN names LEFT JOIN bars USING (dt, ticker)),
+pp AS (SELECT a.dt, a.n, a.ticker AS i, b.ticker AS j, a.ret AS x, b.ret AS y FROM panel a JOIN panel b ON a.dt = b.dt AND a.ticker <= b.ticker)"""
+_ROLLING = f"""{_PAIRS}, g AS (SELECT dt, i AS asset_i, j AS asset_j, count(*) OVER w AS n, covar_samp(x, y) OVER w AS cov, stddev_samp(x) OVER w AS sx, stddev_samp(y) OVER w AS sy FROM pp WINDOW w AS (PARTITION BY i, j ORDER BY dt ROWS BETWEEN 63 PRECEDING AND 1 PRECEDING)), ok AS (SELECT * FROM g WHERE n = 63)"""
 _add(
     "i01_i02_covariance",
     lambda s, d: _rounded(portfolio.shrunk(portfolio.rolling_covariance(with_returns(segment_bars(s, d)))), _CV, 6),
-    f"""{_SEGMENTS}, p AS (SELECT a.dt, a.ticker AS asset_i, b.ticker AS asset_j, a.ret AS x, b.ret AS y FROM bars a JOIN bars b ON a.dt = b.dt AND a.ticker <= b.ticker),
-g AS (SELECT dt, asset_i, asset_j, count(*) OVER w AS n, covar_samp(x, y) OVER w AS cov, stddev_samp(x) OVER w AS sx, stddev_samp(y) OVER w AS sy FROM p WINDOW w AS (PARTITION BY asset_i, asset_j ORDER BY dt ROWS BETWEEN 63 PRECEDING AND 1 PRECEDING))
-SELECT dt, asset_i, asset_j, {_sig('CASE WHEN asset_i = asset_j THEN cov ELSE cov * (1 - 0.1::DOUBLE) END', 'cov', 6)}, {_sig('cov / (sx * sy)', 'corr', 6)} FROM g WHERE n = 63""",
+    f"{_ROLLING} SELECT dt, asset_i, asset_j, {_sig('CASE WHEN asset_i = asset_j THEN cov ELSE cov * (1 - 0.1::DOUBLE) END', 'cov', 6)}, {_sig('cov / (CASE WHEN sx <= 1e-10 THEN 1 ELSE sx END * CASE WHEN sy <= 1e-10 THEN 1 ELSE sy END)', 'corr', 6)} FROM ok",
 )
 _PS = ["forecast_vol", "close", "exposure", "multiplier"]
 _POS = f"{_FRAME}, one AS (SELECT * FROM frame WHERE ewma IS NOT NULL QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY dt DESC) = 1), pos AS (SELECT ticker, dt AS signal_date, dt + 1 AS trade_date, ewma AS forecast_vol, close, round_even(least(1.0::DOUBLE, 0.10::DOUBLE / greatest(ewma, 0.05::DOUBLE)) * 10000000 / close, 0) AS sh FROM one)"
@@ -363,9 +365,7 @@ _add(
 _add(
     "i05_latest_covariance",
     lambda s, d: _rounded(portfolio.latest(with_returns(segment_bars(s, d))).select(*_CV, "cov"), _CV, 6),
-    f"""{_SEGMENTS}, p AS (SELECT a.dt, a.ticker AS asset_i, b.ticker AS asset_j, a.ret AS x, b.ret AS y FROM bars a JOIN bars b ON a.dt = b.dt AND a.ticker <= b.ticker),
-g AS (SELECT dt, asset_i, asset_j, count(*) OVER w AS n, covar_samp(x, y) OVER w AS cov FROM p WINDOW w AS (PARTITION BY asset_i, asset_j ORDER BY dt ROWS BETWEEN 63 PRECEDING AND 1 PRECEDING)), full_ AS (SELECT * FROM g WHERE n = 63)
-SELECT dt, asset_i, asset_j, {_sig('cov', 'cov', 6)} FROM full_ WHERE dt = (SELECT max(dt) FROM full_)""",
+    f"{_ROLLING} SELECT dt, asset_i, asset_j, {_sig('cov', 'cov', 6)} FROM ok WHERE dt = (SELECT max(dt) FROM ok)",
 )
 
 
@@ -459,8 +459,6 @@ def _returns(s, d):
     return with_returns(segment_bars(s, d))
 
 
-_PAIRS = f"""{_SEGMENTS}, days AS (SELECT DISTINCT dt FROM bars), names AS (SELECT DISTINCT ticker FROM bars), panel AS (SELECT dt, ticker, coalesce(ret, 0) AS ret, dense_rank() OVER (ORDER BY dt) AS n FROM days CROSS JOIN names LEFT JOIN bars USING (dt, ticker)),
-pp AS (SELECT a.dt, a.n, a.ticker AS i, b.ticker AS j, a.ret AS x, b.ret AS y FROM panel a JOIN panel b ON a.dt = b.dt AND a.ticker <= b.ticker)"""
 _EWMA_COV = f"""{_PAIRS}, q AS (WITH RECURSIVE q AS (SELECT i, j, 20::BIGINT AS n, covar_samp(x, y) AS c FROM pp WHERE n <= 20 GROUP BY i, j UNION ALL SELECT q.i, q.j, q.n + 1, 0.94::DOUBLE * q.c + 0.06::DOUBLE * pp.x * pp.y FROM q JOIN pp ON pp.i = q.i AND pp.j = q.j AND pp.n = q.n) SELECT * FROM q),
 ec AS (SELECT pp.dt, pp.i AS asset_i, pp.j AS asset_j, q.c AS cov, CASE WHEN pp.i = pp.j THEN sqrt(q.c * 252) END AS vol FROM pp JOIN q ON pp.i = q.i AND pp.j = q.j AND q.n = pp.n AND q.n > 20)"""
 _add("i03_ewma_covariance", lambda s, d: _rounded(portfolio.ewma_covariance(_returns(s, d)), _CV, 6), f"{_EWMA_COV} SELECT dt, asset_i, asset_j, {_sig('cov', 'cov', 6)}, {_sig('vol', 'vol', 6)} FROM ec")
@@ -487,7 +485,8 @@ def _weights(s, d):
 
 
 def _inverse_variance(cov):
-    return (1 / cov.diagonal()) / (1 / cov.diagonal()).sum()
+    precision = 1 / np.diagonal(cov, axis1=1, axis2=2)
+    return precision / precision.sum(1, keepdims=True)
 
 
 _add("i06_i08_weights", _weights)
@@ -496,11 +495,9 @@ _add("i10_minimum_variance_backtest", lambda s, d: portfolio.backtest(_returns(s
 _add(
     "i09_k15_backtest_with_callables",
     lambda s, d: _rounded(portfolio.backtest(_returns(s, d), _inverse_variance, lambda r, w: portfolio.shrunk(portfolio.rolling_covariance(r, w)), 63), ["dt"], 6),
-    f"""{_SEGMENTS}, p AS (SELECT a.dt, a.ticker AS i, b.ticker AS j, a.ret AS x, b.ret AS y FROM bars a JOIN bars b ON a.dt = b.dt AND a.ticker <= b.ticker),
-g AS (SELECT dt, i, j, count(*) OVER w AS n, covar_samp(x, y) OVER w AS cov FROM p WINDOW w AS (PARTITION BY i, j ORDER BY dt ROWS BETWEEN 63 PRECEDING AND 1 PRECEDING)), ok AS (SELECT * FROM g WHERE n = 63),
-days AS (SELECT dt FROM (SELECT dt, count(*) AS k, count(DISTINCT i) AS m FROM ok GROUP BY 1) WHERE k = m * (m + 1) / 2), v AS (SELECT dt, i, (1 / cov) / sum(1 / cov) OVER (PARTITION BY dt) AS w FROM ok JOIN days USING (dt) WHERE i = j),
-f AS (SELECT dt, lead(dt) OVER (ORDER BY dt) AS nx FROM days)
-SELECT f.nx AS dt, {_sig('sum(v.w * coalesce(bars.ret, 0))', 'ret', 6)} FROM v JOIN f USING (dt) LEFT JOIN bars ON bars.dt = f.nx AND bars.ticker = v.i WHERE f.nx IS NOT NULL GROUP BY 1""",
+    f"""{_ROLLING}, v AS (SELECT dt, asset_i AS i, (1 / cov) / sum(1 / cov) OVER (PARTITION BY dt) AS w FROM ok WHERE asset_i = asset_j),
+f AS (SELECT dt, lead(dt) OVER (ORDER BY dt) AS nx FROM (SELECT DISTINCT dt FROM ok))
+SELECT f.nx AS dt, {_sig('sum(v.w * panel.ret)', 'ret', 6)} FROM v JOIN f USING (dt) JOIN panel ON panel.dt = f.nx AND panel.ticker = v.i WHERE f.nx IS NOT NULL GROUP BY 1""",
 )
 
 # --- Streaming ---------------------------------------------------------------------------------------------------------
