@@ -15,6 +15,7 @@ from ..operators import backtest, densities, evaluation, features, forecasts, ga
 from ..session import shared_folder
 from ..sources import tables
 from ..sources.bars import lineitem_bars, long_enough, segment_bars, ticker_list, tickers, with_returns
+from ..streaming import windows
 from ..streaming.bars import closed_days
 from . import experiments, pipeline
 
@@ -507,3 +508,31 @@ _add(
     """WITH e AS (SELECT event_type AS ticker, date_trunc('day', ts) AS day, ts, event_id, value FROM events), m AS (SELECT max(ts) - INTERVAL 1 HOUR AS mark FROM events)
 SELECT ticker, day::DATE AS dt, arg_min(value, ROW(ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, ROW(ts, event_id)) AS close, count(*) AS n FROM e GROUP BY ticker, day HAVING day + INTERVAL 1 DAY <= (SELECT mark FROM m)""",
 )
+_STAMP = "strftime({}, '%Y-%m-%d %H:%M:%S.%f')"
+_MARK = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
+_SERIES = f"""WITH RECURSIVE b AS (SELECT event_type AS ticker, time_bucket(INTERVAL 1 HOUR, ts) AS start, arg_max(value, ROW(ts, event_id)) AS close FROM events GROUP BY 1, 2 HAVING start + INTERVAL 1 HOUR <= {_MARK}),
+c AS (SELECT *, lag(close) OVER w AS before, coalesce(start - lag(start) OVER w > INTERVAL 48 HOUR, true)::INT AS fresh FROM b WINDOW w AS (PARTITION BY ticker ORDER BY start)),
+d AS (SELECT *, sum(fresh) OVER (PARTITION BY ticker ORDER BY start) AS series FROM c),
+e AS (SELECT ticker, series, start, close, close / before - 1 AS ret, row_number() OVER (PARTITION BY ticker, series ORDER BY start) AS n FROM d WHERE fresh = 0 AND before <> 0),
+ew AS (SELECT ticker, series, 20::BIGINT AS n, var_samp(ret) AS v FROM e WHERE n <= 20 GROUP BY 1, 2 HAVING count(*) = 20
+  UNION ALL SELECT ew.ticker, ew.series, ew.n + 1, 0.94::DOUBLE * ew.v + 0.06::DOUBLE * e.ret * e.ret FROM ew JOIN e USING (ticker, series, n)),
+ga AS (SELECT ticker, series, 252::BIGINT AS n, avg(ret * ret) AS v FROM e WHERE n <= 252 GROUP BY 1, 2 HAVING count(*) = 252
+  UNION ALL SELECT ga.ticker, ga.series, ga.n + 1, greatest(0.01::DOUBLE + 0.08::DOUBLE * (e.ret * e.ret - ga.v) + 0.90::DOUBLE * ga.v, 1e-12::DOUBLE) FROM ga JOIN e USING (ticker, series, n))"""
+_add(
+    "s02_streaming_recursive_volatility",
+    lambda s, d: _rounded(windows.recursive(s, d).withColumn("start", windows.written_out("start")), ["ticker", "start"], 7),
+    f"{_SERIES} SELECT e.ticker, {_STAMP.format('e.start')} AS start, {_sig('close', 'close', 7)}, {_sig('ret', 'ret', 7)}, {_sig('sqrt(ew.v * 252)', 'ewma', 7)}, {_sig('sqrt(ga.v * 252)', 'gas', 7)} FROM e LEFT JOIN ew USING (ticker, series, n) LEFT JOIN ga USING (ticker, series, n)",
+)
+_add(
+    "s03_streaming_sessions",
+    lambda s, d: _rounded(windows.through(s, d, windows.sessions).withColumns({c: windows.written_out(c) for c in ("start", "finish")}), ["user_id", "start", "finish", "n", "first_type", "last_type"], 7),
+    f"""WITH a AS (SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 30 MINUTE, true)::INT AS fresh FROM events), b AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM a),
+c AS (SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS finish, count(*) AS n, sum(value) AS value, arg_min(event_type, ROW(ts, event_id)) AS first_type, arg_max(event_type, ROW(ts, event_id)) AS last_type FROM b GROUP BY user_id, island)
+SELECT user_id, {_STAMP.format('start')} AS start, {_STAMP.format('finish')} AS finish, n, {_sig('value', 'value', 7)}, first_type, last_type FROM c WHERE finish <= {_MARK}""",
+)
+_add(
+    "s04_streaming_sliding_windows",
+    lambda s, d: _rounded(windows.through(s, d, windows.sliding).withColumn("start", windows.written_out("start")), ["ticker", "start", "n"], 7),
+    f"""WITH spine AS (SELECT event_type AS ticker, time_bucket(INTERVAL 1 HOUR, ts) - to_hours(k) AS start, value FROM events, (SELECT unnest(range(6)) AS k))
+SELECT ticker, {_STAMP.format('start')} AS start, count(*) AS n, {_sig('sum(value)', 'value', 7)}, {_sig('max(value)', 'most', 7)} FROM spine GROUP BY ticker, spine.start HAVING spine.start + INTERVAL 6 HOUR <= {_MARK}""",
+)
