@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import argparse
+import datetime as dt
 import json
 
 from pyspark.sql import functions as F
 
 from .operators import evaluation, forecasts, portfolio
 from .plans import experiments, pipeline
-from .session import local_session, ship_package
+from .session import local_session, shared_folder, ship_package
 from .sources import tables
 from .sources.bars import lineitem_bars, segment_bars, with_returns
 
@@ -56,7 +57,9 @@ def main(argv: list[str] | None = None, spark=None) -> None:
     wide = pipeline.forecast_frame(bars, a.horizon, a.window, models)
     metrics = evaluation.metrics(forecasts.long_form(wide, models), "ticker", "model")
     if a.command == "daily":
-        found = {"signals": tables.latest(wide.select("dt", "ticker", "close", "ret", *models), "dt"), "metrics": metrics.orderBy("ticker", "mae")}
+        base, today = a.export or shared_folder(spark), dt.date.today().isoformat()
+        tables.save_signals(wide.select("dt", "ticker", "close", "ret", *models), base, today)
+        found = {"latest": tables.latest(tables.newest_signals(spark, base), "dt"), "metrics": metrics.orderBy("ticker", "mae")}
     elif a.command == "cross-sectional":
         found = {"cross_section": portfolio.one_row_each(metrics, models), "by_model": portfolio.by_model(metrics), "wins": portfolio.wins(metrics, models)}
     else:

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ..functions.tails import p_chi2, p_normal
 
@@ -86,6 +91,62 @@ def intervals(wide: DataFrame, model: str, alpha: float = 0.1) -> DataFrame:
     return wide.join(q, "ticker").withColumns({"lower": edge("ql"), "upper": edge("qu")}).drop("ql", "qu")
 
 
+def drawn(parts: list, draws: int) -> Column:
+    """An array of ``draws`` numbers in [0, 1) that hang on nothing but ``parts`` and their place: no generator with a state."""
+    word = lambda j: F.conv(F.substring(F.md5(F.concat_ws("|", *parts, j.cast("string"))), 1, 13), 16, 10)
+    return F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), lambda j: word(j).cast("long") / F.lit(float(1 << 52)))
+
+
+def bootstrap_intervals(wide: DataFrame, model: str, alpha: float = 0.1, draws: int = 500, seed: int = 42) -> DataFrame:
+    """(ticker, dt, lower, upper): quantiles of the forecast plus ``draws`` residuals drawn with replacement, 1e-8 at least.
+
+    A draw is the residual of rank floor(u N), u a hash of instrument, day, seed and place, so reruns agree however rows are
+    dealt. As ranks keep the order of draws, the sorted u give the order statistics: only the four residuals that the two
+    quantiles (linear between neighbours) need are looked up, whatever ``draws`` is. Null forecasts have no interval.
+    """
+    r = F.col("realized") - F.col(model)
+    held = wide.select("ticker", "dt", F.col(model).alias("f"), r.alias("r"))
+    ranked = held.where(finite(F.col("r"))).select("ticker", "r", (F.row_number().over(Window.partitionBy("ticker").orderBy("r")) - 1).cast("long").alias("rank"))
+    sizes = ranked.groupBy("ticker").agg(F.count("*").alias("size"))
+    u = F.array_sort(drawn([F.col("ticker"), F.col("dt").cast("string"), F.lit(str(seed))], draws))
+    picks = []
+    for side, q in (("lower", alpha / 2), ("upper", 1 - alpha / 2)):
+        low = int(q * (draws - 1))
+        share = q * (draws - 1) - low
+        picks += [F.struct(F.lit(side).alias("side"), F.floor(F.element_at("u", k + 1) * F.col("size")).cast("long").alias("rank"), F.lit(w).alias("w")) for k, w in ((low, 1 - share), (min(low + 1, draws - 1), share))]
+    asked = held.where("f IS NOT NULL").join(sizes, "ticker").withColumn("u", u).select("ticker", "dt", "f", F.explode(F.array(*picks)).alias("p")).select("ticker", "dt", "f", "p.*")
+    value = F.sum(F.col("w") * F.greatest(F.col("f") + F.col("r"), F.lit(1e-8)))
+    ends = asked.join(ranked, ["ticker", "rank"]).groupBy("ticker", "dt", "side").agg(value.alias("v"))
+    ends = ends.groupBy("ticker", "dt").agg(*(F.max(F.when(F.col("side") == side, F.col("v"))).alias(side) for side in ("lower", "upper")))
+    return held.select("ticker", "dt").join(ends, ["ticker", "dt"], "left")
+
+
+def user_loss(long: DataFrame, keys: list[str], terms: Callable[[np.ndarray, np.ndarray], dict[str, np.ndarray]], finish: Callable[[dict[str, Column], Column], Column] | None = None) -> DataFrame:
+    """(keys, loss, n): a loss of the user's own, a numpy function of realized values and forecasts.
+
+    ``terms`` gives named arrays, a number a row (not finite: left out); ``finish`` makes the loss of their sums and the count
+    of rows, by default the mean of the one term. Each batch is summed by group where it lies, so a group's rows, however
+    many, meet as a few sums and counts. Keys are strings or numbers. An empty table gives no rows.
+    """
+    probe = list(terms(np.ones(1), np.ones(1)))
+    schema = StructType([*(long.schema[k] for k in keys), *(StructField(f"s_{t}", DoubleType()) for t in probe), StructField("n", LongType())])
+
+    def run(batches):
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            y, f = (t.column(c).to_numpy().astype(float) for c in ("realized", "forecast"))
+            made = terms(y, f)
+            whole = np.logical_and.reduce([np.isfinite(v) for v in made.values()])
+            part = pa.table({k: t.column(k) for k in keys} | {f"s_{k}": np.where(whole, v, 0.0) for k, v in made.items()} | {"n": whole.astype(np.int64)})
+            sums = part.group_by(keys).aggregate([(c, "sum") for c in part.column_names if c not in keys])
+            yield from sums.select([*keys, *(f"s_{k}_sum" for k in probe), "n_sum"]).rename_columns(schema.names).to_batches()
+
+    part = long.select(*keys, F.col("realized").cast("double"), F.col("forecast").cast("double")).mapInArrow(run, schema)
+    total = part.groupBy(*keys).agg(*(F.sum(f"s_{t}").alias(f"s_{t}") for t in probe), F.sum("n").alias("n"))
+    made = finish({t: F.col(f"s_{t}") for t in probe}, F.col("n")) if finish else F.col(f"s_{probe[0]}") / F.col("n")
+    return total.select(*keys, F.when(F.col("n") > 0, made).alias("loss"), "n")
+
+
 def residual_diagnostics(wide: DataFrame, model: str, lags: int = 20) -> DataFrame:
     """(ticker, lag, acf, n): autocorrelations of the residuals."""
     by = Window.partitionBy("ticker").orderBy("dt")

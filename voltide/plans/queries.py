@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import volatility as vol
 from ..functions.frames import significant
-from ..operators import backtest, densities, evaluation, features, forecasts, garch, portfolio, risk, trees
+from ..operators import asof, backtest, densities, evaluation, features, forecasts, garch, portfolio, risk, trees
 from ..session import shared_folder
 from ..sources import tables
 from ..sources.bars import lineitem_bars, long_enough, segment_bars, ticker_list, tickers, with_returns
@@ -261,6 +261,41 @@ def _horizon_sql(h: int) -> str:
 _add("f06_horizons", lambda s, d: _rounded(pipeline.horizons(_bars(s, d)), ["ticker", "model", "horizon", "n"], 6), " UNION ALL ".join(_horizon_sql(h) for h in (1, 5, 21)))
 
 
+def _long_horizons(s, d):
+    out = None
+    for h in (1, 5, 21):
+        one = forecasts.long_form(pipeline.forecast_frame(_bars(s, d), h), pipeline.MODELS).withColumn("horizon", F.lit(h))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _cube_sql() -> str:
+    long = " UNION ALL ".join(f"SELECT * FROM ({_horizon_sql(h).split(' FROM (', 1)[1].split(', m AS (SELECT ticker, model')[0]} SELECT ticker, model, {h} AS horizon, y, f FROM long)" for h in (1, 5, 21))
+    made = f"WITH h AS ({long}), g AS (SELECT ticker, model, horizon, grouping(ticker, model, horizon) AS slice, avg(abs(f - y)) AS mae, count(f) AS n FROM h GROUP BY CUBE (ticker, model, horizon))"
+    return f"{made} SELECT ticker, model, horizon, slice, n, {_sig('mae', 'mae', 7)}, CASE WHEN slice & 2 = 0 THEN rank() OVER (PARTITION BY slice, ticker, horizon ORDER BY mae NULLS LAST) END AS rank FROM g"
+
+
+_add("j12_cube", lambda s, d: _rounded(portfolio.cube(_long_horizons(s, d)), ["ticker", "model", "horizon", "slice", "n", "rank"], 7), _cube_sql())
+_U = "list_sort([('0x' || substr(md5(ticker || '|' || dt || '|42|' || j), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE for j in range(500)])"
+_add(
+    "f12_bootstrap",
+    lambda s, d: _rounded(evaluation.bootstrap_intervals(_evaluated(s, d), "ewma"), _KEY, 7),
+    f"""{_FRAME}, rs AS (SELECT ticker, realized - ewma AS r, row_number() OVER (PARTITION BY ticker ORDER BY realized - ewma) - 1 AS rank FROM frame WHERE ewma IS NOT NULL), sz AS (SELECT ticker, count(*) AS size FROM rs GROUP BY 1),
+us AS (SELECT ticker, dt, ewma AS f, size, {_U} AS u FROM frame JOIN sz USING (ticker) WHERE ewma IS NOT NULL),
+pk AS (SELECT ticker, dt, f, v.side, v.w, floor(u[v.k] * size)::BIGINT AS rank FROM us, (VALUES ('l', 25, 1 - (0.05::DOUBLE * 499 - 24)), ('l', 26, 0.05::DOUBLE * 499 - 24), ('u', 475, 1 - (0.95::DOUBLE * 499 - 474)), ('u', 476, 0.95::DOUBLE * 499 - 474)) AS v(side, k, w)),
+en AS (SELECT ticker, dt, sum(w * greatest(f + r, 1e-8::DOUBLE)) FILTER (WHERE side = 'l') AS lower, sum(w * greatest(f + r, 1e-8::DOUBLE)) FILTER (WHERE side = 'u') AS upper FROM pk JOIN rs USING (ticker, rank) GROUP BY 1, 2)
+SELECT ticker, dt, {_sig('lower', 'lower', 7)}, {_sig('upper', 'upper', 7)} FROM frame LEFT JOIN en USING (ticker, dt)""",
+)
+
+
+def _numpy_losses(y, f):
+    ratio = np.where(y * y >= 1e-12, y * y, np.nan) / np.maximum(f * f, 1e-12)
+    return {"qlike": ratio - np.log(ratio) - 1}
+
+
+_add("f06_user_loss", lambda s, d: _rounded(evaluation.user_loss(_long(s, d), ["ticker", "model"], _numpy_losses), ["ticker", "model", "n"], 6), f"{_LONG}, q AS (SELECT ticker, model, CASE WHEN y * y >= 1e-12 AND f IS NOT NULL THEN y * y / greatest(f * f, 1e-12::DOUBLE) END AS q FROM long) SELECT ticker, model, count(q) AS n, {_sig('avg(q - ln(q) - 1)', 'loss', 6)} FROM q GROUP BY 1, 2")
+
+
 def _hits(s, d, alpha=0.05):
     return risk.normal_var_es(_evaluated(s, d), "ewma", alpha)
 
@@ -371,7 +406,14 @@ _add(
 
 
 # --- Signals, reference lists, wide rows and runs --------------------------------------------------------------------
-_add("a08_latest_signals", lambda s, d: _rounded(tables.latest(_evaluated(s, d).select(*_KEY, "close", *pipeline.MODELS), "dt"), _KEY, 7), f"{_FRAME} SELECT ticker, dt, {', '.join(_sig(c, c, 7) for c in ['close', *pipeline.MODELS])} FROM frame WHERE dt = (SELECT max(dt) FROM frame)")
+def _saved_signals(s, d):
+    """Signals saved by date of run (here the last day of each year), the newest partition read back."""
+    base = f"{shared_folder(s)}/signals-{uuid.uuid4().hex}"
+    tables.save_signals(_evaluated(s, d).select(*_KEY, "close", *pipeline.MODELS), base, F.make_date(F.year("dt"), F.lit(12), F.lit(31)))
+    return tables.latest(tables.newest_signals(s, base), "dt").drop("signal_run_date")
+
+
+_add("a08_latest_signals", lambda s, d: _rounded(_saved_signals(s, d), _KEY, 7), f"{_FRAME} SELECT ticker, dt, {', '.join(_sig(c, c, 7) for c in ['close', *pipeline.MODELS])} FROM frame WHERE dt = (SELECT max(dt) FROM frame)")
 _add("a11_ticker_list", lambda s, d: ticker_list(tickers(s.read.parquet(f"{d}/nation.parquet"), "n_name", 9), 7), "SELECT count(*) AS n, string_agg(symbol, ',' ORDER BY symbol) AS symbols FROM (SELECT DISTINCT trim(n_name) AS symbol FROM nation WHERE length(trim(n_name)) BETWEEN 1 AND 9 AND lower(trim(n_name)) <> 'nan' ORDER BY symbol LIMIT 7)")
 _WIDE = [f"{m}_{x}" for m in pipeline.MODELS for x in ("mae", "qlike")]
 _add(
@@ -402,6 +444,21 @@ j AS (SELECT t.ticker, coalesce(a, 0) AS a, w FROM t LEFT JOIN h USING (ticker))
 SELECT ticker, CASE WHEN w > a THEN 'buy' WHEN w < a THEN 'sell' ELSE 'none' END AS side, abs(w - a) AS qty, CASE WHEN w = a THEN 'no_change' WHEN a = 0 THEN 'open' ELSE 'adjust' END AS action FROM j""")
 
 
+def _asof(s, d):
+    e = s.read.parquet(f"{d}/events.parquet")
+    bought, seen = e.where("event_type = 'purchase'").select("event_id", "user_id", "ts"), e.where("event_type = 'view'").select("user_id", "ts", F.col("event_id").alias("seen_id"), F.col("value").alias("seen_value"))
+    return asof.asof(bought, seen, "user_id", tolerance_seconds=36_000).select("event_id", "matched.seen_id", "matched.seen_value")
+
+
+_add(
+    "k17_asof",
+    _asof,
+    """WITH p AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase'), v AS (SELECT user_id, ts, event_id AS seen_id, value AS seen_value FROM events WHERE event_type = 'view'),
+j AS (SELECT p.event_id, v.seen_id, v.seen_value, p.ts - v.ts <= INTERVAL 10 HOUR AS near FROM p ASOF LEFT JOIN v ON p.user_id = v.user_id AND p.ts >= v.ts)
+SELECT event_id, CASE WHEN near THEN seen_id END AS seen_id, CASE WHEN near THEN seen_value END AS seen_value FROM j""",
+)
+
+
 def _days(s, d):
     bars = segment_bars(s, d)
     of = lambda name: bars.where(F.col("ticker") == name).select("dt")
