@@ -41,6 +41,24 @@ def test_run_on_hard_rows(spark, tmp_path):
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
 
 
+CLASHES = ["score", "lang_pred", "held_out", "kept", "n_bytes", "n_removed", "spans", "n_spans", "size", "source_size", "target", "slope", "start", "goal", "copy", "position", "taken", "before", "th", "class_id", "n_links", "unit", "key", "n_tokens"]
+
+
+def test_stages_carry_clashing_columns_unchanged(spark, tmp_path):
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(hard_rows())], f"{SCHEMA}, mark long")
+    docs = docs.drop("size").withColumns({c: F.concat(F.lit(f"{c}-"), F.col("mark")) for c in CLASHES})
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{k}")
+        out = spark.read.parquet(f"{tmp_path}/{k}")
+        assert out.dtypes == docs.dtypes and out.count() > 0
+        for c in CLASHES:
+            assert out.where(~F.col(c).eqNullSafe(F.concat(F.lit(f"{c}-"), F.col("mark")))).count() == 0, (k, c)
+        was = {r["mark"]: (r["doc_id"], r["lang"], r["source"], r["h"]) for r in docs.collect()}
+        assert all(was[r["mark"]] == (r["doc_id"], r["lang"], r["source"], r["h"]) for r in out.collect())
+        docs = out
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == docs.count()
+
+
 def test_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language ID", "n-gram Jaccard join", "suffix-array dedup", "mixing sources", "BPE encoding"]
 

@@ -2,6 +2,7 @@ import re
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from voltide.llm import quality_rules
 from voltide.llm.queries import op8_quality_rules, table
@@ -52,3 +53,29 @@ def test_covering_finds_a_conjunction():
     for rule in rules:
         found |= quality_rules._holds(x, rule)
     assert (found == bad).mean() > 0.97
+
+
+def test_a_repeated_id_does_not_outgrow_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(quality_rules, "SAMPLE_ROWS", 300)
+    seen = []
+    monkeypatch.setattr(quality_rules, "learn", lambda x, bad: seen.append(len(bad)) or [])
+    text = "concat_ws(' ', transform(sequence(1, CAST(pmod(hash(id), 60) + 5 AS int)), x -> concat('w', CAST(x * id % 97 AS string))))"
+    base = spark.range(1000).selectExpr("id AS doc_id", f"{text} AS text")
+    ids = [r["doc_id"] for r in base.where("pmod(xxhash64(doc_id, 3), 1000000) < 300000").limit(2).collect()]
+    often = spark.range(30_000).selectExpr(f"{ids[0]}L AS doc_id", f"{text} AS text").unionByName(spark.range(30_000).selectExpr(f"{ids[1]}L AS doc_id", "'one text for all of these rows' AS text"))
+    labels = spark.range(1000).selectExpr("id AS doc_id", "CAST(id % 2 AS int) AS quality")
+    quality_rules.train(base, labels)
+    quality_rules.train(base.unionByName(often), labels)
+    assert 200 < seen[0] <= 300 and seen[1] == 300
+
+
+def test_verdict_against_plain_reading(docs):
+    """Rules, read one after another in Python on the ratios of each row."""
+    both = [[("symbol_share", ">=", 0.01)], [("repeat_share", ">=", 0.3), ("dup_line_share", "<=", 0.2)], [("mean_word", "<=", 3.0), ("n_words", ">=", 2.0), ("digit_share", "<=", 0.5)]]
+    table_ = quality_rules.statistics(docs)
+    ratios = table_.select("doc_id", *(F.expr(sql).alias(f"r_{k}") for k, sql in quality_rules.RATIOS.items()), quality_rules.verdict(both).alias("kept")).collect()
+    compare = {"<=": lambda a, b: a <= b, ">=": lambda a, b: a >= b, "<": lambda a, b: a < b, ">": lambda a, b: a > b}
+    for r in ratios:
+        hit = any(all(r[f"r_{n}"] is not None and compare[op](r[f"r_{n}"], v) for n, op, v in rule) for rule in both)
+        assert r["kept"] == (not hit)
+    assert 0 < sum(r["kept"] for r in ratios) < len(ratios)

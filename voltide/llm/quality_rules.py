@@ -174,14 +174,20 @@ def verdict(rules: list[list[Condition]]) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> list[list[Condition]]:
-    """Rules from labels(doc_id, quality), where 0 is low, on at most SAMPLE_ROWS labelled documents, drawn by a hash of the id."""
+    """Rules from labels(doc_id, quality), where 0 is low, on at most SAMPLE_ROWS labelled rows.
+
+    Ids are drawn by their hash, and of the rows of those ids, however many, the SAMPLE_ROWS with the least hashes of id and
+    statistics; rows equal in these count once.
+    """
     known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     share = min(1.0, SAMPLE_ROWS / max(1, known.count()))
     drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < share * 1_000_000)
     drawn = written(drawn)
     ids = F.broadcast(drawn.select("doc_id"))  # about SAMPLE_ROWS short rows, a bound of the draw
     rows = statistics(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")).join(F.broadcast(drawn), "doc_id")
-    t = rows.select("quality", *(F.expr(sql).alias(k) for k, sql in RATIOS.items())).toPandas()
+    own = F.xxhash64(*(c for c in rows.columns if c != "quality")).alias("__own")
+    drawn_rows = rows.select("quality", own, *(F.expr(sql).alias(k) for k, sql in RATIOS.items())).dropDuplicates(["__own"])
+    t = drawn_rows.orderBy("__own").limit(SAMPLE_ROWS).drop("__own").toPandas()
     order = np.lexsort([t[k].to_numpy() for k in t])
     return learn({k: t[k].to_numpy(np.float64)[order] for k in RATIOS}, (t["quality"].to_numpy() == 0)[order])
 

@@ -33,7 +33,7 @@ def _word_hashes(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _bags(sample: DataFrame) -> DataFrame:
-    """(positive, words, twice): the different word hashes of each text of sample(positive, text), and those that occur again."""
+    """(positive, words, twice, own): the different word hashes of each text of sample(positive, text, own), and those that occur again."""
 
     def run(b):
         buf, off = utf8(pc.utf8_lower(b.column(1)))
@@ -44,9 +44,9 @@ def _bags(sample: DataFrame) -> DataFrame:
                 w, n = np.unique(x, return_counts=True)
                 words.append(w.view(np.int64))
                 twice.append(w[n > 1].view(np.int64))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.list_(pa.int64())), pa.array(twice, pa.list_(pa.int64()))], ["positive", "words", "twice"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.list_(pa.int64())), pa.array(twice, pa.list_(pa.int64())), b.column(2)], ["positive", "words", "twice", "own"])
 
-    return map_batches(sample, run, "positive boolean, words array<long>, twice array<long>")
+    return map_batches(sample, run, "positive boolean, words array<long>, twice array<long>, own long")
 
 
 def telling(bags: DataFrame, p: int, u: int) -> np.ndarray:
@@ -102,19 +102,25 @@ def fit(bags: list[np.ndarray], positive: np.ndarray, prior: float, features: in
 def train(docs: DataFrame, labels: DataFrame) -> dict:
     """A model from docs(doc_id, text) and labels(doc_id, toxic) that are not held out.
 
-    Positives are rows labelled 1, the unlabelled are drawn from all texts; both samples are bounded and drawn by a hash of the
-    id. The prior is the share of 1 among the labels (0.1 without any). Without positives every score is low.
+    Positives are rows labelled 1, the unlabelled are drawn from all texts. Rows are drawn by a hash of id and text to about
+    POSITIVES and UNLABELLED; rows equal in both count once, and a quarter more is the most that is kept, by the least hashes,
+    so an id that is repeated any number of times brings no more. The prior is the share of 1 among the labels (0.1 without any). Without positives every score is low.
     """
     known = labels.where(~held_out() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n, p = known.agg(F.count("*"), F.sum((F.col("toxic") == 1).cast("long"))).first()
     prior = min(0.9, max(1e-3, p / n)) if n and p else 0.1
     rows = docs.where(~held_out()).select("doc_id", "text")
-    draw = lambda df, share, seed: df.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) < min(1.0, share) * 1_000_000)
+    own = lambda *c: F.xxhash64(*c)
+    draw = lambda df, share, h: df.where(F.pmod(h, F.lit(1_000_000)) < min(1.0, share) * 1_000_000)
     # Ids are drawn before the texts are read, so that about POSITIVES of them (a bound of the draw) are broadcast and no text is shuffled.
-    ids = draw(known.where("toxic = 1").select("doc_id"), POSITIVES / max(1, p or 0), 1)
-    positive = rows.join(F.broadcast(ids), "doc_id", "left_semi")
-    unlabelled = draw(rows, UNLABELLED / max(1, rows.count()), 2)
-    bags = written(_bags(positive.select(F.lit(True).alias("positive"), "text").unionByName(unlabelled.select(F.lit(False).alias("positive"), "text"))))
+    ids = draw(known.where("toxic = 1").select("doc_id"), POSITIVES / max(1, p or 0), own("doc_id", F.lit(1)))
+    positive = rows.join(F.broadcast(written(ids)), "doc_id", "left_semi")
+    positive = draw(positive, 1.1 * POSITIVES / max(1, positive.count()), own("doc_id", "text", F.lit(3)))
+    unlabelled = draw(rows, UNLABELLED / max(1, rows.count()), own("doc_id", "text", F.lit(2)))
+    sample = [df.select(F.lit(is_positive).alias("positive"), "text", own("doc_id", "text").alias("own")) for df, is_positive in ((positive, True), (unlabelled, False))]
+    found = written(_bags(sample[0].unionByName(sample[1]))).dropDuplicates(["positive", "own"])
+    kept = [found.where(side).orderBy("own").limit(most * 5 // 4) for side, most in (("positive", POSITIVES), ("NOT positive", UNLABELLED))]
+    bags = written(kept[0].unionByName(kept[1]).drop("own"))
     counts = dict(bags.groupBy("positive").count().collect())
     model = {"words": np.zeros(0, np.uint64), "weights": np.zeros(0), "bias": -5.0}
     if len(counts) < 2:
