@@ -81,3 +81,13 @@ def test_late_events_are_dropped(spark, medium, tmp_path):
     closed = closed_days(spark, f"{tmp_path}/in", "*.parquet").agg(F.sum("n")).first()[0]
     days = daily_bars(events)
     assert closed == days.where(F.col("dt") < days.agg(F.max("dt")).first()[0]).agg(F.sum("n")).first()[0]
+
+
+def test_runs_are_compared_by_their_settings(spark, tmp_path):
+    rows = [("a", '{"window": 252, "models": ["x", "y"], "tickers": null}'), ("b", '{"window": 252, "models": ["x"], "tickers": null, "step": 1}')]
+    log = spark.createDataFrame(rows, "run_id string, config string")
+    log.write.parquet(f"{tmp_path}/runs")
+    got = sorted(tuple(r) for r in experiments.differing(spark, str(tmp_path)).select("field", "run_id", "value").collect())
+    assert got == [("models", "a", '["x","y"]'), ("models", "b", '["x"]'), ("step", "b", "1")]
+    spark.createDataFrame([("a", "x", 0.5), ("a", "x", 1.5), ("b", "x", 3.0)], "run_id string, model string, mae double").write.parquet(f"{tmp_path}/metrics")
+    assert sorted(tuple(r) for r in experiments.master(spark, str(tmp_path)).collect()) == [("a", 2, "x", 1.0, 2), ("b", 1, "x", 3.0, 1)]

@@ -31,6 +31,8 @@ def parser() -> argparse.ArgumentParser:
         s.add_argument("--export", default=None, help="folder that results are written to")
         if name == "experiments":
             s.add_argument("--config", default=None, help="JSON file with fields of a run")
+            s.add_argument("--run", default=None, help="only show the leaderboard of this saved run")
+            s.add_argument("--master", action="store_true", help="only show all saved runs and the settings in which they differ")
         if name == "tomorrow-position":
             s.add_argument("--equity", type=float, default=10_000.0)
             s.add_argument("--target", type=float, default=0.10)
@@ -51,6 +53,13 @@ def main(argv: list[str] | None = None, spark=None) -> None:
             with open(a.config, encoding="utf-8") as f:
                 fields |= json.load(f)
         base = a.export or "experiments"
+        if a.master:
+            experiments.master(spark, base).orderBy("run_id", "mae").show(truncate=False)
+            experiments.differing(spark, base).orderBy("field", "run_id").show(truncate=False)
+            return
+        if a.run:
+            experiments.leaderboard(spark, base, a.run).orderBy("mae").show(truncate=False)
+            return
         run_id = experiments.run(bars, experiments.Config(**fields), base)
         experiments.leaderboard(spark, base, run_id).orderBy("mae").show(truncate=False)
         return

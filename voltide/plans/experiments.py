@@ -76,6 +76,26 @@ def leaderboard(spark: SparkSession, base: str, run_id: str | None = None) -> Da
     return portfolio.by_model(tables.load(spark, base, "metrics", run_id))
 
 
+def settings(spark: SparkSession, base: str) -> DataFrame:
+    """(run_id, field, value) of every saved run's configuration, parsed from its JSON; lists are JSON text."""
+    return spark.read.parquet(f"{base}/{tables.RUNS}").select("run_id", F.explode(F.from_json("config", "map<string,string>")).alias("field", "value"))
+
+
+def differing(spark: SparkSession, base: str) -> DataFrame:
+    """The settings in which saved runs differ, or that some of them lack."""
+    every = settings(spark, base)
+    runs = every.agg(F.count_distinct("run_id")).scalar()
+    kinds = every.groupBy("field").agg(F.count_distinct(F.struct("value")).alias("values"), F.count("*").alias("runs"))
+    return every.join(kinds.where((F.col("values") > 1) | (F.col("runs") < runs)).select("field"), "field", "left_semi")
+
+
+def master(spark: SparkSession, base: str) -> DataFrame:
+    """(run_id, models, model, mae, n): mean errors by model of all saved runs, next to how many models each was made with."""
+    asked = settings(spark, base).where("field = 'models'").select("run_id", F.size(F.from_json("value", "array<string>")).alias("models"))
+    mean = spark.read.parquet(f"{base}/metrics").groupBy("run_id", "model").agg(F.round(F.avg("mae"), 6).alias("mae"), F.count("*").alias("n"))
+    return asked.join(mean, "run_id").select("run_id", "models", "model", "mae", "n")
+
+
 def regime_table(by_regime: DataFrame) -> DataFrame:
     """Losses by regime to six decimals."""
     return by_regime.select("ticker", "regime", *(F.round(c, 6).alias(c) for c in ("mae", "rmse", "qlike")))

@@ -359,6 +359,12 @@ _PS = ["forecast_vol", "close", "exposure", "multiplier"]
 _POS = f"{_FRAME}, one AS (SELECT * FROM frame WHERE ewma IS NOT NULL QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY dt DESC) = 1), pos AS (SELECT ticker, dt AS signal_date, dt + 1 AS trade_date, ewma AS forecast_vol, close, round_even(least(1.0::DOUBLE, 0.10::DOUBLE / greatest(ewma, 0.05::DOUBLE)) * 10000000 / close, 0) AS sh FROM one)"
 _add("i11_i12_positions", lambda s, d: _rounded(portfolio.next_positions(_evaluated(s, d), "ewma", 1e7), ["ticker", "signal_date", "trade_date", "shares"]), f"{_POS} SELECT ticker, signal_date, trade_date::DATE AS trade_date, sh::BIGINT AS shares, {_sig('forecast_vol', 'forecast_vol')}, {_sig('close', 'close')}, {_sig('sh * close', 'exposure')}, {_sig('sh * close / 10000000', 'multiplier')} FROM pos")
 
+_add(
+    "i13_fractional_sizing",
+    lambda s, d: _rounded(portfolio.next_positions(_evaluated(s, d), "ewma", 1e7, whole=False), ["ticker", "signal_date", "trade_date"], 7),
+    f"{_POS}, fr AS (SELECT *, least(1.0::DOUBLE, 0.10::DOUBLE / greatest(forecast_vol, 0.05::DOUBLE)) * 10000000 / close AS share FROM pos) SELECT ticker, signal_date, trade_date::DATE AS trade_date, {_sig('forecast_vol', 'forecast_vol', 7)}, {_sig('close', 'close', 7)}, {_sig('share', 'shares', 7)}, {_sig('share * close', 'exposure', 7)}, {_sig('share * close / 10000000', 'multiplier', 7)} FROM fr",
+)
+
 
 def _seg_metrics(s, d):
     return pipeline.model_metrics(with_returns(segment_bars(s, d)))
@@ -433,6 +439,22 @@ def _run_tables(s, d):
 _add("a06_j17_run_leaderboard", _run_tables, f"{_METRICS} SELECT model, round(avg(mae), 6) AS mae, round(avg(rmse), 6) AS rmse, round(avg(qlike), 6) AS qlike, count(*) AS n FROM m GROUP BY 1")
 
 
+def _two_runs(s, d):
+    base = f"{shared_folder(s)}/experiments-{uuid.uuid4().hex}"
+    experiments.run(_bars(s, d), experiments.Config(), base, "all models")
+    experiments.run(_bars(s, d), experiments.Config(models=["naive", "ewma"]), base, "two models")
+    shown = experiments.differing(s, base).select("run_id", F.col("value").alias("setting"))
+    return experiments.master(s, base).join(shown, "run_id")
+
+
+_add(
+    "j15_runs_compared",
+    _two_runs,
+    f"""{_METRICS}, r(run_id, models, setting) AS (VALUES ('all models', 4, '["naive","roll_mean","har_rv","ewma"]'), ('two models', 2, '["naive","ewma"]'))
+SELECT run_id, models, setting, model, round(avg(mae), 6) AS mae, count(*) AS n FROM m JOIN r ON models = 4 OR model IN ('naive', 'ewma') GROUP BY ALL""",
+)
+
+
 def _capped(s, d):
     parts = s.read.parquet(f"{d}/nation.parquet").select(F.col("n_name").alias("ticker"), (F.col("n_nationkey") % 5).cast("long").alias("shares"), (F.col("n_nationkey") * 3000.0).alias("close"))
     held = s.read.parquet(f"{d}/nation.parquet").where("n_regionkey < 3").select(F.col("n_name").alias("ticker"), F.lit(2).cast("long").alias("qty"))
