@@ -157,9 +157,14 @@ class Router:
         self.rows = {r["dim"]: r["n"] for r in stats}
         self.top = {r["dim"]: math.sqrt(r["s"]) for r in stats}
         self.bits = {d: max(0, round(math.log2(n / SHARD))) for d, n in self.rows.items()}
-        drawn = F.row_number().over(Window.partitionBy("dim").orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id"))
+        drawn = F.row_number().over(Window.partitionBy("dim").orderBy("h", "vec_id"))
+        # The least hashes are drawn. A bound that some more than SAMPLE of them lie under leaves the window few rows of each dimension.
+        under = {d: min(1.0, (SAMPLE + 8 * math.sqrt(SAMPLE)) / n) for d, n in self.rows.items()}
+        bound = F.create_map(*(F.lit(x) for d, share in under.items() for x in (d, min(2**63 - 1, int(share * 2**64) - 2**63)))) if under else F.lit(None)
+        near = index.withColumn("h", F.xxhash64("vec_id", F.lit(3)))
+        near = near.where(F.col("h") <= bound[F.col("dim")]) if under else near
         sample: dict[int, tuple[list, list]] = {d: ([], []) for d in self.rows}
-        for r in index.withColumn("r", drawn).where(F.col("r") <= SAMPLE).select("dim", "vec_id", "v", "r").collect():
+        for r in near.withColumn("r", drawn).where(F.col("r") <= SAMPLE).select("dim", "vec_id", "v", "r").collect():
             if r["r"] <= max(64, self.rows[r["dim"]] // 8):
                 sample[r["dim"]][0].append(r["vec_id"])
                 sample[r["dim"]][1].append(r["v"])
