@@ -91,3 +91,46 @@ def test_repeated_ids_and_equal_vectors(spark):
     v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
     got = [tuple(r) for r in ann_forest.nearest(v, v.where("vec_id in (0, 3, 77)"), 3).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 1, 0.5), (0, 2, 2, 0.5), (0, 3, 3, 0.5), (3, 1, 1, 1.0), (3, 2, 2, 1.0), (3, 3, 4, 1.0)]
+
+
+def plain_ascent(forest, x, top, q, depth, k):
+    """The same search without sorted arrays: rows by the longest prefix that they share with the query in any tree."""
+    keys, asked = forest.strings(ann_forest.lifted(x, top)), forest.strings(ann_forest.unit(q))
+    out, lengths = set(), []
+    for n in range(len(q)):
+        shared = np.array([[ann_forest.BITS - int(a ^ b).bit_length() for a, b in zip(keys[:, j], asked[:, n], strict=True)] for j in range(len(x))]).max(axis=1)
+        score, level = x @ q[n], int(shared.max())
+        while True:
+            met = np.sort(score[shared >= level])[::-1]
+            if level == 0 or len(met) >= k and level <= max(depth[n], ann_forest.depth_for(met[k - 1] / np.linalg.norm(q[n]) / top)):
+                break
+            level -= 1
+        lengths.append((int(shared.max()), level))
+        least = met[min(k, len(met)) - 1]
+        out |= {(n, int(j)) for j in np.flatnonzero((shared >= level) & (score >= least - 1e-9 * (1 + abs(least))))}
+    return out, lengths
+
+
+def test_descent_and_ascent_against_a_plain_search(monkeypatch):
+    r = np.random.default_rng(5)
+    monkeypatch.setattr(ann_forest, "TREES", 16)
+    near = r.standard_normal((4, 8)).repeat(20, axis=0) + 0.02 * r.standard_normal((80, 8))
+    x = np.concatenate([near, r.standard_normal((120, 8)), near[:1]])
+    q = np.concatenate([near[::20] + 0.01, r.standard_normal((8, 8))])
+    top = np.sqrt((x * x).sum(axis=1)).max()
+    for k, depth, gathered, head in ((5, np.zeros(len(q), int), 1 << 22, 12), (5, np.full(len(q), 4), 64, 3), (500, np.full(len(q), 9), 1000, 1)):
+        monkeypatch.setattr(ann_forest, "GATHERED", gathered)
+        monkeypatch.setattr(ann_forest, "HEAD", head)
+        monkeypatch.setattr(ann_forest, "TOGETHER", 7)
+        forest = ann_forest.Forest(x, top)
+        query, row = forest.search(q, depth, k)
+        expected, lengths = plain_ascent(forest, x, top, q, depth, min(k, len(x)))
+        assert set(zip(query.tolist(), row.tolist(), strict=True)) == expected
+        if k == 5:  # descents end at many lengths, and so do ascents
+            assert len({a for a, _ in lengths}) > 3 and len({z for _, z in lengths}) > 1
+
+
+def test_sample(spark):
+    v = table(spark, "/root/testdata/sf0.1", "embeddings").selectExpr("vec_id", "cast(embedding as array<double>) as v", "size(embedding) as dim")
+    router = ann_forest.Router(v, 20)
+    assert {d: abs(len(i) - 250) < 80 for d, (i, _) in router.sample.items()} == {64: True}

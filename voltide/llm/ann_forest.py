@@ -2,10 +2,10 @@
 
 Vectors are lifted to one length by an extra component, so that the largest inner product is the smallest angle. A string
 has one bit for each of BITS random hyperplanes. The index is dealt by the first bits of one more string, the router, and a
-query goes to those shards alone in which its neighbours may lie, likeliest first, until the chance is ROUTE. In a shard a
-query descends all trees to its longest-prefix matches; then all trees ascend together, a bit at a time, until a neighbour as
-near as those sought meets the query in some tree with probability MEET. How near that is, a small sample of the index tells.
-Every row that shares such a prefix in some tree is scored, once.
+query goes to those shards alone in which its neighbours may lie, likeliest first, until the chance is ROUTE; how near they
+are, a small sample of the index tells. In a shard a query descends all trees, by bisection, to the longest prefix that any
+row shares with it; then all trees ascend together, a bit at a time, and the rows that each bit adds are scored, once. A query
+stops where a row as near as its k-th best so far, or as the sample's k-th, would have met it with probability MEET.
 """
 
 from __future__ import annotations
@@ -24,8 +24,10 @@ from .textkernel import tidy
 SHARD, QUERIES, TREES, BITS = 4096, 8192, 128, 24
 #: Probabilities that a neighbour lies in a visited shard and that it meets the query in some tree of its shard.
 ROUTE, MEET = 0.98, 0.92
-#: Sampled vectors at most, from which the nearness of the k-th neighbour is estimated; an eighth of a smaller index.
+#: Vectors sampled of a dimension, from which the nearness of the k-th neighbour is estimated; an eighth of a smaller index.
 SAMPLE = 2048
+#: Queries that ascend at once, places in the sorted arrays that are gathered at once, and bits of the prefixes that are looked up.
+TOGETHER, GATHERED, HEAD = 1024, 1 << 22, 12
 
 _erf = np.vectorize(math.erf, otypes=[float])
 
@@ -74,10 +76,13 @@ class Forest:
     """Sorted arrays of hash strings over the rows of x."""
 
     def __init__(self, x: np.ndarray, top: float):
-        self.x, self.trees = x, planes(x.shape[1], 0)[1]
+        self.x, self.top, self.trees = x, top, planes(x.shape[1], 0)[1]
         keys = self.strings(lifted(x, top))
         self.order = np.argsort(keys, axis=1, kind="stable")
         self.keys = np.take_along_axis(keys, self.order, axis=1)
+        # How many rows stand before each prefix of HEAD bits, tree by tree.
+        counts = [np.bincount(s >> (BITS - HEAD), minlength=1 << HEAD) for s in self.keys]
+        self.heads = np.concatenate([np.append(0, np.cumsum(c)) for c in counts])
         self.scored = 0
 
     def strings(self, rows: np.ndarray) -> np.ndarray:
@@ -87,35 +92,98 @@ class Forest:
             out[:, i : i + 1024] = ((rows[i : i + 1024] @ self.trees > 0).reshape(-1, TREES, BITS) @ weights).T
         return out
 
-    def candidates(self, q: np.ndarray, depth: np.ndarray, k: int):
-        """For each query the rows that share a prefix of ``depth`` bits in some tree; shorter where fewer than k rows do."""
+    def places(self, keys: np.ndarray, where: np.ndarray | None = None) -> np.ndarray:
+        """Where strings (trees x queries) would stand in the sorted arrays; sought only ``where``, if given."""
+        out = np.zeros(keys.shape, np.int64)
+        for t in range(TREES):
+            at = slice(None) if where is None else np.flatnonzero(where[t])
+            out[t, at] = np.searchsorted(self.keys[t], keys[t, at])
+        return out
+
+    def range(self, prefix: np.ndarray, level: int, matched: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and end of the rows with a prefix of ``level`` bits: by HEAD up to its length, beyond by bisection in the trees that match so far, where others stay as they are."""
+        if level > HEAD:
+            cut = BITS - level
+            return tuple(np.where(matched, self.places((prefix + k) << cut, matched), old) for k, old in ((0, low), (1, high)))
+        heads = np.arange(TREES)[:, None] * ((1 << HEAD) + 1)
+        return tuple(self.heads[heads + ((prefix + k) << (HEAD - level))] for k in (0, 1))
+
+    def longest(self, keys: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The length of the longest prefix that any row shares with each string, in each tree: a row beside its place has it."""
+        out = np.zeros(keys.shape, np.int64)
+        for side in (at - 1, at):
+            beside = np.take_along_axis(self.keys, np.clip(side, 0, len(self.x) - 1), axis=1)
+            out = np.maximum(out, BITS - np.frexp((keys ^ beside).astype(np.float64))[1])
+        return out
+
+    def added(self, low: np.ndarray, high: np.ndarray, n: np.ndarray, seen: np.ndarray):
+        """(query, row), in order of query, of the rows at low to high (trees x queries n) in some tree whose cell of ``seen`` is negative; some queries at a time."""
+        size = high - low
+        total = size.sum(axis=0)
+        block = np.cumsum(total) // GATHERED
+        base = low + np.arange(TREES)[:, None] * len(self.x)
+        for b in np.unique(block[total > 0]):
+            own = np.flatnonzero((block == b) & (total > 0))
+            part = size[:, own].T.ravel()
+            place = np.arange(part.sum()) + np.repeat(base[:, own].T.ravel() - np.cumsum(part) + part, part)
+            cell = np.repeat(n[own], total[own]) * len(self.x) + self.order.ravel()[place]
+            cell = cell[seen.ravel()[cell] < 0]
+            number = np.arange(len(cell), dtype=np.int32)
+            seen.ravel()[cell] = number
+            cell = cell[seen.ravel()[cell] == number]  # one of equal cells
+            yield cell // len(self.x), cell % len(self.x)
+
+    def better(self, q: np.ndarray, query: np.ndarray, row: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, row, score) of the pairs, in order of query, that are among the best of their query so far; best (queries x k, the least first) takes them up."""
+        score = np.empty(len(row))
+        ends = np.append(np.flatnonzero(np.diff(query)) + 1, len(query)) if len(query) else []
+        for a, z in zip([0, *ends], ends):  # noqa: B905
+            score[a:z] = self.x[row[a:z]] @ q[query[a]]
+        self.scored += len(row)
+        near = score >= _least(best[query, 0])
+        query, row, score = query[near], row[near], score[near]
+        order = np.lexsort((-score, query))
+        of, first, at = np.unique(query, return_index=True, return_inverse=True)
+        rank = np.arange(len(query)) - first[at]
+        k = best.shape[1]
+        pool = np.full((len(of), k), -np.inf)
+        pool[at[rank < k], rank[rank < k]] = score[order][rank < k]
+        best[of] = np.partition(np.column_stack([best[of], pool]), k, axis=1)[:, k:]
+        return query, row, score
+
+    def ascend(self, q: np.ndarray, depth: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         keys = self.strings(unit(q))
-        for n in range(len(q)):
-            d = int(depth[n])
-            while True:
-                cut = BITS - d
-                low = keys[:, n] >> cut << cut
-                begin = [np.searchsorted(s, a) for s, a in zip(self.keys, low, strict=True)]
-                end = [np.searchsorted(s, a) for s, a in zip(self.keys, low + (1 << cut), strict=True)]
-                rows = np.unique(np.concatenate([o[a:z] for o, a, z in zip(self.order, begin, end, strict=True)]))
-                if len(rows) >= min(k, len(self.x)) or d == 0:
-                    break
-                d -= 1  # all trees ascend by a bit
-            self.scored += len(rows)
-            yield n, rows
+        at = self.places(keys)
+        longest = self.longest(keys, at)
+        first = longest.max(axis=0)
+        length = np.sqrt((q * q).sum(axis=1)) * self.top
+        low, high, seen = at, at.copy(), np.full((len(q), len(self.x)), -1, np.int32)
+        best, kept, going = np.full((len(q), k), -np.inf), [], np.ones(len(q), bool)
+        for level in range(first.max(), -1, -1):
+            n = np.flatnonzero(going & (first >= level))
+            begin, end = self.range(keys[:, n] >> (BITS - level), level, longest[:, n] >= level, low[:, n], high[:, n])
+            for a, z in ((begin, low[:, n]), (high[:, n], end)):  # a bit less adds rows before and behind those known
+                kept += [self.better(q, query, row, best) for query, row in self.added(a, z, n, seen)]
+            low[:, n], high[:, n] = begin, end
+            going[n] = np.isneginf(best[n, 0]) | (level > np.maximum(depth[n], depth_for(best[n, 0] / length[n])))
+            if not going.any():
+                break
+        query, row, score = (np.concatenate(c) for c in zip(*kept, strict=True))
+        near = score >= _least(best[query, 0])
+        return query[near], row[near]
 
     def search(self, q: np.ndarray, depth: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, row of x) of the k best candidates of each query; more for equal scores at the end."""
-        query, row = [], []
-        for n, rows in self.candidates(q, depth, k):
-            score = self.x[rows] @ q[n]
-            if len(rows) > k:
-                least = np.partition(score, len(rows) - k)[len(rows) - k]
-                rows = rows[score >= least - 1e-9 * (1 + abs(least))]
-            query.append(np.full(len(rows), n))
-            row.append(rows)
-        none = np.zeros(0, np.int64)
-        return np.concatenate([none, *query]), np.concatenate([none, *row])
+        """(query, row of x) of the k best candidates of each query; more for equal scores at the end. With k rows no query ascends above ``depth``."""
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for i in range(0, len(q), TOGETHER):
+            query, row = self.ascend(q[i : i + TOGETHER], depth[i : i + TOGETHER], min(k, len(self.x)))
+            found.append((query + i, row))
+        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+def _least(score: np.ndarray) -> np.ndarray:
+    """A little under the scores: products differ in their last bits by the order of summation."""
+    return score - 1e-9 * (1 + np.where(np.isfinite(score), np.abs(score), 0))
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -149,7 +217,7 @@ def _search_shard(index: pa.Table, asked: pa.Table, k: int, tops: dict[int, floa
 
 
 class Router:
-    """What dealing needs of each dimension: vectors, greatest length, bits of the router and a sample of the index. Broadcast; SAMPLE vectors at most."""
+    """What dealing needs of each dimension: vectors, greatest length, bits of the router and a sample of the index. Broadcast; some SAMPLE vectors of a dimension."""
 
     def __init__(self, index: DataFrame, k: int):
         stats = index.groupBy("dim").agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, c: s + c * c)).alias("s")).collect()  # one row a dimension
@@ -157,15 +225,12 @@ class Router:
         self.rows = {r["dim"]: r["n"] for r in stats}
         self.top = {r["dim"]: math.sqrt(r["s"]) for r in stats}
         self.bits = {d: max(0, round(math.log2(n / SHARD))) for d, n in self.rows.items()}
-        drawn = F.row_number().over(Window.partitionBy("dim").orderBy("h", "vec_id"))
-        # The least hashes are drawn. A bound that some more than SAMPLE of them lie under leaves the window few rows of each dimension.
-        under = {d: min(1.0, (SAMPLE + 8 * math.sqrt(SAMPLE)) / n) for d, n in self.rows.items()}
-        bound = F.create_map(*(F.lit(x) for d, share in under.items() for x in (d, min(2**63 - 1, int(share * 2**64) - 2**63)))) if under else F.lit(None)
-        near = index.withColumn("h", F.xxhash64("vec_id", F.lit(3)))
-        near = near.where(F.col("h") <= bound[F.col("dim")]) if under else near
+        # The sample is what lies under a bound of the hash: some SAMPLE vectors of a dimension, without an order of the index.
+        share = {d: min(1.0, min(SAMPLE, max(64, n // 8)) / n) for d, n in self.rows.items()}
         sample: dict[int, tuple[list, list]] = {d: ([], []) for d in self.rows}
-        for r in near.withColumn("r", drawn).where(F.col("r") <= SAMPLE).select("dim", "vec_id", "v", "r").collect():
-            if r["r"] <= max(64, self.rows[r["dim"]] // 8):
+        if share:
+            bound = F.create_map(*(F.lit(x) for d, s in share.items() for x in (d, min(2**63 - 1, int(s * 2**64) - 2**63))))
+            for r in index.where(F.xxhash64("vec_id", F.lit(3)) <= bound[F.col("dim")]).select("dim", "vec_id", "v").collect():
                 sample[r["dim"]][0].append(r["vec_id"])
                 sample[r["dim"]][1].append(r["v"])
         self.sample = {d: (np.array(i), np.array(v)) for d, (i, v) in sample.items()}
