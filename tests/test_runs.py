@@ -1,12 +1,15 @@
 """Tables of runs, the command line, the stream and the model registry."""
 
+import datetime as dt
 import glob
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from voltide import cli
+from voltide.operators import walks
 from voltide.plans import experiments, pipeline
 from voltide.sources import tables
 from voltide.sources.bars import lineitem_bars, with_returns
@@ -22,7 +25,7 @@ def test_runs_are_saved_and_read(spark, bars, tmp_path):
     base = str(tmp_path)
     for run_id, names in (("first", "A, N"), ("second", ["R"])):
         experiments.run(bars, experiments.Config(tickers=names, models=["naive", "ewma"]), base, run_id)
-    assert {os.path.basename(x) for x in glob.glob(f"{base}/*")} == {"eval", "metrics", "by_regime", "dm", "backtest", "var_es", "by_model", "runs"}
+    assert {os.path.basename(x) for x in glob.glob(f"{base}/*")} == {"eval", "metrics", "by_regime", "dm", "backtest", "var_es", "by_model", "errors", "runs"}
     log = spark.read.parquet(f"{base}/runs")
     assert tables.newest(log) == "second" and {r["run_id"]: r["tickers"] for r in log.collect()} == {"first": "A,N", "second": "R"}
     assert {r["ticker"] for r in tables.load(spark, base, "metrics").collect()} == {"R"}
@@ -91,3 +94,45 @@ def test_runs_are_compared_by_their_settings(spark, tmp_path):
     assert got == [("models", "a", '["x","y"]'), ("models", "b", '["x"]'), ("step", "b", "1")]
     spark.createDataFrame([("a", "x", 0.5), ("a", "x", 1.5), ("b", "x", 3.0)], "run_id string, model string, mae double").write.parquet(f"{tmp_path}/metrics")
     assert sorted(tuple(r) for r in experiments.master(spark, str(tmp_path)).collect()) == [("a", 2, "x", 1.0, 2), ("b", 1, "x", 3.0, 1)]
+
+
+def test_a_failing_instrument_ends_no_run(spark, bars, tmp_path, monkeypatch):
+    """One instrument that breaks a fit is in the table of errors; the others have the rows of a run without it."""
+
+    def fit(x, own):
+        if np.nanmax(x) > 1e6:
+            raise FloatingPointError("returns out of range")
+        return own, [np.abs(x[t - 50 : t, 0]).mean() for t in own]
+
+    def fragile(df, s, **more):
+        step = s.step
+        made = walks.walk(df, "fragile", ["ret"], fit, lambda n: np.arange(50, n, step), blocks=3, **more)
+        return made if more else walks.on_rows(df, made, "fragile")
+
+    monkeypatch.setitem(pipeline.REGISTRY, "fragile", pipeline._fitted("fragile", fragile))
+    config = experiments.Config(models=["naive", "ridge", "fragile"], step=60, start="1995-01-01", end="1997-12-31", least_rows=300)
+    ret = F.when((F.col("ticker") == "N") & (F.col("dt") > "1996-06-01"), F.lit(1e9)).otherwise(F.col("ret"))
+    experiments.run(bars.withColumn("ret", ret), config, f"{tmp_path}/a", "bad")
+    assert [(r["ticker"], r["model"], r["error"]) for r in experiments.errors(spark, f"{tmp_path}/a").collect()] == [("N", "fragile", "FloatingPointError: returns out of range")]
+    experiments.run(bars.where("ticker <> 'N'"), config, f"{tmp_path}/b", "good")
+    assert experiments.errors(spark, f"{tmp_path}/b").count() == 0
+    for name in ("eval", "metrics", "backtest", "var_es"):
+        a, b = (tables.load(spark, f"{tmp_path}/{x}", name).drop("run_id").collect() for x in "ab")
+        assert a and sorted(map(str, a)) == sorted(map(str, b)), name
+    day = tables.load(spark, f"{tmp_path}/b", "eval").agg(F.min("dt"), F.max("dt"), F.count("fragile"), F.count("ridge")).first()
+    assert str(day[0]) >= "1995-01-01" and str(day[1]) <= "1997-12-31" and day[2] > 0 and day[3] > 0
+
+
+def test_failures_without_isolation_name_the_instrument(spark):
+    def fit(x, own):
+        if x[0, 0] > 0:
+            raise ValueError("bad")
+        return own, x[own, 0]
+
+    rows = spark.createDataFrame([(t, dt.date(2020, 1, k), v) for t, v in (("good", -1.0), ("bad", 1.0)) for k in (1, 2, 3)], "ticker string, dt date, v double")
+    made = walks.walk(rows, "f", ["v"], fit, lambda n: np.arange(n), blocks=2, isolate=True)
+    assert sorted(map(tuple, made.where("error IS NULL").collect())) == [("good", dt.date(2020, 1, k), -1.0, None) for k in (1, 2, 3)]
+    assert {tuple(r) for r in made.where("error IS NOT NULL").collect()} == {("bad", None, None, "ValueError: bad")}
+    with pytest.raises(Exception, match="f failed for bad"):
+        walks.walk(rows, "f", ["v"], fit, lambda n: np.arange(n)).collect()
+    assert walks.walk(rows.limit(0), "f", ["v"], fit, lambda n: np.arange(n), isolate=True).count() == 0

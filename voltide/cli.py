@@ -62,6 +62,7 @@ def main(argv: list[str] | None = None, spark=None) -> None:
             return
         run_id = experiments.run(bars, experiments.Config(**fields), base)
         experiments.leaderboard(spark, base, run_id).orderBy("mae").show(truncate=False)
+        experiments.errors(spark, base, run_id).show(truncate=False)
         return
     wide = pipeline.forecast_frame(bars, a.horizon, a.window, models)
     metrics = evaluation.metrics(forecasts.long_form(wide, models), "ticker", "model")

@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.frames import by_day, forward_fill, full
 from ..functions.volatility import TRADING_DAYS
 from .recurrences import recurrence
+from .walks import on_rows, walk
 
 
 def naive(v: str, horizon: int = 1) -> Column:
@@ -64,29 +64,30 @@ def gas(bars: DataFrame, window: int = 252, omega: float = 0.01, alpha: float =
     return v.select("ticker", "dt", F.sqrt(F.col("value") * TRADING_DAYS).alias("gas"))
 
 
-def ridge(data: DataFrame, features: list[str], target: str, window: int = 1260, step: int = 2, alpha: float = 1.0, least: int = 200) -> DataFrame:
-    """(ticker, dt, ridge): standardised ridge regression refitted every ``step`` rows on the ``window`` rows before, at row t on the features of t."""
-    schema = data.select("ticker", "dt").withColumn("ridge", F.lit(None).cast("double")).schema
+def refits(x: np.ndarray, own: np.ndarray, window: int, least: int, fit: Callable[[np.ndarray, np.ndarray], Callable]) -> tuple[list[int], list[float]]:
+    """Rows and forecasts of a regression refitted at each of the rows ``own``; the last column is the target. Only complete rows train and are forecast."""
+    fine = np.isfinite(x[:, :-1]).all(axis=1)
+    whole, at, value = fine & np.isfinite(x[:, -1]), [], []
+    for t in own:
+        use = np.flatnonzero(whole[t - window : t]) + t - window
+        if fine[t] and len(use) >= least:
+            at.append(t)
+            value.append(fit(x[use, :-1], x[use, -1])(x[t, :-1]))
+    return at, value
 
-    def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by("dt")
-        x = np.column_stack([t.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in features])
-        y = t.column(target).to_numpy(zero_copy_only=False).astype(np.float64)
-        whole = np.isfinite(x).all(axis=1) & np.isfinite(y)
-        out = np.full(len(y), np.nan)
-        for k in range(window, len(y), step):
-            use = np.flatnonzero(whole[k - window : k]) + k - window
-            if len(use) < least or not np.isfinite(x[k]).all():
-                continue
-            mean, scale = x[use].mean(axis=0), x[use].std(axis=0)
-            scale[scale == 0] = 1
-            z = (x[use] - mean) / scale
-            beta = np.linalg.solve(z.T @ z + alpha * np.eye(len(features)), z.T @ (y[use] - y[use].mean()))
-            out[k] = (x[k] - mean) / scale @ beta + y[use].mean()
-        return t.select(["ticker", "dt"]).append_column("ridge", pa.array(out, pa.float64(), from_pandas=True))
 
-    made = data.select("ticker", "dt", *features, target).groupBy("ticker").applyInArrow(run, schema)
-    return made.withColumn("ridge", forward_fill(F.greatest(F.when(F.col("ridge").isNotNull(), F.col("ridge")), F.when(F.col("ridge").isNotNull(), F.lit(0.0)))))
+def ridge(data: DataFrame, features: list[str], target: str, window: int = 1260, step: int = 2, alpha: float = 1.0, least: int = 200, isolate: bool = False) -> DataFrame:
+    """(ticker, dt, ridge): standardised ridge regression refitted every ``step`` rows on the ``window`` rows before, at row t on the features of t.
+
+    At least 0, filled forward. With ``isolate`` what ``walk`` gives.
+    """
+
+    def run(x, own):
+        at, value = refits(x, own, window, least, lambda z, y: _regression(z, y, alpha))
+        return at, np.maximum(value, 0.0)
+
+    made = walk(data, "ridge", [*features, target], run, lambda n: np.arange(window, n, step), isolate=isolate)
+    return made if isolate else on_rows(data, made, "ridge")
 
 
 def _regression(z: np.ndarray, y: np.ndarray, alpha: float, scaled: bool = True):
@@ -114,47 +115,32 @@ def best_alpha(x: np.ndarray, y: np.ndarray, alphas: list[float], folds: int) ->
     return choice
 
 
-def _walk(data: DataFrame, name: str, columns: list[str], target: str, run: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    """(ticker, dt, name), filled forward, with run applied to the columns and the target of each instrument in order."""
-    schema = data.select("ticker", "dt").withColumn(name, F.lit(None).cast("double")).schema
-
-    def one(t: pa.Table) -> pa.Table:
-        t = t.sort_by("dt")
-        x = np.column_stack([t.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in columns])
-        out = run(x, t.column(target).to_numpy(zero_copy_only=False).astype(np.float64))
-        return t.select(["ticker", "dt"]).append_column(name, pa.array(out, pa.float64(), from_pandas=True))
-
-    return data.select("ticker", "dt", *columns, target).groupBy("ticker").applyInArrow(one, schema).withColumn(name, forward_fill(F.col(name)))
-
-
-def ridge_tuned(data: DataFrame, features: list[str], target: str, window: int = 1260, step: int = 2, alphas: tuple[float, ...] = (0.01, 0.1, 1.0, 10.0, 100.0), folds: int = 5, least: int = 200) -> DataFrame:
+def ridge_tuned(data: DataFrame, features: list[str], target: str, window: int = 1260, step: int = 2, alphas: tuple[float, ...] = (0.01, 0.1, 1.0, 10.0, 100.0), folds: int = 5, least: int = 200, isolate: bool = False) -> DataFrame:
     """(ticker, dt, ridge_tuned): as ridge, with the penalty chosen in each window by walk-forward folds; at least 1e-8."""
 
-    def run(x, y):
-        whole, out = np.isfinite(x).all(axis=1) & np.isfinite(y), np.full(len(y), np.nan)
-        for t in range(window, len(y), step):
-            use = np.flatnonzero(whole[t - window : t]) + t - window
-            if len(use) >= max(least, folds * 20) and np.isfinite(x[t]).all():
-                out[t] = max(1e-8, _regression(x[use], y[use], best_alpha(x[use], y[use], list(alphas), folds))(x[t]))
-        return out
+    def run(x, own):
+        at, value = refits(x, own, window, max(least, folds * 20), lambda z, y: _regression(z, y, best_alpha(z, y, list(alphas), folds)))
+        return at, np.maximum(value, 1e-8)
 
-    return _walk(data, "ridge_tuned", features, target, run)
+    made = walk(data, "ridge_tuned", [*features, target], run, lambda n: np.arange(window, n, step), isolate=isolate)
+    return made if isolate else on_rows(data, made, "ridge_tuned")
 
 
 def stacking(wide: DataFrame, models: list[str], window: int = 252, step: int = 21, least: int = 100) -> DataFrame:
     """(ticker, dt, stacking): ridge regression of the realized volatility on forecasts, refitted every ``step`` rows; at least 1e-8."""
 
-    def run(x, y):
-        out = np.full(len(y), np.nan)
-        for t in range(window, len(y) - step, step):
-            part = slice(t - window, t)
-            fine = np.isfinite(x[part]).all(axis=1) & np.isfinite(y[part])
-            if fine.sum() >= least:
-                ahead = x[t : t + step]
-                out[t : t + step] = np.where(np.isfinite(ahead).all(axis=1), np.maximum(1e-8, _regression(x[part][fine], y[part][fine], 1.0, scaled=False)(ahead)), np.nan)
-        return out
-
-    return _walk(wide.na.drop(subset=["realized", *models]), "stacking", models, "realized", run)
+    def run(x, own):
+        at, value = [], []
+        fine = np.isfinite(x).all(axis=1)
+        for t in own:
+            use = np.flatnonzero(fine[t - window : t]) + t - window
+            if len(use) >= least:
+                at.append(np.arange(t, t + step))
+                value.append(np.maximum(1e-8, _regression(x[use, :-1], x[use, -1], 1.0, scaled=False)(x[t : t + step, :-1])))
+        return (np.concatenate(at), np.concatenate(value)) if at else ([], [])
+
+    wide = wide.na.drop(subset=["realized", *models])
+    return on_rows(wide, walk(wide, "stacking", [*models, "realized"], run, lambda n: np.arange(window, n - step, step)), "stacking")
 
 
 def long_form(wide: DataFrame, models: list[str], keys=("ticker", "dt")) -> DataFrame:

@@ -9,11 +9,10 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..functions.volatility import TRADING_DAYS
+from .walks import on_rows, walk
 
 KINDS = {"garch": ("garch", False), "gjr": ("gjr", False), "egarch": ("egarch", False), "garch_t": ("garch", True)}
 _FREEDOM = np.exp(np.linspace(math.log(2.1), math.log(200), 28))
@@ -144,31 +143,18 @@ def forecasts(r: np.ndarray, window: int, step: int, kind: str, student: bool, h
     return out
 
 
-def garch(bars: DataFrame, kind: str = "garch", window: int = 1260, step: int = 2, horizon: int = 2, blocks: int = 2, ret: str = "ret") -> DataFrame:
+def garch(bars: DataFrame, kind: str = "garch", window: int = 1260, step: int = 2, horizon: int = 2, blocks: int = 2, ret: str = "ret", isolate: bool = False) -> DataFrame:
     """(ticker, dt, <kind>): walk-forward forecasts of one of KINDS, null between steps and before the first window.
 
-    ``horizon`` is that of the annualisation (the reference's default is 2). Each instrument's rows are dealt to ``blocks`` tasks,
-    each with the window before its first row.
+    ``horizon`` is that of the annualisation (the reference's default is 2). Each instrument's windows are dealt to ``blocks``
+    tasks. With ``isolate`` what ``walk`` gives.
     """
     model, student = KINDS[kind]
-    days = bars.select("ticker", "dt", F.col(ret).alias("r")).groupBy("ticker").agg(F.sort_array(F.collect_list(F.struct("dt", "r"))).alias("s"))
-    dealt = days.select("ticker", "s", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    # In turn, not by hash, and to a stated number of tasks: a few rows stand for much work, which sizes in bytes do not show.
-    dealt = dealt.repartition(int(bars.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
-    def run(batches):
-        for b in batches:
-            for ticker, s, block in zip(*(b.column(k) for k in range(3)), strict=True):
-                s = s.values
-                r = s.field("r").to_numpy(zero_copy_only=False).astype(float)
-                rows = np.arange(window, len(r), step)
-                own = np.array_split(rows, blocks)[block.as_py()]
-                value = np.full(len(r), np.nan)
-                if len(own):
-                    begin = own[0] - window
-                    value[begin : own[-1] + 1] = forecasts(r[begin : own[-1] + 1], window, step, model, student, horizon)
-                at = np.flatnonzero(np.isfinite(value))
-                yield pa.RecordBatch.from_arrays([pa.array([ticker.as_py()] * len(at), pa.string()), s.field("dt").take(pa.array(at)), pa.array(value[at])], ["ticker", "dt", kind])
-
-    made = dealt.mapInArrow(run, f"ticker string, dt date, {kind} double")
-    return bars.select("ticker", "dt").join(made, ["ticker", "dt"], "left")
+
+    def run(x, own):
+        begin = own[0] - window
+        value = forecasts(x[begin : own[-1] + 1, 0], window, step, model, student, horizon)
+        return np.arange(begin, own[-1] + 1), value
+
+    made = walk(bars, kind, [ret], run, lambda n: np.arange(window, n, step), blocks, isolate)
+    return made if isolate else on_rows(bars, made, kind, fill=False)

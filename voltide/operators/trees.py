@@ -6,11 +6,10 @@ A tree is grown level by level for all of its nodes at once; a node without a wo
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ..functions.frames import forward_fill
+from .forecasts import refits
+from .walks import on_rows, walk
 
 #: Added to the rows of a node when its value and gain are taken, and the least gain of a split.
 PENALTY, LEAST_GAIN = 1.0, 1e-6
@@ -57,32 +56,16 @@ def predict(x: np.ndarray, y: np.ndarray, ask: np.ndarray, trees: int = 100, dep
     return float(value)
 
 
-def boosted_trees(data: DataFrame, features: list[str], target: str, window: int = 1260, step: int = 2, least: int = 200, blocks: int = 8, **shape) -> DataFrame:
+def boosted_trees(data: DataFrame, features: list[str], target: str, window: int = 1260, step: int = 2, least: int = 200, blocks: int = 8, isolate: bool = False, **shape) -> DataFrame:
     """(ticker, dt, boosted_trees): fitted anew every ``step`` rows on the complete rows of the ``window`` rows before, at row t on the features of t.
 
     At least 1e-8, forward-filled; no forecast from fewer than ``least`` complete rows or for an incomplete row. Each instrument's
-    rows are dealt to ``blocks`` tasks, each with the window before its first row.
+    rows are dealt to ``blocks`` tasks. With ``isolate`` what ``walk`` gives.
     """
-    known = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(float("nan")))
-    day = F.struct("dt", known(target).alias("y"), F.array(*map(known, features)).alias("x"))
-    days = data.groupBy("ticker").agg(F.sort_array(F.collect_list(day)).alias("s"))
-    dealt = days.select("ticker", "s", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    dealt = dealt.repartition(int(data.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
-    def run(batches):
-        for b in batches:
-            for ticker, s, block in zip(*(b.column(j) for j in range(3)), strict=True):
-                s = s.values
-                y = s.field("y").to_numpy(zero_copy_only=False)
-                x = s.field("x").flatten().to_numpy(zero_copy_only=False).reshape(len(y), len(features))
-                fine = np.isfinite(x).all(axis=1)
-                whole, at, value = fine & np.isfinite(y), [], []
-                for t in np.array_split(np.arange(window, len(y), step), blocks)[block.as_py()]:
-                    use = np.flatnonzero(whole[t - window : t]) + t - window
-                    if fine[t] and len(use) >= least:
-                        at.append(t)
-                        value.append(max(1e-8, predict(x[use], y[use], x[t], **shape)))
-                yield pa.RecordBatch.from_arrays([pa.array([ticker.as_py()] * len(at), pa.string()), s.field("dt").take(pa.array(at, pa.int64())), pa.array(value, pa.float64())], ["ticker", "dt", "boosted_trees"])
+    def run(x, own):
+        at, value = refits(x, own, window, least, lambda z, y: lambda ask: predict(z, y, ask, **shape))
+        return at, np.maximum(value, 1e-8)
 
-    made = dealt.mapInArrow(run, "ticker string, dt date, boosted_trees double")
-    return data.select("ticker", "dt").join(made, ["ticker", "dt"], "left").withColumn("boosted_trees", forward_fill(F.col("boosted_trees")))
+    made = walk(data, "boosted_trees", [*features, target], run, lambda n: np.arange(window, n, step), blocks, isolate)
+    return made if isolate else on_rows(data, made, "boosted_trees")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 import uuid
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,10 +16,12 @@ from ..sources import tables
 from ..sources.bars import long_enough
 from . import pipeline
 
+ERRORS = "ticker string, model string, error string"
+
 
 @dataclass(frozen=True)
 class Config:
-    """What a run is made with; ``tickers`` may be a list or a string with commas, none takes all."""
+    """What a run is made with; ``tickers`` may be a list or a string with commas, none takes all. ``start`` and ``end`` are the first and the last day, none for all."""
 
     tickers: list[str] | str | None = None
     models: list[str] = field(default_factory=lambda: list(pipeline.MODELS))
@@ -30,17 +33,21 @@ class Config:
     cost_bps: float = 0.0
     slippage_bps: float = 0.0
     least_rows: int = 600
+    start: str | None = None
+    end: str | None = None
 
     def chosen(self) -> list[str] | None:
         found = self.tickers.split(",") if isinstance(self.tickers, str) else self.tickers
         return [x.strip() for x in found if x.strip()] if found else None
 
 
-def frame(bars: DataFrame, config: Config) -> DataFrame:
-    """Target and forecasts of the chosen instruments; those with too few rows are left out."""
+def frame(bars: DataFrame, config: Config, keep: Callable[[str, DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Target and forecasts of the chosen instruments; those with too few rows are left out. ``keep``: see pipeline.Setting."""
     chosen = config.chosen()
+    for day, name in ((config.start, ">="), (config.end, "<=")):
+        bars = bars if day is None else bars.where(F.expr(f"dt {name} DATE '{dt.date.fromisoformat(str(day))}'"))
     bars = long_enough(bars if chosen is None else bars.where(F.col("ticker").isin(chosen)), config.least_rows)
-    wide = pipeline.forecast_frame(bars, config.horizon, config.window, config.models, config.step)
+    wide = pipeline.forecast_frame(bars, config.horizon, config.window, config.models, config.step, keep)
     return wide.select("ticker", "dt", "close", "ret", "realized", *config.models)
 
 
@@ -61,9 +68,25 @@ def results(wide: DataFrame, config: Config) -> dict[str, DataFrame]:
 
 
 def run(bars: DataFrame, config: Config, base: str, run_id: str | None = None) -> str:
-    """Make and save the tables of a run; forecasts are written once and read by all others. The log of runs is written last."""
+    """Make and save the tables of a run; forecasts are written once and read by all others. The log of runs is written last.
+
+    An instrument whose fit by some model fails is in none of the tables but ``errors`` (ticker, model, error), and ends no run.
+    The rows of models that are fitted in Python are written as they are made, once, to ``fits_<model>``.
+    """
     run_id = run_id or f"{uuid.uuid4().hex[:8]}_{dt.datetime.now():%Y%m%d_%H%M}"
-    tables.save(frame(bars, config), base, "eval", run_id)
+    spark = bars.sparkSession
+    failed = spark.createDataFrame([], ERRORS)
+
+    def keep(name: str, made: DataFrame) -> DataFrame:
+        nonlocal failed
+        tables.save(made, base, f"fits_{name}", run_id)
+        kept = tables.load(spark, base, f"fits_{name}", run_id, f"ticker string, dt date, {name} double, error string")
+        failed = failed.unionByName(kept.where("error IS NOT NULL").groupBy("ticker").agg(F.min("error").alias("error")).withColumn("model", F.lit(name)))
+        return kept
+
+    wide = frame(bars, config, keep)
+    tables.save(wide.join(failed.select("ticker").distinct(), "ticker", "left_anti"), base, "eval", run_id)
+    tables.save(failed, base, "errors", run_id)
     for name, table in results(tables.load(bars.sparkSession, base, "eval", run_id).drop("run_id"), config).items():
         tables.save(table, base, name, run_id)
     entry = (run_id, dt.datetime.now(), ",".join(config.chosen() or ["all"]), json.dumps(asdict(config), default=str))
@@ -71,6 +94,11 @@ def run(bars: DataFrame, config: Config, base: str, run_id: str | None = None) -
     return run_id
 
 
+def errors(spark: SparkSession, base: str, run_id: str | None = None) -> DataFrame:
+    """(ticker, model, error) of a run's failures, by default the newest run's."""
+    return tables.load(spark, base, "errors", run_id, ERRORS).drop("run_id")
+
+
 def leaderboard(spark: SparkSession, base: str, run_id: str | None = None) -> DataFrame:
     """Mean errors by model of a run, the newest by default."""
     return portfolio.by_model(tables.load(spark, base, "metrics", run_id))

@@ -24,20 +24,31 @@ class Setting:
     horizon: int = 1
     window: int = WINDOW
     step: int = 2
+    #: Takes the name and the rows of each model that is fitted in Python, failures among them (``walks.walk``), and returns the rows to go on with.
+    keep: Callable[[str, DataFrame], DataFrame] | None = None
 
 
 def _joined(made: Callable[[DataFrame, Setting], DataFrame]) -> Callable[[DataFrame, Setting], DataFrame]:
     return lambda df, s: df.join(made(df, s), ["ticker", "dt"], "left")
 
 
-def _ridge(df: DataFrame, s: Setting, tuned: bool = False) -> DataFrame:
-    built, names = features.build(df)
-    return (forecasts.ridge_tuned if tuned else forecasts.ridge)(built, names, "realized", s.window, s.step)
+def _fitted(name: str, made: Callable[..., DataFrame]) -> Callable[[DataFrame, Setting], DataFrame]:
+    """A model that is fitted in Python; with ``keep`` an instrument whose fit fails has no forecasts and does not end the job."""
 
+    def add(df: DataFrame, s: Setting) -> DataFrame:
+        if s.keep is None:
+            return made(df, s)
+        return s.keep(name, made(df, s, isolate=True)).where("error IS NULL").select("ticker", "dt", name)
 
-def _boosted(df: DataFrame, s: Setting) -> DataFrame:
-    built, names = features.build(df)
-    return trees.boosted_trees(built, names, "realized", s.window, s.step)
+    return _joined(add)
+
+
+def _on_features(fit: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    def made(df: DataFrame, s: Setting, **more) -> DataFrame:
+        built, names = features.build(df)
+        return fit(built, names, "realized", s.window, s.step, **more)
+
+    return made
 
 
 #: Each model adds a column of its name to bars with ``realized`` and ``rv``.
@@ -47,20 +58,18 @@ REGISTRY: dict[str, Callable[[DataFrame, Setting], DataFrame]] = {
     "har_rv": lambda df, s: forecasts.har(df, s.window).withColumn("har_rv", annualized(F.col("har_rv"), horizon=1)),
     "ewma": _joined(lambda df, s: forecasts.ewma(df)),
     "gas": _joined(lambda df, s: forecasts.gas(df)),
-    "ridge": _joined(_ridge),
-    "ridge_tuned": _joined(lambda df, s: _ridge(df, s, tuned=True)),
-    "boosted_trees": _joined(_boosted),
-    **{k: _joined(lambda df, s, k=k: garch.garch(df, k, s.window, s.step)) for k in garch.KINDS},
+    **{f.__name__: _fitted(f.__name__, _on_features(f)) for f in (forecasts.ridge, forecasts.ridge_tuned, trees.boosted_trees)},
+    **{k: _fitted(k, lambda df, s, k=k, **more: garch.garch(df, k, s.window, s.step, **more)) for k in garch.KINDS},
 }
 
 
-def forecast_frame(bars: DataFrame, horizon: int = 1, window: int = WINDOW, models: list[str] | None = None, step: int = 2) -> DataFrame:
+def forecast_frame(bars: DataFrame, horizon: int = 1, window: int = WINDOW, models: list[str] | None = None, step: int = 2, keep: Callable[[str, DataFrame], DataFrame] | None = None) -> DataFrame:
     """Bars with ``realized`` (the next ``horizon`` rows, annualised) and one column for each of the models; all instruments in one plan.
 
     Forecasts are filled forward; rows without any forecast or without a realized value go. With both "ridge" and "garch" a
-    rank-weighted "ensemble" of the two can be asked for, as the reference's runs do.
+    rank-weighted "ensemble" of the two can be asked for, as the reference's runs do. ``keep``: see Setting.
     """
-    models, setting = models or MODELS, Setting(horizon, window, step)
+    models, setting = models or MODELS, Setting(horizon, window, step, keep)
     df = bars.withColumns({"realized": forward_realized(horizon), "rv": annualized(realized(horizon), horizon=horizon)})
     plain = [m for m in models if m != "ensemble"]
     if unknown := set(plain) - set(REGISTRY):

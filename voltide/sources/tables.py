@@ -28,10 +28,11 @@ def newest(runs: DataFrame) -> str | None:
     return row and row["run_id"]
 
 
-def load(spark: SparkSession, base: str, name: str, run_id: str | None = None) -> DataFrame:
-    """A table's rows of a run, by default the newest; only that partition is read."""
+def load(spark: SparkSession, base: str, name: str, run_id: str | None = None, schema: str | None = None) -> DataFrame:
+    """A table's rows of a run, by default the newest; only that partition is read. A table that may have no rows at all needs its schema."""
     run_id = run_id or newest(spark.read.parquet(f"{base}/{RUNS}"))
-    return spark.read.parquet(f"{base}/{name}").where(F.col("run_id") == run_id)
+    reader = spark.read if schema is None else spark.read.schema(f"{schema}, run_id string")
+    return reader.parquet(f"{base}/{name}").where(F.col("run_id") == run_id)
 
 
 def latest(df: DataFrame, partition: str) -> DataFrame:
