@@ -409,3 +409,10 @@ def test_boosted_trees_against_plain_trees(spark):
                 last = max(1e-8, trees.predict(x[use], y[use], x[k], trees=5, depth=2))
             assert got[t][k] == (None if last is None else pytest.approx(last, rel=1e-9))
     assert set(column(trees.boosted_trees(df, ["f1", "f2", "f3"], "target", window=20, step=5, least=50), "boosted_trees")) == {None}
+
+
+def test_erfc_on_arrays():
+    x = np.concatenate([np.linspace(-6, 6, 2401), [np.nan, np.inf, -np.inf, 0.0, 2.0, 25.0]])
+    want = np.array([math.erfc(v) for v in x])
+    assert np.allclose(tails.erfc(x), want, rtol=1e-12, atol=0, equal_nan=True)
+    assert tails.erfc(1.5).shape == () and tails.erfc(np.zeros((2, 3))).tolist() == [[1.0] * 3] * 2
